@@ -1,14 +1,15 @@
 """Porter stemming as staged CASE expressions (M. F. Porter, "An algorithm for suffix stripping", 1980).
 
 Words under 3 or over 64 bytes pass through unstemmed. The suffix tables below are fixed values of
-the published algorithm. Each step is one projection, so the expression size stays linear.
+the published algorithm.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values: (suffix, replacement), tested from top to bottom, the first suffix that fits decides.
 STEP_2 = [
@@ -118,10 +119,18 @@ def stem_steps(d: Dialect, word: str = "w") -> list[str]:
     ]
 
 
+def stem(column: str) -> Column:
+    """Stem of a folded word column.
+
+    The steps are chained through one-element arrays, whose lambda variable names the word of each
+    step once. So the expression stays small even where the optimizer copies it into a filter.
+    """
+    chain = f"array({column})"
+    for step in stem_steps(SPARK, "w"):
+        chain = f"transform({chain}, w -> {step})"
+    return F.expr(f"CASE WHEN octet_length({column}) BETWEEN 3 AND 64 THEN {chain}[0] ELSE {column} END")
+
+
 def stem_column(df: DataFrame, column: str) -> DataFrame:
     """Replace ``column`` (folded words) by its stem."""
-    out = df.withColumn("_w", df[column])
-    for step in stem_steps(SPARK, "_w"):
-        out = out.selectExpr("* except (_w)", f"{step} AS _w")
-    keep = f"CASE WHEN octet_length({column}) BETWEEN 3 AND 64 THEN _w ELSE {column} END"
-    return out.selectExpr(f"* except ({column}, _w)", f"{keep} AS {column}")
+    return df.withColumn(column, stem(column))

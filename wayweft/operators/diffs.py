@@ -141,6 +141,11 @@ def render_chunks(files: DataFrame, max_bytes: int = 8192) -> DataFrame:
     )
 
 
+def _ascii_edges(pattern: str) -> str:
+    """Word edges that see only ASCII word characters, in every Java version."""
+    return "(?<![A-Za-z0-9_])" + pattern.removeprefix("\\b").removesuffix("\\b")
+
+
 def file_symbols(files: DataFrame) -> DataFrame:
     """``filename, file_pos, name, score, first``: changed symbols and their counts per file."""
     lines = files.filter(F.col("patch") != "").select(
@@ -150,7 +155,7 @@ def file_symbols(files: DataFrame) -> DataFrame:
     body = F.expr("substring(line, 2)")
     names = F.lit(None).cast("array<string>")
     for ext, patterns in SYMBOL_PATTERNS.items():
-        found = F.array(*[F.regexp_extract(body, p, 1) for p in patterns])
+        found = F.array(*[F.regexp_extract(body, _ascii_edges(p), 1) for p in patterns])
         names = F.when(F.col("filename").rlike(rf"\.({ext})$"), found).otherwise(names)
     hits = changed.select("filename", "file_pos", "pos", F.posexplode(names).alias("pat", "name"))
     counted = (
@@ -204,7 +209,9 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("end").alias("role"), "side", "line"),
-                F.struct(F.lit("start"), F.coalesce("start_side", "side"), F.col("start_line")),
+                F.struct(
+                    F.lit("start").alias("role"), F.coalesce("start_side", "side").alias("side"), F.col("start_line").alias("line")
+                ),
             )
         ).alias("_p"),
     ).select("comment_id", "filename", "_p.role", "_p.side", "_p.line")
@@ -228,7 +235,8 @@ def added_identifiers(files: DataFrame) -> DataFrame:
         "file_pos", F.posexplode(F.split("patch", "\n", -1)).alias("line_pos", "line")
     )
     added = lines.filter(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
-    found = F.regexp_extract_all(F.expr("substring(line, 2)"), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b"), F.lit(1))
+    whole = F.regexp_extract_all(F.expr("substring(line, 2)"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    found = F.filter(whole, lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]{2,}$"))
     words = added.select("file_pos", "line_pos", F.posexplode(found).alias("word_pos", "name"))
     return (
         words.filter(~F.col("name").isin(*ADDED_STOP_WORDS))

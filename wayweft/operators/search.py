@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayweft.functions.porter import stem as stem_of
 from wayweft.functions.porter import stem_column
 from wayweft.functions.tokens import query_words, words
 from wayweft.session import materialise
@@ -29,11 +30,17 @@ def tokenised(rows: DataFrame, *texts: str) -> DataFrame:
 
 
 def postings(tok: DataFrame, key: str, stem: bool = False) -> DataFrame:
-    """``term, <key>, tf, dl``; repeats of a term in a row are folded before any shuffle."""
+    """``term, <key>, tf, dl``; repeats of a term in a row are folded before any shuffle.
+
+    Stemming works on the distinct words, which grow far slower than the postings, and goes back by
+    a join on the word; the postings need that spread by word anyway when an index is written.
+    """
     terms = tok.select(key, "dl", F.explode("tokens").alias("term"))
     counted = terms.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     if stem:
-        counted = stem_column(counted, "term").groupBy("term", key, "dl").agg(F.sum("tf").alias("tf"))
+        vocabulary = terms.select("term").distinct().withColumn("_stem", stem_of("term"))
+        stemmed = counted.join(vocabulary, "term").select(F.col("_stem").alias("term"), key, "dl", "tf")
+        counted = stemmed.groupBy("term", key, "dl").agg(F.sum("tf").alias("tf"))
     return counted.select("term", key, "tf", "dl")
 
 
@@ -113,6 +120,10 @@ def bm25(hits: DataFrame, key: str, stats: CorpusStats, queries: list[list[str]]
     return scored.select("qid", key, "score")
 
 
+def _starts(prefix: str):
+    return lambda token: token.startswith(prefix)
+
+
 def scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> DataFrame:
     """Scores of an ad-hoc search over a tokenised table, without an index and without a shuffle.
 
@@ -122,7 +133,7 @@ def scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> Data
     prefixes = query_words(query)
     if not prefixes:
         return tok.select(key, F.lit(0.0).alias("score")).limit(0)
-    counts = [F.size(F.filter("tokens", lambda t, p=p: t.startswith(p))) for p in prefixes]
+    counts = [F.size(F.filter("tokens", _starts(p))) for p in prefixes]
     small = materialise(tok.select(key, "dl", F.array(*counts).alias("tf")))
     hit = [F.col("tf")[i] > 0 for i in range(len(prefixes))]
     figures = small.agg(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayweft.plans import catalog_graph
+from wayweft.plans import catalog_diff, catalog_graph, catalog_text
 
-MODULES = [catalog_graph]
+MODULES = [catalog_graph, catalog_text, catalog_diff]
 
 
 def all_queries() -> dict:
