@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import ast
+import json
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+TEXT = T.StringType()
+
+
+def _rows(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in fields.items()]))
+
 
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 SNIPPET_TOKENS = 16
@@ -61,14 +71,251 @@ def _extract(text: str, prefixes: list[str], stems: dict | None) -> str:
     return ("..." if begin > 0 else "") + "".join(out) + tail
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def snippet(texts: pd.Series, prefixes: pd.Series) -> pd.Series:
     return pd.Series([_extract(t or "", list(p), None) for t, p in zip(texts, prefixes)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def stemmed_snippet(texts: pd.Series, prefixes: pd.Series, stems: pd.Series) -> pd.Series:
     """As ``snippet``, with a map from folded word to stem per row."""
     return pd.Series(
         [_extract(t or "", list(p), dict(s) if s is not None else None) for t, p, s in zip(texts, prefixes, stems)]
     )
+
+
+# --- Python sources -------------------------------------------------------------------------------
+
+PY_FACTS = _rows(stage=T.IntegerType(), name=TEXT, line=T.IntegerType(), scope=TEXT)
+DEF, IMPORT, CALL = 0, 1, 2
+
+
+class _PyFacts(ast.NodeVisitor):
+    """Definitions, imports and calls with the innermost enclosing definition."""
+
+    def __init__(self, text: str):
+        self.lines, self.scope, self.found = text.split("\n"), None, []
+
+    def note(self, stage: int, name: str, node: ast.AST) -> None:
+        self.found.append((stage, name, node.lineno, self.scope))
+
+    def visit_FunctionDef(self, node):
+        for extra in node.decorator_list:
+            self.visit(extra)
+        self.note(DEF, node.name, node)
+        outer, self.scope = self.scope, node.name
+        for child in ast.iter_child_nodes(node):
+            if child not in node.decorator_list:
+                self.visit(child)
+        self.scope = outer
+
+    visit_AsyncFunctionDef = visit_ClassDef = visit_FunctionDef
+
+    def visit_Import(self, node):
+        for alias in node.names:
+            self.note(IMPORT, alias.name, node)
+
+    def visit_ImportFrom(self, node):
+        if node.module != "__future__":
+            self.note(IMPORT, "." * node.level + (node.module or ""), node)
+
+    def visit_Call(self, node):
+        func = node.func
+        name = getattr(func, "id", None) or getattr(func, "attr", None)
+        if name is None:
+            shown = self.lines[func.lineno - 1 : func.end_lineno]
+            name = ast.unparse(func) if len(shown) > 1 else shown[0][func.col_offset : func.end_col_offset]
+            name = name.split(".")[-1].strip()
+        self.note(CALL, name, node)
+        self.generic_visit(node)
+
+
+def _python(text: str):
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        rough = re.finditer(r"(?m)^[ \t]*(?:(?:async[ \t]+)?def|class)[ \t]+(\w+)|^[ \t]*(?:from|import)[ \t]+([\w.]+)", text or "")
+        return [(DEF if m[1] else IMPORT, m[1] or m[2], text.count("\n", 0, m.start()) + 1, None) for m in rough]
+    visitor = _PyFacts(text)
+    visitor.visit(tree)
+    return visitor.found
+
+
+@F.pandas_udf(PY_FACTS)
+def python_facts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _python(t or ""))
+
+
+# --- Brace languages --------------------------------------------------------------------------------
+
+
+def _nest(kinds, names):
+    """Line and enclosing definition of every definition and call in a stream of marks."""
+    stack, depth, line, pending, out = [], 0, 1, None, []
+    for kind, name in zip(kinds, names):
+        if kind == "line":
+            line = int(name)
+            if pending and pending[1]:
+                pending = None
+        elif kind == "open":
+            if pending:
+                stack.append((depth, pending[0]))
+                pending = None
+            depth += 1
+        elif kind == "close":
+            depth -= 1
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+        elif kind == "end":
+            pending = None
+        else:
+            scope = pending[0] if pending else stack[-1][1] if stack else None
+            out.append((kind, name, line, scope))
+            if kind in ("def", "arrow"):
+                pending = (name, kind == "arrow")
+            elif kind == "body":
+                stack.append((depth, name))
+                depth += 1
+    return out
+
+
+@F.pandas_udf(_rows(what=TEXT, name=TEXT, line=T.IntegerType(), scope=TEXT))
+def nest_scopes(kinds: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([_nest(k, n) for k, n in zip(kinds, names)])
+
+
+# --- Shell ----------------------------------------------------------------------------------------
+
+COMMANDS = _rows(bare=T.BooleanType(), env=T.ArrayType(TEXT), head=TEXT, args=T.ArrayType(TEXT), text=TEXT)
+_HEREDOC = re.compile(r"<<-?[ \t]*\\?(['\"]?)(\w+)\1([^\n]*)\n(?:.*?\n)??[ \t]*\2[ \t]*(?=\n|\Z)", re.S)
+_SHELL = re.compile(
+    r"""(?P<skip>\\\n|[ \t]+|(?<![^\s;&|(])\#[^\n]*)|(?P<redir>\d*(?:<<<|>>|<<|>&|<&|&>|[<>])&?[ \t]*\d*-?)"""
+    r"""|(?P<sep>;;|&&|\|\||[;&|\n()])"""
+)
+_ASSIGN = re.compile(r"([A-Za-z_]\w*)\+?=")
+# Words that introduce a command rather than name one.
+_SHELL_WORDS = frozenset("if then elif else fi do done while until for in case esac { } ! time function select".split())
+
+
+def _close(text: str, i: int) -> int:
+    """End of the quoted or substituted piece that starts at ``i``."""
+    if text[i] == "\\":
+        return min(i + 2, len(text))
+    if text[i] == "'" or text[i] == "`":
+        j = text.find(text[i], i + 1)
+        return len(text) if j < 0 else j + 1
+    ends = {'"': '"', "$(": ")", "${": "}"}
+    opener = '"' if text[i] == '"' else text[i : i + 2]
+    if opener not in ends:
+        return i + 1
+    i += len(opener)
+    while i < len(text) and text[i] != ends[opener]:
+        nested = text[i] in "\\`" or text.startswith(("$(", "${"), i) or (opener != '"' and text[i] in "\"'(")
+        i = _close(text, i) if nested and text[i] != "(" else i + 1
+    return min(i + 1, len(text))
+
+
+def _unquote(word: str) -> str:
+    word = word.strip()
+    return word[1:-1] if len(word) > 1 and word[0] == word[-1] and word[0] in "\"'" else word
+
+
+def _inner(text: str):
+    """Texts of the command substitutions inside a word."""
+    for m in re.finditer(r"\$\((?!\()|`", text):
+        end = _close(text, m.start())
+        yield text[m.end() : end - 1]
+
+
+def _commands(text: str, depth: int = 0):
+    """Simple commands of a script in source order, with those inside substitutions after their host."""
+    text = _HEREDOC.sub(lambda m: " " + m[3], text)
+    plain, bare, i, words, span, skip_word, loop, opened = [], [], 0, [], None, False, False, 0
+
+    def flush():
+        nonlocal words, span, loop
+        env = []
+        while words and _ASSIGN.match(words[0]):
+            env.append(words.pop(0))
+        whole = text[span[0] : span[1]].strip() if span else ""
+        hosted = env + words
+        if words:
+            plain.append((False, [_ASSIGN.match(e)[1] for e in env], _unquote(words[0]), [_unquote(w) for w in words[1:]], whole))
+        else:
+            bare.extend((True, [_ASSIGN.match(e)[1]], None, [], e) for e in env)
+        if depth < 20:
+            for word in hosted:
+                for sub in _inner(word) if not word.startswith("'") else ():
+                    more, more_bare = _commands(sub, depth + 1)
+                    plain.extend(more)
+                    bare.extend(more_bare)
+        words, span, loop = [], None, False
+
+    while i < len(text):
+        m = _SHELL.match(text, i)
+        if m and m["skip"]:
+            i = m.end()
+        elif m and m["redir"]:
+            i, skip_word = m.end(), not re.search(r"[&][ \t]*[\d-]+$", m[0])
+        elif m:
+            named = m[0] == "(" and text[m.end() :].lstrip().startswith(")")  # function definition
+            if named or (m[0] == ")" and not opened):  # or case pattern
+                words = []
+            opened += {"(": 1, ")": -(opened > 0)}.get(m[0], 0)
+            flush()
+            i, skip_word = m.end(), False
+        else:
+            j = i
+            while j < len(text) and not re.match(r"[\s;&|()<>]", text[j]):
+                j = _close(text, j) if text[j] in "\"'`\\$" else j + 1
+            word = text[i:j]
+            if skip_word:
+                skip_word = False
+            elif not words and not loop and word in _SHELL_WORDS:
+                loop = word in ("for", "select", "case", "function")
+            elif not loop:
+                words.append(word)
+                span = (span[0] if span else i, j)
+            i = j
+    flush()
+    return plain, bare
+
+
+@F.pandas_udf(COMMANDS)
+def shell_commands(texts: pd.Series) -> pd.Series:
+    """Commands of shell texts, then their bare assignments."""
+    return texts.map(lambda t: [c for part in _commands(t or "") for c in part])
+
+
+# --- YAML -----------------------------------------------------------------------------------------
+
+
+def _plain(value):
+    """Mappings and lists as they are; every scalar as its text behind ``s:`` for strings, ``v:`` otherwise."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [_plain(v) for v in value]
+    return ("s:" if isinstance(value, str) else "v:") + str(value)
+
+
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError:
+        return None, "no YAML reader installed"
+    try:
+        data = yaml.safe_load(text)
+    except (yaml.YAMLError, ValueError, RecursionError) as exc:
+        return None, f"invalid YAML: {exc}"
+    if data is None:
+        return None, None
+    if not isinstance(data, dict):
+        return None, f"top-level YAML must be a mapping, got {type(data).__name__}"
+    return json.dumps(_plain(data), ensure_ascii=False), None
+
+
+@F.pandas_udf(T.StructType([T.StructField("json", TEXT), T.StructField("error", TEXT)]))
+def yaml_object(texts: pd.Series) -> pd.DataFrame:
+    """YAML mappings as JSON, or what is wrong with them."""
+    return pd.DataFrame([_yaml(t or "") for t in texts], columns=["json", "error"])

@@ -70,24 +70,32 @@ def is_local_link(target: Column) -> Column:
     return ~away
 
 
-def within_limit(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """The first files of a scan in path order, component by component."""
-    return files.orderBy(F.split("path", "/")).limit(max_files)
+def within_limit(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
+    """The first files of a scan in path order, component by component; None takes all.
 
-
-def limit_warnings(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Warnings ``path, message, ord`` of a scan: files over the size cap, and the file limit when it is hit.
-
-    ``limit(max_files + 1)`` after the sort keeps a bounded top list per task, so no full sort happens.
+    Only paths go through the top list; the contents stay where they are.
     """
-    head = files.orderBy(F.split("path", "/")).limit(max_files + 1)
+    if max_files is None:
+        return files
+    head = files.select("path").orderBy(F.split("path", "/")).limit(max_files)
+    return files.join(head, "path", "left_semi")
+
+
+def limit_warnings(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Warnings ``path, message, ord`` of a scan: files over the size cap, and the file limit when it is hit."""
+    def shaped(rows: DataFrame, path: Column, message: Column) -> DataFrame:
+        return rows.select(
+            path.alias("path"), message.alias("message"), F.struct(path.alias("path"), F.array(F.lit(0)).alias("at")).alias("ord")
+        )
+
+    large = files.filter(F.col("size") > max_bytes)
+    too_large = F.concat(F.lit("read error "), "path", F.lit(": file too large"))
+    if max_files is None:
+        return shaped(large, F.col("path"), too_large)
+    head = files.select("path", "size").orderBy(F.split("path", "/")).limit(max_files + 1)
     ranked = head.withColumn("_n", F.row_number().over(Window.orderBy(F.split("path", "/"))))
-    message = (
-        F.when(F.col("_n") > max_files, F.lit(f"scan limit reached at {max_files} files"))
-        .when(F.col("size") > max_bytes, F.concat(F.lit("read error "), "path", F.lit(": file too large")))
+    return shaped(
+        ranked.filter((F.col("_n") <= max_files) & (F.col("size") > max_bytes)), F.col("path"), too_large
+    ).unionByName(
+        shaped(ranked.filter(F.col("_n") > max_files), F.lit(""), F.lit(f"scan limit reached at {max_files} files"))
     )
-    path = F.when(F.col("_n") > max_files, F.lit("")).otherwise(F.col("path"))
-    return ranked.select(
-        path.alias("path"), message.alias("message"),
-        F.struct(F.col("path"), F.array(F.lit(0)).alias("at")).alias("ord"),
-    ).filter("message IS NOT NULL")
