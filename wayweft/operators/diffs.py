@@ -55,7 +55,7 @@ ADDED_STOP_WORDS = ("import", "from", "return", "class", "def", "func")
 def patch_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``filename, <keep>, pos, line, role``; files are spread by name first, so later windows need no shuffle."""
     rows = files.filter(F.col("patch") != "").select("filename", *keep, "patch").repartition("filename")
-    lines = rows.select("filename", *keep, F.posexplode(F.split("patch", "\n", -1)).alias("pos", "line"))
+    lines = rows.select("filename", *keep, F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")).filter("pos IS NOT NULL")
     line = F.col("line")
     role = (
         F.when(line.rlike(HUNK), "hunk")
@@ -95,7 +95,7 @@ def hunk_lines(files: DataFrame) -> DataFrame:
         F.when(F.col("role").isin("add", "ctx"), F.struct(F.lit("RIGHT").alias("side"), F.col("new_line").alias("line"))),
         F.when(F.col("role").isin("del", "ctx"), F.struct(F.lit("LEFT").alias("side"), F.col("old_line").alias("line"))),
     )
-    shown = numbered_lines(files).select("filename", F.explode(F.array_compact(sides)).alias("_at"))
+    shown = numbered_lines(files).select("filename", F.explode_outer(F.array_compact(sides)).alias("_at")).filter("_at IS NOT NULL")
     return shown.select("filename", "_at.side", "_at.line").distinct()
 
 
@@ -149,15 +149,15 @@ def _ascii_edges(pattern: str) -> str:
 def file_symbols(files: DataFrame) -> DataFrame:
     """``filename, file_pos, name, score, first``: changed symbols and their counts per file."""
     lines = files.filter(F.col("patch") != "").select(
-        "filename", "file_pos", F.posexplode(F.split("patch", "\n", -1)).alias("pos", "line")
-    )
+        "filename", "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")
+    ).filter("pos IS NOT NULL")
     changed = lines.filter(F.col("line").rlike(r"^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---)"))
     body = F.expr("substring(line, 2)")
     names = F.lit(None).cast("array<string>")
     for ext, patterns in SYMBOL_PATTERNS.items():
         found = F.array(*[F.regexp_extract(body, _ascii_edges(p), 1) for p in patterns])
         names = F.when(F.col("filename").rlike(rf"\.({ext})$"), found).otherwise(names)
-    hits = changed.select("filename", "file_pos", "pos", F.posexplode(names).alias("pat", "name"))
+    hits = changed.select("filename", "file_pos", "pos", F.posexplode_outer(names).alias("pat", "name")).filter("pat IS NOT NULL")
     counted = (
         hits.filter((F.length("name") >= 2) & ~F.col("name").isin(*KEYWORDS))
         .groupBy("filename", "file_pos", "name")
@@ -206,7 +206,7 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
     )
     probes = clean.select(
         "comment_id", F.col("path").alias("filename"),
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(F.lit("end").alias("role"), "side", "line"),
                 F.struct(
@@ -214,7 +214,7 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("_p"),
-    ).select("comment_id", "filename", "_p.role", "_p.side", "_p.line")
+    ).filter("_p IS NOT NULL").select("comment_id", "filename", "_p.role", "_p.side", "_p.line")
     seen = probes.join(visible, ["filename", "side", "line"], "left_semi").groupBy("comment_id").agg(
         F.bool_or(F.col("role") == "end").alias("_end"), F.bool_or(F.col("role") == "start").alias("_start")
     )
@@ -232,12 +232,12 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
 def added_identifiers(files: DataFrame) -> DataFrame:
     """``pos, name``: identifiers of three letters and more on added lines, each once, in order."""
     lines = files.filter(F.col("patch") != "").select(
-        "file_pos", F.posexplode(F.split("patch", "\n", -1)).alias("line_pos", "line")
-    )
+        "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("line_pos", "line")
+    ).filter("line_pos IS NOT NULL")
     added = lines.filter(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
     whole = F.regexp_extract_all(F.expr("substring(line, 2)"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     found = F.filter(whole, lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]{2,}$"))
-    words = added.select("file_pos", "line_pos", F.posexplode(found).alias("word_pos", "name"))
+    words = added.select("file_pos", "line_pos", F.posexplode_outer(found).alias("word_pos", "name")).filter("word_pos IS NOT NULL")
     return (
         words.filter(~F.col("name").isin(*ADDED_STOP_WORDS))
         .groupBy("name")
@@ -277,7 +277,7 @@ def split_inline_block(reviews: DataFrame, text: str = "text") -> DataFrame:
 
 def inline_comments(reviews: DataFrame, key: str) -> DataFrame:
     """The comments of ``split_inline_block`` as rows for ``validate_inline``."""
-    rows = reviews.select(key, F.posexplode("inline").alias("_i", "_c"))
+    rows = reviews.select(key, F.posexplode_outer("inline").alias("_i", "_c")).filter("_i IS NOT NULL")
     return rows.select(
         F.concat_ws("#", F.col(key).cast("string"), F.col("_i").cast("string")).alias("comment_id"),
         "_c.path", F.expr("try_cast(_c.line AS int)").alias("line"), "_c.side", "_c.body",

@@ -32,7 +32,7 @@ def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     page that a third of all links point at costs one probe; the verdicts go back by candidate.
     """
     listed = link_candidates(links)
-    tries = listed.select("link_id", F.posexplode("candidates").alias("_pos", "path"))
+    tries = listed.select("link_id", F.posexplode_outer("candidates").alias("_pos", "path")).filter("_pos IS NOT NULL")
     known = tries.select("path").distinct().join(paths.select("path").distinct(), "path", "left_semi")
     first = tries.join(known, "path").groupBy("link_id").agg(F.min_by("path", "_pos").alias("canonical"))
     return listed.join(first, "link_id", "left").select(

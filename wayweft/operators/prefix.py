@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayweft.session import materialise
+from wayweft.session import materialise, shuffle_width
 
 
 def running_total(
@@ -22,7 +22,7 @@ def running_total(
     because range bounds come from a sample and may differ between two evaluations.
     """
     group = group or []
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or shuffle_width(df.sparkSession)
     keys = [*group, *order]
     placed = materialise(
         df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id())

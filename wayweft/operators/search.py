@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayweft.functions.porter import stem as stem_of
 from wayweft.functions.porter import stem_column
 from wayweft.functions.tokens import query_words, words
-from wayweft.session import materialise
+from wayweft.session import materialise, shuffle_width
 
 # BM25 parameters, and the floor for the idf of a term most rows contain.
 K1 = 1.2
@@ -35,10 +35,11 @@ def postings(tok: DataFrame, key: str, stem: bool = False) -> DataFrame:
     Stemming works on the distinct words, which grow far slower than the postings, and goes back by
     a join on the word; the postings need that spread by word anyway when an index is written.
     """
-    terms = tok.select(key, "dl", F.explode("tokens").alias("term"))
+    terms = tok.select(key, "dl", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     counted = terms.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     if stem:
-        vocabulary = terms.select("term").distinct().withColumn("_stem", stem_of("term"))
+        width = shuffle_width(tok.sparkSession)
+        vocabulary = terms.select("term").distinct().repartition(width).withColumn("_stem", stem_of("term"))
         stemmed = counted.join(vocabulary, "term").select(F.col("_stem").alias("term"), key, "dl", "tf")
         counted = stemmed.groupBy("term", key, "dl").agg(F.sum("tf").alias("tf"))
     return counted.select("term", key, "tf", "dl")
@@ -75,7 +76,7 @@ def index_hits(post: DataFrame, key: str, queries: list[list[str]]) -> DataFrame
         for i, p in enumerate(prefixes)
     ]
     near = post.filter(_any_prefix(F.col("term"), sorted({p for ps in queries for p in ps})))
-    spread = near.select(key, "tf", "dl", F.explode(F.array_compact(F.array(*slots))).alias("_at"))
+    spread = near.select(key, "tf", "dl", F.explode_outer(F.array_compact(F.array(*slots))).alias("_at")).filter("_at IS NOT NULL")
     return spread.groupBy("_at.qid", "_at.slot", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 

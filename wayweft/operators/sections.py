@@ -45,7 +45,7 @@ def split_sections(docs: DataFrame, text: str = "text") -> DataFrame:
 
     joined = F.concat(F.array_join(F.transform("_lines", numbered), "\n"), F.lit("\n"))
     marked = F.regexp_replace(joined, HEADING, f"{SECTION}$1{NUM_CLOSE}$2$3{TITLE_END}")
-    cut = lined.select(*rest, F.posexplode(F.split(marked, SECTION, -1)).alias("pos", "_piece"))
+    cut = lined.select(*rest, F.posexplode_outer(F.split(marked, SECTION, -1)).alias("pos", "_piece")).filter("pos IS NOT NULL")
     headed = F.col("pos") > 0
     tail = F.when(headed, F.substring_index("_piece", TITLE_END, -1)).otherwise(F.col("_piece"))
     fields = cut.select(

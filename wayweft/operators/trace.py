@@ -30,7 +30,7 @@ def file_keys(files: DataFrame, file: str = "file") -> DataFrame:
         F.array(F.struct(F.lit("path").alias("side"), basename(F.col(file)).alias("key"))),
         F.transform(suffixes(F.col(file)), lambda s: F.struct(F.lit("label").alias("side"), s.alias("key"))),
     )
-    return files.select("*", F.explode(keys).alias("_k")).select(*files.columns, "_k.side", "_k.key")
+    return files.select("*", F.explode_outer(keys).alias("_k")).filter("_k IS NOT NULL").select(*files.columns, "_k.side", "_k.key")
 
 
 def script_keys(scripts: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def script_keys(scripts: DataFrame) -> DataFrame:
         F.transform(ends, lambda s: F.struct(F.lit("path").alias("side"), s.alias("key"))),
         F.array(F.struct(F.lit("label").alias("side"), F.col("label").alias("key"))),
     )
-    return scripts.select("*", F.explode(keys).alias("_k")).select(*scripts.columns, "_k.side", "_k.key")
+    return scripts.select("*", F.explode_outer(keys).alias("_k")).filter("_k IS NOT NULL").select(*scripts.columns, "_k.side", "_k.key")
 
 
 def match_files_to_scripts(files: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def trace_candidates(
         )
         for i, q in missed
     ]
-    loose = pool.select("id", "first_ord", F.explode(F.array_compact(F.array(*hits))).alias("qid"))
+    loose = pool.select("id", "first_ord", F.explode_outer(F.array_compact(F.array(*hits))).alias("qid")).filter("qid IS NOT NULL")
     order = Window.partitionBy("qid").orderBy("first_ord", "id")
     return ranked.unionByName(
         loose.select("qid", "id", F.lit("code_symbol").alias("kind"), F.row_number().over(order).alias("cand"))

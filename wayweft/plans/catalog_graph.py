@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayweft.model import node_id
 from wayweft.operators import dedup, reports, trace, traverse
+from wayweft.session import materialise
 from wayweft.sources import tables as t
 
 NODES_SQL = """
@@ -165,7 +166,7 @@ def _seeds(nodes: DataFrame, kind: str) -> DataFrame:
 
 def _spread(spark, folder, kind, depth, directions):
     nodes, edges = both(spark, folder)
-    edges = edges.select("source", "target", "kind", "ord")
+    edges = materialise(edges.select("source", "target", "kind", "ord"))
     out = traverse.neighborhood(edges, _seeds(nodes, kind), depth, directions)
     return out.select("seed", "direction", "dist", "from", "to", "kind")
 

@@ -9,7 +9,7 @@ from wayweft.functions.strings import glob_match
 from wayweft.operators import links, search, sections
 from wayweft.sources import scan
 from wayweft.sources import tables as t
-from wayweft.session import materialise
+from wayweft.session import materialise, shuffle_width
 
 SPACES = r"[\t\x0b\x0c \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 TRIM_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8239) || chr(12288)"
@@ -125,7 +125,8 @@ def doc_stems(spark, folder):
     """Every distinct word of the documents with its stem."""
     from wayweft.functions.porter import stem_column
 
-    vocabulary = _docs(spark, folder).select(F.explode("tokens").alias("word")).distinct()
+    vocabulary = _docs(spark, folder).select(F.explode_outer("tokens").alias("word")).filter("word IS NOT NULL").distinct()
+    vocabulary = vocabulary.repartition(shuffle_width(spark))
     return stem_column(vocabulary.withColumn("stem", F.col("word")), "stem").select("word", "stem")
 
 
@@ -289,7 +290,7 @@ def scan_format_dispatch(spark, folder):
     names = F.array(*[F.lit(n) for n in scan.SAMPLE_NAMES])
     rows = _scan_paths(spark, folder).select(F.posexplode(names).alias("n", "name"), "path")
     named = rows.select(F.concat_ws("/", "path", "name").alias("path"))
-    return named.select("path", F.explode(scan.parsers_for(F.col("path"))).alias("parser"))
+    return named.select("path", F.explode_outer(scan.parsers_for(F.col("path"))).alias("parser")).filter("parser IS NOT NULL")
 
 
 DISPATCH_SQL = f"""WITH {SCAN_PATHS_SQL},

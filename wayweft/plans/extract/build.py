@@ -34,7 +34,7 @@ def makefile(files: DataFrame, turn: int) -> DataFrame:
     """
     joined = F.regexp_replace("text", r"[ \t]*\\\n[ \t]*", " ")
     marked = F.regexp_replace(F.regexp_replace(joined, RULE_LINE, RULE + "$1"), OTHER_LINE, OTHER)
-    rules = files.select("path", F.posexplode(F.split(marked, RULE, -1)).alias("_r", "_block")).filter("_r > 0")
+    rules = files.select("path", F.posexplode_outer(F.split(marked, RULE, -1)).alias("_r", "_block")).filter("_r IS NOT NULL").filter("_r > 0")
     lines = rules.select("path", "_r", F.split(F.split("_block", OTHER)[0], "\n", -1).alias("_lines"))
     head = F.regexp_replace(F.col("_lines")[0], r"(?<!\\)#.*$", "")
     before = F.substring_index(head, ";", 1)
@@ -63,9 +63,9 @@ def makefile(files: DataFrame, turn: int) -> DataFrame:
         return F.concat(F.array(own), needs)
 
     declared = emit(parsed, F.flatten(F.transform("targets", of_target)))
-    steps = parsed.select("path", "_r", "targets", F.posexplode("recipe").alias("_l", "_cmd"))
+    steps = parsed.select("path", "_r", "targets", F.posexplode_outer("recipe").alias("_l", "_cmd")).filter("_l IS NOT NULL")
     cmd = strip(F.regexp_replace("_cmd", r"^[@+-]+", ""))
-    runs = steps.select("path", "_r", "_l", cmd.alias("cmd"), F.posexplode("targets").alias("_t", "_name")).select(
+    runs = steps.select("path", "_r", "_l", cmd.alias("cmd"), F.posexplode_outer("targets").alias("_t", "_name")).filter("_t IS NOT NULL").select(
         "path", target(F.col("_name")).alias("source"), F.array(F.lit(turn), "_r", F.lit(1), "_l", "_t").alias("at"), "cmd"
     )
     return union(declared, command_facts(runs))

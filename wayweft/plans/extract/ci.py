@@ -90,8 +90,8 @@ def github_actions(files: DataFrame, turn: int) -> DataFrame:
         one(flows.filter(~empty & ~is_object(F.col("jobs"))), warning([turn, 1], bad)),
     ]
     jobs = flows.filter(is_object(F.col("jobs"))).select(
-        "path", "flow", F.posexplode(members(F.col("jobs"))).alias("_j", "_e")
-    ).select("path", "flow", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec"))
+        "path", "flow", F.posexplode_outer(members(F.col("jobs"))).alias("_j", "_e")
+    ).filter("_j IS NOT NULL").select("path", "flow", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec"))
     job_id = node_id("workflow_job", F.col("flow"), F.col("job"))
     needs = F.transform(
         text_list(field(F.col("spec"), "needs")),
@@ -104,8 +104,8 @@ def github_actions(files: DataFrame, turn: int) -> DataFrame:
     parts.append(emit(jobs, F.concat(F.array(own), needs)))
     listed = field(F.col("spec"), "steps")
     steps = jobs.withColumn("_steps", listed).filter(is_list(F.col("_steps"))).select(
-        "path", "flow", "job", "_j", F.posexplode(items(F.col("_steps"))).alias("_s", "step")
-    ).filter(is_object(F.col("step")))
+        "path", "flow", "job", "_j", F.posexplode_outer(items(F.col("_steps"))).alias("_s", "step")
+    ).filter("_s IS NOT NULL").filter(is_object(F.col("step")))
 
     def given(key):
         value = field(F.col("step"), key)
@@ -139,7 +139,7 @@ def gitlab(files: DataFrame, turn: int) -> DataFrame:
         yaml_warnings(loaded, turn, "gitlab_ci"),
         one(docs, fact([turn, 0], flow_id, "workflow", F.col("flow"), F.col("path"))),
     ]
-    jobs = docs.select("path", "flow", F.posexplode(members(F.col("json"))).alias("_j", "_e")).select(
+    jobs = docs.select("path", "flow", F.posexplode_outer(members(F.col("json"))).alias("_j", "_e")).filter("_j IS NOT NULL").select(
         "path", "flow", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec")
     ).filter(is_object(F.col("spec")) & ~F.col("job").isin(*GITLAB_RESERVED))
 
@@ -159,7 +159,7 @@ def gitlab(files: DataFrame, turn: int) -> DataFrame:
     )
     own = fact([turn, 1, F.col("_j"), 0, 0], job_id(F.col("job")), "workflow_job", F.col("job"), F.col("path"), None, flow_id, "defines")
     parts.append(emit(jobs, F.concat(F.array(own), needs)))
-    steps = jobs.select("path", "flow", "job", "_j", F.posexplode(text_list(field(F.col("spec"), "script"))).alias("_s", "_cmd"))
+    steps = jobs.select("path", "flow", "job", "_j", F.posexplode_outer(text_list(field(F.col("spec"), "script"))).alias("_s", "_cmd")).filter("_s IS NOT NULL")
     steps = steps.filter(is_text(F.col("_cmd"))).withColumn("cmd", as_text(F.col("_cmd"))).filter(strip(F.col("cmd")) != "")
     number = F.col("_s").cast("string")
     step_id = node_id("workflow_step", F.lit("gitlab"), F.col("flow"), F.col("job"), number)
@@ -187,15 +187,15 @@ def jenkins(files: DataFrame, turn: int) -> DataFrame:
     flow = basename(F.col("path"))
     flow_id = node_id("workflow", F.lit("jenkins"), flow)
     marked = F.array_join(F.transform(quoted, lambda l: F.when(l.startswith("stage("), F.concat(F.lit(STAGE), l)).otherwise(l)), "\n")
-    blocks = files.select("path", F.posexplode(F.split(marked, STAGE, -1)).alias("_b", "_block")).filter("_b > 0")
+    blocks = files.select("path", F.posexplode_outer(F.split(marked, STAGE, -1)).alias("_b", "_block")).filter("_b IS NOT NULL").filter("_b > 0")
     rows = blocks.select("path", "_b", F.split("_block", "\n", -1).alias("_lines"))
     head = F.col("_lines")[0]
     name = F.when(F.contains(head, F.lit('"')), F.split(head, '"')[1]).otherwise(F.split(head, "'")[1])
     stages = rows.withColumn("stage", name)
     stage_id = node_id("workflow_job", F.lit("jenkins"), flow, F.col("stage"))
     steps = stages.filter("stage <> ''").select(
-        "path", "_b", "stage", F.posexplode(F.slice("_lines", 2, 2**30)).alias("_s", "_line")
-    ).filter(F.col("_line").startswith("sh "))
+        "path", "_b", "stage", F.posexplode_outer(F.slice("_lines", 2, 2**30)).alias("_s", "_line")
+    ).filter("_s IS NOT NULL").filter(F.col("_line").startswith("sh "))
     bare = F.btrim(strip(F.substring("_line", 4, 2**30)), F.lit("\"'"))
     steps = steps.withColumn("cmd", bare)
     step_id = node_id("workflow_step", F.lit("jenkins"), flow, F.col("stage"), F.left("cmd", F.lit(30)))

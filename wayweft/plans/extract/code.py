@@ -229,6 +229,11 @@ def _inside(pattern: str):
     return lambda block: F.regexp_extract_all(block, F.lit(pattern), F.lit(1))
 
 
-def code(files: DataFrame, turn: int) -> DataFrame:
+def code(files: DataFrame, turn: int, endings: list[str] | None = None) -> DataFrame:
+    """Facts of source files; ``endings`` names the file endings that occur, to leave idle languages out."""
+    def occurs(suffixes):
+        return endings is None or any(e in endings for e in suffixes)
+
     own = one(files, fact([turn, 0], node_id("file", "path"), "file", basename(F.col("path")), F.col("path")))
-    return union(own, _python(files, turn), *[_braces(files, turn, lang) for lang in LANGUAGES])
+    parts = [_python(files, turn)] if occurs((".py",)) else []
+    return union(own, *parts, *[_braces(files, turn, lang) for lang in LANGUAGES if occurs(lang.suffixes)])

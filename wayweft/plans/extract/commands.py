@@ -55,7 +55,7 @@ def command_facts(df: DataFrame) -> DataFrame:
     ``at`` is the order prefix (an array). Bare assignments come after all commands of a text.
     """
     cmds = df.filter(F.col("cmd").rlike(r"\S")).select("path", "source", "at", shell_commands("cmd").alias("_cmds"))
-    rows = cmds.select("path", "source", "at", F.posexplode("_cmds").alias("_n", "_c"))
+    rows = cmds.select("path", "source", "at", F.posexplode_outer("_cmds").alias("_n", "_c")).filter("_n IS NOT NULL")
     text = F.col("_c.text")
     envs = F.transform(
         F.filter(F.col("_c.env"), lambda e: e.rlike(ENV_NAME)),
@@ -88,7 +88,7 @@ def _fact(stage: int, i: Column, id: Column, kind: str, label: Column, npath, ek
 def emit_at(rows: DataFrame, *lists: Column) -> DataFrame:
     """Facts with the command's place put in front of their own order numbers."""
     facts = F.flatten(F.array_compact(F.array(*lists)))
-    spread = rows.select("path", "at", "_n", F.explode(facts).alias("_f"))
+    spread = rows.select("path", "at", "_n", F.explode_outer(facts).alias("_f")).filter("_f IS NOT NULL")
     return spread.select(
         "path", F.concat("at", F.array("_n"), "_f.at").alias("at"), *[F.col(f"_f.{c}").alias(c) for c in FIELDS[1:]]
     )

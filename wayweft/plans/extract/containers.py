@@ -16,7 +16,7 @@ def dockerfile(files: DataFrame, turn: int) -> DataFrame:
     file_id = node_id("file", "path")
     no_notes = F.regexp_replace("text", r"(?m)^[ \t]*#[^\n]*\n?", "")
     joined = F.regexp_replace(no_notes, r"\\[ \t]*\r?\n[ \t]*", " ")
-    lines = files.select("path", F.posexplode(F.split(joined, r"\r?\n", -1)).alias("_l", "_line"))
+    lines = files.select("path", F.posexplode_outer(F.split(joined, r"\r?\n", -1)).alias("_l", "_line")).filter("_l IS NOT NULL")
     parts = lines.select("path", "_l", F.filter(F.split(strip(F.col("_line")), r"\s+"), lambda w: w != "").alias("w"))
     verb = F.upper(F.get("w", 0))
     flags = F.filter("w", lambda x: x.startswith("--"))
@@ -62,8 +62,8 @@ def compose(files: DataFrame, turn: int) -> DataFrame:
     bad = docs.filter(~is_empty(F.col("services")) & ~is_object(F.col("services")))
     message = F.concat(F.lit("parse error "), "path", F.lit(": compose: `services` must be a mapping"))
     services = docs.filter(is_object(F.col("services"))).select(
-        "path", F.posexplode(members(F.col("services"))).alias("_s", "_e")
-    ).select("path", "_s", F.col("_e.key").alias("name"), F.col("_e.value").alias("spec"))
+        "path", F.posexplode_outer(members(F.col("services"))).alias("_s", "_e")
+    ).filter("_s IS NOT NULL").select("path", "_s", F.col("_e.key").alias("name"), F.col("_e.value").alias("spec"))
     own_id = node_id("service", F.col("name"))
     spec = F.col("spec")
     needs = field(spec, "depends_on")

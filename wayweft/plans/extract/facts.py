@@ -36,7 +36,7 @@ def warning(at: list, message: Column) -> Column:
 
 def emit(df: DataFrame, facts: Column) -> DataFrame:
     """``path`` and the fields of every fact in an array column."""
-    return df.select("path", F.explode(facts).alias("_f")).select("path", *[F.col(f"_f.{c}").alias(c) for c in FIELDS])
+    return df.select("path", F.explode_outer(facts).alias("_f")).filter("_f IS NOT NULL").select("path", *[F.col(f"_f.{c}").alias(c) for c in FIELDS])
 
 
 def one(df: DataFrame, row: Column) -> DataFrame:
@@ -48,3 +48,8 @@ def union(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def nothing(files: DataFrame) -> DataFrame:
+    """No facts at all."""
+    return one(files.limit(0), fact([0], F.lit(""), "", F.lit("")))

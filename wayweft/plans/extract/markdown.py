@@ -50,12 +50,12 @@ def markdown(files: DataFrame, turn: int) -> DataFrame:
 
 def _links(prose: DataFrame, turn: int, file_id) -> DataFrame:
     defs = prose.select(
-        "path", F.posexplode(F.regexp_extract_all("_prose", F.lit(DEFINITION), F.lit(0))).alias("_n", "_d")
-    ).select(
+        "path", F.posexplode_outer(F.regexp_extract_all("_prose", F.lit(DEFINITION), F.lit(0))).alias("_n", "_d")
+    ).filter("_n IS NOT NULL").select(
         "path", _label(F.regexp_extract("_d", DEFINITION, 1)).alias("ref"), F.regexp_extract("_d", DEFINITION, 2).alias("dest"), "_n"
     )
     first = defs.groupBy("path", "ref").agg(F.min_by("dest", "_n").alias("_named"))
-    uses = prose.select("path", F.posexplode(F.regexp_extract_all("_prose", F.lit(LINK), F.lit(0))).alias("_n", "_m"))
+    uses = prose.select("path", F.posexplode_outer(F.regexp_extract_all("_prose", F.lit(LINK), F.lit(0))).alias("_n", "_m")).filter("_n IS NOT NULL")
     inline = F.col("_m").endswith(")")
     shown = F.regexp_extract("_m", r"^\[(.*?)\](?:\[(.*)\])?$", 1)
     given = F.regexp_extract("_m", r"^(?s:.*)\]\[([^\]]*)\]$", 1)

@@ -17,26 +17,32 @@ from wayweft.operators.dedup import dedup_edges, dedup_nodes
 from wayweft.functions.strings import suffix
 from wayweft.model import INDEXED_KINDS
 from wayweft.plans.extract import build, ci, code, commands, containers, markdown
-from wayweft.plans.extract.facts import WARNING, union
+from wayweft.plans.extract.facts import WARNING, nothing, union
 from wayweft.session import materialise
 from wayweft.sources.scan import PARSERS, limit_warnings, parsers_for, within_limit, MAX_BYTES, MAX_FILES
 
 EXTRACTORS = {
-    "code": code.code, "shell": commands.shell_script, "markdown": markdown.markdown, "makefile": build.makefile,
+    "shell": commands.shell_script, "markdown": markdown.markdown, "makefile": build.makefile,
     "github_actions": ci.github_actions, "gitlab_ci": ci.gitlab, "jenkins": ci.jenkins, "cmake": build.cmake,
     "bazel": build.bazel, "dockerfile": containers.dockerfile, "compose": containers.compose,
 }
 
 
-def extract(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
-    """Facts of ``path, text`` rows. The file table should be stored, since every extractor scans it."""
-    tagged = files.withColumn("_parsers", parsers_for(F.col("path")))
-    parts = [
-        EXTRACTORS[name](tagged.filter(F.array_contains("_parsers", name)).select("path", "text"), turn)
-        for turn, name in enumerate(PARSERS)
-        if name in parsers
-    ]
-    return union(*parts)
+def extract(files: DataFrame) -> DataFrame:
+    """Facts of ``path, text`` rows, which should be stored, since every extractor scans them.
+
+    The file endings that occur (a handful of values) decide which extractors enter the plan.
+    """
+    tagged = files.select("path", "text", parsers_for(F.col("path")).alias("_parsers"))
+    kinds = tagged.select(F.explode_outer("_parsers").alias("parser"), suffix(F.col("path")).alias("ending")).filter("parser IS NOT NULL")
+    needed = kinds.groupBy("parser").agg(F.collect_set(F.when(F.col("parser") == "code", F.col("ending"))).alias("endings"))
+    found = {row.parser: row.endings for row in needed.collect()}
+    parts = []
+    for turn, name in enumerate(PARSERS):
+        if name in found:
+            mine = tagged.filter(F.array_contains("_parsers", name)).select("path", "text")
+            parts.append(code.code(mine, turn, found[name]) if name == "code" else EXTRACTORS[name](mine, turn))
+    return union(*parts) if parts else nothing(files)
 
 
 def ordered(facts: DataFrame) -> DataFrame:

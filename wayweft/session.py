@@ -1,4 +1,9 @@
-"""Session helpers: local session for tests and benches, durable materialisation."""
+"""Session helpers: local session for tests and benches, durable materialisation.
+
+A note for all modules: arrays that cost something to make are unnested with ``explode_outer`` and a
+null filter. From a plain ``explode`` the optimizer infers ``size(array) > 0`` and pushes it below
+shuffles into the scan, where the whole array would be made a second time.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,8 @@ def local_session(cores: int | str = 8, app: str = "wayweft") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call-site tracking costs several driver round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
@@ -43,3 +50,17 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than the session has cores, else unchanged.
+
+    For the inputs of heavy per-row text work: a few large row groups would leave most cores idle.
+    On a large table the scan has splits enough and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

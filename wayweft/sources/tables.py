@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayweft.functions.strings import strip
 from wayweft.model import node_id
 from wayweft.operators.dedup import dedup_edges
+from wayweft.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -115,7 +116,7 @@ def symbol_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a path built from source, language and id."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang")).select(
         "doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         "text", "source", "lang",
     )
@@ -145,7 +146,7 @@ def page_paths(spark: SparkSession, folder: str) -> DataFrame:
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links of all pages, respelled as absolute, parent-relative, climbing and fragment-only targets."""
     href = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    rows = page_paths(spark, folder).select("page_id", F.col("path").alias("source_file"), F.posexplode(href).alias("pos", "href"))
+    rows = page_paths(spark, folder).select("page_id", F.col("path").alias("source_file"), F.posexplode_outer(href).alias("pos", "href")).filter("pos IS NOT NULL")
     word = F.expr("substring(href, 2)")
     kind = F.length("href") % 4
     target = (
@@ -161,7 +162,7 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
 def known_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Paths the links may resolve to, derived from the link words and the pages."""
     href = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    word = table(spark, folder, "pages").select(F.explode(href).alias("href")).select(F.expr("substring(href, 2)").alias("w"))
+    word = table(spark, folder, "pages").select(F.explode_outer(href).alias("href")).filter("href IS NOT NULL").select(F.expr("substring(href, 2)").alias("w"))
     size = F.length("w")
     made = (
         F.when(size % 3 == 0, F.concat("w", F.lit("/index.md")))
@@ -190,7 +191,7 @@ def patch_files(spark: SparkSession, folder: str) -> DataFrame:
 
     lines = F.split("text", "\n", -1)
     ending = F.element_at(F.array(*[F.lit(e) for e in PATCH_ENDINGS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return docs.select(
         F.concat(F.lit("src/"), "source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("filename"),
         F.col("doc_id").alias("file_pos"), F.lit("modified").alias("status"),
