@@ -57,7 +57,7 @@ TREE = {
     "src/native.cpp": "#include <vector>\n#include \"a.h\"\n\nint add(int a, int b) {\n  return helper::sum(a, b);\n}\nvoid ns::C::go() const {\n  if (x) { obj->call(); }\n}\n",
     "src/bad.py": "def ok():\n    pass\nclass (:\n",
     "node_modules/skip.py": "import never\n",
-    ".hidden/skip.py": "import never\n",
+    ".hidden/skip.py": "import hush\n",
     "README.md": "hello\n",
 }
 

@@ -6,6 +6,7 @@ import ast
 import json
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -35,16 +36,15 @@ def _extract(text: str, prefixes: list[str], stems: dict | None) -> str:
     hits = [(i, k) for i, n in enumerate(names) for k, p in enumerate(prefixes) if n.startswith(p)]
     total = len(spans)
     starts = [0] + [
-        i for i in range(1, total) if re.search(r"[.:][ \t\n\r]*$", text[spans[i - 1][1] : spans[i][0]])
+        i for i in range(1, total) if re.search(r"[.:][ \t\n\r]+$", text[spans[i - 1][1] : spans[i][0]])
     ]
 
     def score(begin: int) -> tuple[int, int, int]:
         seen, value, first, last = set(), 0, -1, -1
-        for i, k in hits:
-            if begin <= i < begin + SNIPPET_TOKENS:
-                value += 1 if k in seen else 1000
-                seen.add(k)
-                first, last = (i if first < 0 else first), i + 1
+        for i, k in hits[bisect_left(hits, (begin, -1)) : bisect_left(hits, (begin + SNIPPET_TOKENS, -1))]:
+            value += 1 if k in seen else 1000
+            seen.add(k)
+            first, last = (i if first < 0 else first), i + 1
         return value, first, last
 
     best, begin = 0, 0
@@ -54,7 +54,7 @@ def _extract(text: str, prefixes: list[str], stems: dict | None) -> str:
             shift = first - (SNIPPET_TOKENS - (last - first)) // 2
             best, begin = value, max(0, min(shift, total - SNIPPET_TOKENS))
         if total > SNIPPET_TOKENS:
-            open_at = max(s for s in starts if s <= i)
+            open_at = starts[bisect_right(starts, i) - 1]
             if open_at < i:
                 value = score(open_at)[0] + (120 if open_at == 0 else 100)
                 if value > best:

@@ -37,3 +37,30 @@ def running_total(
     return local.join(shift, ["_range", *group]).withColumn(out, F.col("_local") + F.col("_shift")).drop(
         "_range", "_local", "_shift"
     )
+
+
+def nearest_before(
+    marks: DataFrame, points: DataFrame, key: str, order: list[str], value: str, out: str = "nearest", ranges: int | None = None
+) -> DataFrame:
+    """Add ``out`` to ``points``: the ``value`` of the last mark of the same key at or before the point.
+
+    As ``running_total``, it works on ranges of (key, order) and carries the last mark of each range
+    over to the later ones, so a key with very many rows is shared by many tasks.
+    """
+    spark = points.sparkSession
+    n = ranges or shuffle_width(spark)
+    both = marks.select(key, *order, F.lit(0).alias("_point"), F.struct(F.col(value).alias("v")).alias("_mark")).unionByName(
+        points.withColumn("_point", F.lit(1)), allowMissingColumns=True
+    )
+    placed = materialise(both.repartitionByRange(n, key, *order).withColumn("_range", F.spark_partition_id()))
+    last_in = placed.filter("_mark IS NOT NULL").groupBy("_range", key).agg(
+        F.max_by("_mark", F.struct(*order)).alias("_last")
+    )
+    present = placed.select("_range", key).distinct().join(last_in, ["_range", key], "left")
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = present.select("_range", key, F.last("_last", True).over(before).alias("_carry"))
+    inside = Window.partitionBy("_range", key).orderBy(*order, "_point").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_here", F.last("_mark", True).over(inside)).filter("_point = 1")
+    return local.join(carry, ["_range", key]).select(
+        *points.columns, F.coalesce("_here", "_carry")["v"].alias(out)
+    )

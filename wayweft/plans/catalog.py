@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayweft.plans import catalog_diff, catalog_graph, catalog_text
+from wayweft.plans import catalog_diff, catalog_extract, catalog_graph, catalog_text
 
-MODULES = [catalog_graph, catalog_text, catalog_diff]
+MODULES = [catalog_graph, catalog_text, catalog_diff, catalog_extract]
 
 
 def all_queries() -> dict:
