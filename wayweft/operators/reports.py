@@ -57,8 +57,8 @@ def artifact_edges(edges: DataFrame) -> DataFrame:
 def lineage(nodes: DataFrame, edges: DataFrame, label: str | None = None) -> DataFrame:
     """Producers and consumers, one row per (artifact, role, source).
 
-    With a label, only its first artifact node counts. The row form keeps a hot artifact with very
-    many consumers spread out; ``lineage_lists`` folds one artifact into sorted lists.
+    With a label, only its first artifact node counts. Rows instead of lists keep an artifact with
+    very many consumers spread over the tasks.
     """
     artifacts = nodes.filter(F.col("kind") == "artifact")
     if label is not None:
@@ -71,13 +71,6 @@ def lineage(nodes: DataFrame, edges: DataFrame, label: str | None = None) -> Dat
     return artifacts.join(links, "artifact_id").select("artifact", "artifact_id", "role", "source")
 
 
-def lineage_lists(rows: DataFrame) -> DataFrame:
-    def listed(role: str):
-        return F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("source")))).alias(role + "s")
-
-    return rows.groupBy("artifact", "artifact_id").agg(listed("producer"), listed("consumer"))
-
-
 def contract_gaps(edges: DataFrame) -> DataFrame:
     """Artifacts consumed but never produced, and produced but never consumed.
 

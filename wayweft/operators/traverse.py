@@ -1,7 +1,8 @@
 """Bounded breadth-first expansion and shortest path as level-by-level joins.
 
-Edges are spread by their start node once and kept; every level then shuffles only its frontier.
-Levels are checkpointed, so a lost executor does not replay the walk.
+A small frontier is broadcast after its size was checked, so that a level only scans the edges; a
+large one is shuffled, where skewed start nodes are split at run time. Levels are checkpointed, so a
+lost executor does not replay the walk.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayweft.session import materialise
+from wayweft.session import SMALL_ROWS, broadcast_if_small, materialise
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -17,20 +18,17 @@ def _walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     ``edges``: start, stop, kind, ord. ``seeds``: seed. Every node is expanded once per seed.
     """
-    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct()
+    reached = materialise(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct())
     frontier = reached
     hops = edges.select(F.col("start").alias("node"), "stop").distinct()
     for level in range(1, depth):
-        found = frontier.join(hops, "node").select("seed", F.col("stop").alias("node")).distinct()
+        found = hops.join(broadcast_if_small(frontier), "node").select("seed", F.col("stop").alias("node")).distinct()
         frontier = found.join(reached, ["seed", "node"], "left_anti").withColumn("dist", F.lit(level))
-        if level < depth - 1:
-            frontier = materialise(frontier)
-            if frontier.isEmpty():
-                break
-            reached = materialise(reached.unionByName(frontier))
-        else:
-            reached = reached.unionByName(frontier)
-    return reached.join(edges.withColumnRenamed("start", "node"), "node").select(
+        frontier = materialise(frontier)
+        if frontier.isEmpty():
+            break
+        reached = materialise(reached.unionByName(frontier))
+    return edges.withColumnRenamed("start", "node").join(broadcast_if_small(reached), "node").select(
         "seed", "dist", "node", "stop", "kind", "ord"
     )
 
@@ -68,12 +66,14 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> list[str] | None:
         return [start]
     spark = edges.sparkSession
     hops = edges.groupBy("source", "target").agg(F.min("ord").alias("ord"))
-    hops = materialise(hops.repartition("source"))
+    hops = materialise(hops)
     frontier = spark.createDataFrame([(start, 0)], "node string, rank long")
     reached = frontier.select("node")
     levels: list[DataFrame] = []
+    width = 1
     while True:
-        steps = frontier.join(hops, frontier["node"] == hops["source"]).select(
+        side = F.broadcast(frontier) if width <= SMALL_ROWS else frontier
+        steps = hops.join(side, hops["source"] == frontier["node"]).select(
             F.col("target").alias("node"), "rank", "ord", F.col("source").alias("parent")
         )
         best = steps.groupBy("node").agg(F.min(F.struct("rank", "ord", "parent")).alias("via"))
@@ -86,6 +86,7 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> list[str] | None:
         if not seen.n:
             return None
         levels.append(level)
+        width = seen.n
         if seen.hit:
             break
         frontier = level.select("node", "rank")

@@ -21,14 +21,13 @@ nodes AS (
 )"""
 
 EDGES_SQL = """
-next_orders AS (
-  SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key FROM orders
-), edges AS (
+edges AS (
   SELECT concat('workflow:', n_regionkey) AS source, concat('workflow_job:', n_nationkey) AS target, 'defines' AS kind, '' AS command, 1 AS phase, CAST(n_regionkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b FROM nation
   UNION ALL SELECT concat('script:', c_custkey), concat('workflow_job:', c_nationkey), 'depends_on', '', 2, c_custkey, c_nationkey FROM customer
   UNION ALL SELECT concat('target:', s_suppkey), concat('workflow_job:', s_nationkey), 'depends_on', '', 3, s_suppkey, s_nationkey FROM supplier
   UNION ALL SELECT concat('file:', o_orderkey), concat('script:', o_custkey), 'invokes', concat('run ', o_orderpriority), 4, o_orderkey, o_custkey FROM orders
-  UNION ALL SELECT concat('file:', o_orderkey), concat('file:', next_key), 'depends_on', '', 5, o_orderkey, next_key FROM next_orders WHERE next_key IS NOT NULL
+  UNION ALL SELECT concat('file:', o_orderkey), concat('file:', o_orderkey + 7), 'depends_on', '', 5, o_orderkey, o_orderkey + 7 FROM orders
+  UNION ALL SELECT concat('file:', o_orderkey), concat('file:', o_orderkey + 11), 'imports', '', 8, o_orderkey, o_orderkey + 11 FROM orders
   UNION ALL SELECT DISTINCT concat('target:', l_suppkey), concat('artifact:', l_partkey), 'produces', '', 6, l_suppkey, l_partkey FROM lineitem WHERE l_discount = 0.0
   UNION ALL SELECT DISTINCT concat('file:', l_orderkey), concat('artifact:', l_partkey), 'consumes', '', 7, l_orderkey, l_partkey FROM lineitem WHERE l_discount = 0.1
 )"""
@@ -132,18 +131,13 @@ FROM nodes n JOIN edges e ON e.target = n.id WHERE n.kind = 'artifact' AND e.kin
 
 def artifact_lineage_label(spark, folder):
     nodes, edges = both(spark, folder)
-    rows = reports.lineage_lists(reports.lineage(nodes, edges, "small ring"))
-    return rows.select(
-        "artifact", "artifact_id", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers")
-    )
+    return reports.lineage(nodes, edges, "small ring")
 
 
 LINEAGE_LABEL_SQL = f"""WITH {NODES_SQL}, {EDGES_SQL}, one AS (
   SELECT id, label FROM nodes WHERE kind = 'artifact' AND label = 'small ring' ORDER BY rank, key LIMIT 1)
-SELECT label AS artifact, id AS artifact_id,
-  coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (kind = 'produces'), '') AS producers,
-  coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (kind = 'consumes'), '') AS consumers
-FROM one JOIN edges ON target = id WHERE kind IN ('produces', 'consumes') GROUP BY ALL"""
+SELECT DISTINCT label AS artifact, id AS artifact_id, CASE WHEN kind = 'produces' THEN 'producer' ELSE 'consumer' END AS role, source
+FROM one JOIN edges ON target = id WHERE kind IN ('produces', 'consumes')"""
 
 
 def contracts_missing_producer(spark, folder):
@@ -200,30 +194,18 @@ def _walk_sql(kind: str, depth: int, directions: tuple[str, ...]) -> str:
     return f"WITH {NODES_SQL}, {EDGES_SQL}, " + ", ".join(heads) + " " + " UNION ALL ".join(parts)
 
 
-def _busiest(spark, folder):
-    """First and sixth order of the customer with the most orders (the lowest key among equals)."""
-    orders = t.table(spark, folder, "orders")
-    top = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(1)
-    keys = [
-        r.o_orderkey
-        for r in orders.join(F.broadcast(top), "o_custkey").select("o_orderkey").orderBy("o_orderkey").limit(6).collect()
-    ]
-    return f"file:{keys[0]}", f"file:{keys[-1]}"
-
-
 def shortest_path_nodes(spark, folder):
-    start, end = _busiest(spark, folder)
-    return traverse.shortest_path_frame(t.supply_edges(spark, folder), start, end)
+    """From the first order to the one 54 keys on; several shortest ways differ in the order of their steps."""
+    first = t.table(spark, folder, "orders").agg(F.min("o_orderkey")).first()[0]
+    return traverse.shortest_path_frame(t.supply_edges(spark, folder), f"file:{first}", f"file:{first + 54}")
 
 
-SHORTEST_SQL = f"""WITH RECURSIVE {EDGES_SQL}, top AS (
-  SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 1), pick AS (
-  SELECT o_orderkey FROM orders SEMI JOIN top USING (o_custkey) ORDER BY 1 LIMIT 6), ends AS (
-  SELECT concat('file:', min(o_orderkey)) AS s, concat('file:', max(o_orderkey)) AS e FROM pick), walk AS (
-  SELECT s AS node, [s] AS path, 0 AS hops FROM ends
-  UNION ALL SELECT x.target, list_append(w.path, x.target), w.hops + 1 FROM walk w JOIN edges x ON x.source = w.node
+SHORTEST_SQL = f"""WITH RECURSIVE {EDGES_SQL}, ends AS (
+  SELECT concat('file:', min(o_orderkey)) AS s, concat('file:', min(o_orderkey) + 54) AS e FROM orders), walk AS (
+  SELECT s AS node, [s] AS path, [(0, CAST(0 AS BIGINT), CAST(0 AS BIGINT))] AS ords, 0 AS hops FROM ends
+  UNION ALL SELECT x.target, list_append(w.path, x.target), list_append(w.ords, (x.phase, x.a, x.b)), w.hops + 1 FROM walk w JOIN edges x ON x.source = w.node
   WHERE w.hops < 8 AND w.node <> (SELECT e FROM ends) AND NOT list_contains(w.path, x.target)), hit AS (
-  SELECT path FROM walk WHERE node = (SELECT e FROM ends) ORDER BY hops LIMIT 1)
+  SELECT path FROM walk WHERE node = (SELECT e FROM ends) ORDER BY hops, ords LIMIT 1)
 SELECT CAST(unnest(range(len(path))) AS INTEGER) AS pos, unnest(path) AS node FROM hit"""
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "wayweft") -> SparkSession:
@@ -24,6 +25,7 @@ def local_session(cores: int | str = 8, app: str = "wayweft") -> SparkSession:
         # Call-site tracking costs several driver round trips per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
@@ -62,5 +64,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Mark a stored, narrow frame for broadcast when it has at most ``rows`` rows, else leave it.
+
+    Beyond the bound the join shuffles, with skewed keys split at run time.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

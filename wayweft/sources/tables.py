@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wayweft.functions.strings import strip
 from wayweft.model import node_id
 from wayweft.operators.dedup import dedup_edges
 from wayweft.session import spread
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table by name; its schema is read from the files once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _command(text: Column) -> Column:
@@ -71,20 +78,17 @@ def artifact_edges_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders invoke their customer and lead to the customer's next order."""
+    """Orders invoke their customer and lead to the orders 7 and 11 keys on (which may be unknown)."""
     orders = table(spark, folder, "orders")
     invokes = _edge(
         orders, 4, ("file", "o_orderkey"), ("script", "o_custkey"), "invokes",
         _command(F.concat(F.lit("run "), F.col("o_orderpriority"))),
     )
-    return invokes.unionByName(_edge(next_orders(orders), 5, ("file", "o_orderkey"), ("file", "next_key"), "depends_on"))
-
-
-def next_orders(orders: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return orders.select("o_orderkey", F.lead("o_orderkey").over(w).alias("next_key")).filter("next_key IS NOT NULL")
+    near = orders.select("o_orderkey", (F.col("o_orderkey") + 7).alias("later"))
+    far = orders.select("o_orderkey", (F.col("o_orderkey") + 11).alias("later"))
+    return invokes.unionByName(_edge(near, 5, ("file", "o_orderkey"), ("file", "later"), "depends_on")).unionByName(
+        _edge(far, 8, ("file", "o_orderkey"), ("file", "later"), "imports")
+    )
 
 
 def supply_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,7 +241,3 @@ def command_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("in-"), F.col("o_custkey").cast("string"), F.lit(".parquet"))),
     )
     return orders.select("o_orderkey", F.concat_ws(" ", head, args).alias("command"))
-
-
-def squeeze(text: Column) -> Column:
-    return strip(text)

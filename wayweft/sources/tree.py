@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +16,9 @@ from wayweft.operators.sections import DOC_SUFFIXES
 from wayweft.sources.scan import IGNORED, MAX_BYTES, MAX_FILES, OPEN_HIDDEN, is_pruned
 
 
+READ_BATCH = 32
+
+
 def list_tree(root: str, include_hidden: bool = False, max_files: int | None = MAX_FILES) -> list[tuple[str, int]]:
     """Relative paths and sizes in path order, one more than the limit at most.
 
@@ -28,19 +32,20 @@ def list_tree(root: str, include_hidden: bool = False, max_files: int | None = M
     def skip(name: str) -> bool:
         return name in IGNORED or (not include_hidden and name.startswith(".") and name != OPEN_HIDDEN)
 
-    found: list[tuple[tuple[str, ...], int]] = []
-    stack = [base]
-    while stack:
-        with os.scandir(stack.pop()) as entries:
-            for entry in entries:
-                if skip(entry.name):
-                    continue
-                if entry.is_dir(follow_symlinks=False):
-                    stack.append(Path(entry.path))
-                elif entry.is_file():
-                    found.append((Path(entry.path).relative_to(base).parts, entry.stat().st_size))
-    found.sort()
-    return [("/".join(parts), size) for parts, size in (found if max_files is None else found[: max_files + 1])]
+    def walk() -> Iterator[tuple[tuple[str, ...], int]]:
+        stack = [base]
+        while stack:
+            with os.scandir(stack.pop()) as entries:
+                for entry in entries:
+                    if skip(entry.name):
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        stack.append(Path(entry.path))
+                    elif entry.is_file():
+                        yield Path(entry.path).relative_to(base).parts, entry.stat().st_size
+
+    found = sorted(walk()) if max_files is None else heapq.nsmallest(max_files + 1, walk())
+    return [("/".join(parts), size) for parts, size in found]
 
 
 def files_from_tree(
@@ -57,15 +62,17 @@ def files_from_tree(
     cores = spark.sparkContext.defaultParallelism
     spread = names.repartition(max(1, min(len(listing) // 64 + 1, cores * 4)), "path")
 
+    def content(path: str) -> bytes | None:
+        try:
+            return Path(base, path).read_bytes()
+        except OSError:
+            return None
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            data = []
-            for path in batch["path"]:
-                try:
-                    data.append(Path(base, path).read_bytes())
-                except OSError:
-                    data.append(None)
-            yield batch.assign(content=data)
+            for start in range(0, len(batch), READ_BATCH):
+                some = batch.iloc[start : start + READ_BATCH]
+                yield some.assign(content=[content(path) for path in some["path"]])
 
     loaded = spread.mapInPandas(read, "path string, size bigint, content binary")
     return with_text(loaded, max_bytes)
