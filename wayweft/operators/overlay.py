@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.operators.prefix import running_total
@@ -14,11 +14,11 @@ def content_keys(files: DataFrame, include_hidden: bool = False, max_files: int
     """``root, content_key``: 16 hex digits over the ordered listing of ``root, path, digest``.
 
     Paths are ordered component by component. The listing ends at the scan limit, which also bounds
-    what one root can bring to its group.
+    what one root can bring to its group. Places come from range totals, so that a root with very
+    many files is not sorted in one task.
     """
-    parts = F.split("path", "/")
-    order = Window.partitionBy("root").orderBy(parts)
-    listed = files.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files)
+    keyed = files.select("root", "path", "digest", F.split("path", "/").alias("_parts"), F.lit(1).alias("_one"))
+    listed = running_total(keyed, "_one", ["_parts"], ["root"], out="_n").filter(F.col("_n") <= max_files)
     entry = F.concat("path", F.decode(F.lit(b"\x00"), "UTF-8"), "digest", F.lit("\n"))
     rows = F.sort_array(F.collect_list(F.struct(F.col("_n"), entry.alias("e"))))
     head = "v1\nhidden=1\n" if include_hidden else "v1\nhidden=0\n"

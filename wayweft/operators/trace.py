@@ -91,16 +91,18 @@ def _top(df: DataFrame, keys: list[str], order: list, n: int, name: str) -> Data
 def trace_candidates(
     nodes: DataFrame, symbols: DataFrame, post: DataFrame, stats: CorpusStats, queries: list[str], limit: int
 ) -> DataFrame:
-    """``qid, id, kind, cand``: best index rows per query, or, for a query without any, matching symbols.
+    """``qid, id, kind, cand, place``: best index rows per query, or, for a query without any, matching symbols.
 
     The index is asked for four times the limit (64 at least). The substring pass sees only symbols
-    with a defining file, in definition order, and is not cut.
+    with a defining file, in definition order, and is not cut; its rows have ``cand`` 0. ``place``
+    orders the candidates of a query without numbering them.
     """
+    ord_type = symbols.schema["first_ord"].dataType
     indexed = nodes.filter(F.col("kind").isin(*INDEXED_KINDS)).select("id", "kind", "ord")
     found = search_index(post, "id", queries, stats, require_all=True).join(indexed, "id")
-    ranked = materialise(
-        _top(found, ["qid"], ["score", "ord"], max(limit * 4, 64), "cand").select("qid", "id", "kind", "cand")
-    )
+    listed = _top(found, ["qid"], ["score", "ord"], max(limit * 4, 64), "cand")
+    place = F.struct(F.col("cand").alias("n"), F.lit(None).cast(ord_type).alias("ord"), F.lit(None).cast("string").alias("id"))
+    ranked = materialise(listed.select("qid", "id", "kind", "cand", place.alias("place")))
     answered = {r.qid for r in ranked.select("qid").distinct().collect()}
     missed = [(i, q.strip().lower()) for i, q in enumerate(queries) if i not in answered and q.strip()]
     if not missed:
@@ -114,9 +116,9 @@ def trace_candidates(
         for i, q in missed
     ]
     loose = pool.select("id", "first_ord", F.explode_outer(F.array_compact(F.array(*hits))).alias("qid")).filter("qid IS NOT NULL")
-    order = Window.partitionBy("qid").orderBy("first_ord", "id")
+    place = F.struct(F.lit(0).alias("n"), F.col("first_ord").alias("ord"), F.col("id").alias("id"))
     return ranked.unionByName(
-        loose.select("qid", "id", F.lit("code_symbol").alias("kind"), F.row_number().over(order).alias("cand"))
+        loose.select("qid", "id", F.lit("code_symbol").alias("kind"), F.lit(0).alias("cand"), place.alias("place"))
     )
 
 
@@ -129,7 +131,7 @@ def symbol_chains(
     invocations, so both sides are cut (exactly) before they meet and hot names cannot multiply.
     """
     known = nodes.select("id", F.col("label").alias("symbol_label"), F.col("kind").alias("symbol_kind"))
-    code = candidates.filter(F.col("kind") == "code_symbol").select("qid", "id", "cand")
+    code = candidates.filter(F.col("kind") == "code_symbol").select("qid", "id", "cand", "place")
     code = code.join(symbols.select("id", "file"), "id").join(known, "id")
     scripts = calls.select("script_id", F.col("script_label").alias("label"), F.col("script_path").alias("path")).distinct()
     keyed_scripts = script_keys(scripts).select("script_id", "side", "key")
@@ -139,14 +141,14 @@ def symbol_chains(
         .select(*code.columns)
         .distinct()
     )
-    needed = materialise(_top(matched, ["qid"], ["cand"], limit, "_n").drop("_n"))
+    needed = materialise(_top(matched, ["qid"], ["place"], limit, "_n").drop("_n"))
     needed_keys = file_keys(needed)
     wanted = keyed_scripts.join(needed_keys.select("side", "key").distinct(), ["side", "key"], "left_semi")
     by_key = calls.join(wanted, "script_id")
     heads = _top(by_key, ["side", "key"], ["inv_ord"], limit, "_n").drop("_n")
     pairs = needed_keys.join(heads, ["side", "key"]).drop("side", "key")
     pairs = pairs.dropDuplicates(["qid", "id", "source_id", "script_id"])
-    return _top(pairs, ["qid"], ["cand", "inv_ord"], limit, "pos")
+    return _top(pairs, ["qid"], ["place", "inv_ord"], limit, "pos")
 
 
 def trace(
