@@ -113,3 +113,30 @@ def test_eviction(spark):
     rows = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "used_at int, size int")
     assert sorted((r.used_at, r.evicted) for r in overlay.evict_over_budget(rows, 35).collect()) == [(1, True), (2, True), (3, False)]
     assert not any(r.evicted for r in overlay.evict_over_budget(rows, 60).collect())
+
+
+def test_archives(spark, tmp_path):
+    import tarfile
+
+    from tests.trees import write_tree
+    from wayweft.sources.tree import files_from_archives
+
+    write_tree(tmp_path / "repo-abc", {"a/b.py": "x = 1\n", "node_modules/c.js": "no", "d.md": "# t"})
+    (tmp_path / "other.txt").write_text("outside")
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "repo-abc", "repo-abc")
+        tar.add(tmp_path / "other.txt", "other.txt")
+    rows = files_from_archives(spark, [str(tmp_path / "t.tar.gz")]).collect()
+    assert sorted((r.path, r.text) for r in rows) == [("a/b.py", "x = 1\n"), ("d.md", "# t")]
+
+
+def test_binary_source(spark, tree):
+    from wayweft.sources.tree import files_from_binary, files_from_tree
+
+    there = {r.path: r.sha256 for r in files_from_binary(spark, str(tree)).collect()}
+    assert there == {r.path: r.sha256 for r in files_from_tree(spark, str(tree)).collect()}
+
+
+def test_hosted_slug(spark):
+    rows = spark.createDataFrame([("git@github.com:o/r.git",), ("https://github.com/o/r",), ("http://x/y.git",)], "u string")
+    assert [r.s for r in rows.select(pulls.hosted_slug(F.col("u")).alias("s")).collect()] == ["o/r", "o/r", "http://x/y"]

@@ -33,6 +33,24 @@ def pack_batches(
     return small.unionByName(_double(big, order, group, budget))
 
 
+def batch_texts(chunks: DataFrame, packed: DataFrame, group: str, order: str, budget: int) -> DataFrame:
+    """``group, batch, body, bytes, mode``: the text of every batch, which the budget bounds.
+
+    ``chunks``: group, order, chunk, truncated. A chunk over the budget is cut. The mode of a group is
+    ``batched`` for several batches, ``trunc`` when a chunk was cut short, else ``full``.
+    """
+    cut = F.when(
+        F.length("chunk") > budget, F.concat(F.left("chunk", F.lit(budget)), F.lit("\n... [truncated]\n```\n"))
+    ).otherwise(F.col("chunk"))
+    placed = chunks.join(packed.select(group, order, "batch"), [group, order])
+    parts = F.sort_array(F.collect_list(F.struct(order, cut.alias("text"))))
+    texts = placed.groupBy(group, "batch").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("body"))
+    modes = placed.groupBy(group).agg(
+        F.when(F.max("batch") > 1, "batched").when(F.bool_or("truncated"), "trunc").otherwise("full").alias("mode")
+    )
+    return texts.join(modes, group).select(group, "batch", "body", F.octet_length("body").alias("bytes"), "mode")
+
+
 def _fold(items: DataFrame, order: str, group: str, budget: int) -> DataFrame:
     schema = items.select(group, order, "size", F.lit(0).cast("long").alias("batch")).schema
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayweft.operators import diffs, evidence, overlay, packing
+from wayweft.session import ensure_checkpoint_dir, materialise
 from wayweft.sources import pulls
 from wayweft.sources import tables as t
 from wayweft.streaming import changes
@@ -173,6 +176,24 @@ packed AS (
 SELECT source, file_pos, size, batch FROM packed"""
 
 
+def diff_batch_texts(spark, folder):
+    files = t.patch_files(spark, folder)
+    chunks = materialise(
+        diffs.render_chunks(files).join(files.select("filename", "source"), "filename").select("source", "file_pos", "chunk", "truncated")
+    )
+    sized = chunks.select("source", "file_pos", F.length("chunk").alias("len"))
+    packed = packing.pack_batches(sized, "len", "file_pos", "source", BUDGET)
+    out = packing.batch_texts(chunks, packed, "source", "file_pos", BUDGET)
+    return out.select("source", "batch", F.md5("body").alias("body_md5"), "bytes", "mode")
+
+
+BATCH_TEXTS_SQL = PACKING_SQL.replace("SELECT source, file_pos, size, batch FROM packed", f""", texts AS (
+  SELECT source, batch, string_agg(CASE WHEN length(chunk) > {BUDGET} THEN concat(left(chunk, {BUDGET}), {LF}, '... [truncated]', {LF}, '```', {LF}) ELSE chunk END, '' ORDER BY file_pos) AS body
+  FROM packed JOIN chunks USING (source, file_pos) GROUP BY ALL),
+modes AS (SELECT source, CASE WHEN max(batch) > 1 THEN 'batched' WHEN bool_or(truncated) THEN 'trunc' ELSE 'full' END AS mode FROM packed JOIN chunks USING (source, file_pos) GROUP BY 1)
+SELECT source, batch, md5(body) AS body_md5, CAST(strlen(body) AS INTEGER) AS bytes, mode FROM texts JOIN modes USING (source)""")
+
+
 def _reviews(spark, folder):
     """Conversation turns with verdict lines and comment blocks put in by turn and role."""
     turns = t.table(spark, folder, "conversations")
@@ -317,6 +338,30 @@ def dirty_roots(spark, folder):
     return changes.dirty_roots(feed, built)
 
 
+def dirty_roots_stream(spark, folder):
+    """The same answer from the streaming change feed: events stream in, the newest change per root is kept."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
+    events = t.table(spark, folder, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    feed = stream.select(
+        F.col("user_id").cast("string").alias("root"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.when(F.col("event_type") == "error", F.lit("node_modules/")).otherwise(F.lit("src/")), "event_type").alias("path"),
+    )
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{place}/changed/batch={batch_id}")
+
+    changes.watch(feed, keep, f"{place}/state", once=True).awaitTermination()
+    changed = spark.read.schema("root string, changed_at timestamp").parquet(f"{place}/changed")
+    newest = changed.groupBy("root").agg(F.max("changed_at").alias("changed_at"))
+    built = events.groupBy(F.col("user_id").cast("string").alias("root")).agg(
+        F.min_by(F.col("ts").cast("timestamp"), F.struct("event_type", "ts", "event_id")).alias("built_at")
+    )
+    late = built.join(newest, "root", "left")
+    return late.select("root", F.coalesce(F.col("changed_at") > F.col("built_at"), F.lit(False)).alias("dirty"))
+
+
 DIRTY_SQL = """
 WITH built AS (SELECT user_id, arg_min(ts, (event_type, ts, event_id)) AS built_at FROM events GROUP BY 1)
 SELECT CAST(user_id AS VARCHAR) AS root, bool_or(event_type <> 'error' AND ts > built_at) AS dirty FROM events JOIN built USING (user_id) GROUP BY 1"""
@@ -371,6 +416,7 @@ QUERIES = {
     "diff_added_identifiers": (diff_added_identifiers, ADDED_SQL),
     "diff_batch_packing": (diff_batch_packing, PACKING_SQL),
     "diff_batch_packing_large": (diff_batch_packing_large, PACKING_SQL),
+    "diff_batch_texts": (diff_batch_texts, BATCH_TEXTS_SQL),
     "verdict_parse": (verdict_parse, VERDICT_SQL),
     "inline_block_split": (inline_block_split, INLINE_BLOCK_SQL),
     "comments_without_bots": (comments_without_bots, BOTS_SQL),
@@ -383,6 +429,7 @@ QUERIES = {
         "SELECT source AS root, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM documents GROUP BY 1",
     ),
     "dirty_roots": (dirty_roots, DIRTY_SQL),
+    "dirty_roots_stream": (dirty_roots_stream, DIRTY_SQL),
     "evidence_out_of_scope": (evidence_out_of_scope, SCOPE_SQL),
     "json_props_lenient": (json_props_lenient, JSON_SQL),
 }

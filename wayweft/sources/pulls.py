@@ -33,6 +33,11 @@ def is_hosted(remote: Column) -> Column:
     return remote.startswith("https://github.com/") | remote.startswith("http://github.com/") | remote.startswith("git@github.com:")
 
 
+def hosted_slug(remote: Column) -> Column:
+    """``owner/repo`` of a hosted address without the ``.git`` ending; other addresses lose only that."""
+    return F.regexp_replace(F.regexp_replace(remote, r"^(?:https?://github\.com/|git@github\.com:)", ""), r"\.git$", "")
+
+
 def coordinates(rows: DataFrame) -> DataFrame:
     """Add ``owner, repo, number`` to rows ``input, remote``: an address, ``owner/repo#n``, or a bare number.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import tarfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from wayweft.sources.scan import IGNORED, MAX_BYTES, MAX_FILES, OPEN_HIDDEN, is_
 
 
 READ_BATCH = 32
+ARCHIVE_COLUMNS = ["archive", "path", "size", "content"]
 
 
 def list_tree(root: str, include_hidden: bool = False, max_files: int | None = MAX_FILES) -> list[tuple[str, int]]:
@@ -78,13 +80,12 @@ def files_from_tree(
     return with_text(loaded, max_bytes)
 
 
-def with_text(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``path, size, text, sha256`` from binary contents; bytes that are no UTF-8 become U+FFFD."""
+def with_text(files: DataFrame, max_bytes: int = MAX_BYTES, *keep: str) -> DataFrame:
+    """``<keep>, path, size, text, sha256`` from binary contents; bytes that are no UTF-8 become U+FFFD."""
     wanted = (F.col("size") <= max_bytes) | suffix(F.col("path")).isin(*DOC_SUFFIXES)
-    # Valid text takes the checked route; only broken bytes go through the lenient cast.
     text = F.make_valid_utf8(F.col("content").cast("string"))
     digest = F.coalesce(F.sha2("content", 256), F.lit("unreadable"))
-    return files.select("path", "size", F.when(wanted, text).alias("text"), digest.alias("sha256"))
+    return files.select(*keep, "path", "size", F.when(wanted, text).alias("text"), digest.alias("sha256"))
 
 
 def files_from_binary(
@@ -107,3 +108,34 @@ def files_from_binary(
     path = F.expr(f"substring(path, {len(base) + 2})")
     listed = rows.select(path.alias("path"), F.col("length").alias("size"), "content")
     return with_text(listed.filter(~is_pruned(F.col("path"), include_hidden)), max_bytes)
+
+
+def files_from_archives(
+    spark: SparkSession, paths: list[str], include_hidden: bool = False, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """``archive, path, size, text, sha256`` of tar archives, without their common top folder.
+
+    One task reads one archive member by member; entries outside the first top folder are ignored,
+    as are links and paths that climb out.
+    """
+    names = spark.createDataFrame([(p,) for p in paths], "archive string").repartition(max(1, len(paths)), "archive")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive in batch["archive"]:
+                with tarfile.open(archive, "r:*") as tar:
+                    top, rows = None, []
+                    for member in tar:
+                        head, _, rest = member.name.partition("/")
+                        top = top or head
+                        if head != top or not rest or not member.isfile() or ".." in rest.split("/"):
+                            continue
+                        rows.append((archive, rest, member.size, tar.extractfile(member).read()))
+                        if len(rows) == READ_BATCH:
+                            yield pd.DataFrame(rows, columns=ARCHIVE_COLUMNS)
+                            rows = []
+                    if rows:
+                        yield pd.DataFrame(rows, columns=ARCHIVE_COLUMNS)
+
+    loaded = names.mapInPandas(read, "archive string, path string, size bigint, content binary")
+    return with_text(loaded.filter(~is_pruned(F.col("path"), include_hidden)), max_bytes, "archive")
