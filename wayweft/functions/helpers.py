@@ -187,7 +187,10 @@ def nest_scopes(kinds: pd.Series, names: pd.Series) -> pd.Series:
 # --- Shell ----------------------------------------------------------------------------------------
 
 COMMANDS = _rows(bare=T.BooleanType(), env=T.ArrayType(TEXT), head=TEXT, args=T.ArrayType(TEXT), text=TEXT)
-_HEREDOC = re.compile(r"<<-?[ \t]*\\?(['\"]?)(\w+)\1([^\n]*)\n(?:.*?\n)??[ \t]*\2[ \t]*(?=\n|\Z)", re.S)
+_HEREDOC = re.compile(r"<<-?[ \t]*\\?(['\"]?)(\w+)\1")
+_PARENS = re.compile(r"\s*\)")
+_SUBST = re.compile(r"\$\((?!\()|`")
+_DEEP = 200
 _SHELL = re.compile(
     r"""(?P<skip>\\\n|[ \t]+|(?<![^\s;&|(])\#[^\n]*)|(?P<redir>\d*(?:<<<|>>|<<|>&|<&|&>|[<>])&?[ \t]*\d*-?)"""
     r"""|(?P<sep>;;|&&|\|\||[;&|\n()])"""
@@ -197,8 +200,10 @@ _ASSIGN = re.compile(r"([A-Za-z_]\w*)\+?=")
 _SHELL_WORDS = frozenset("if then elif else fi do done while until for in case esac { } ! time function select".split())
 
 
-def _close(text: str, i: int) -> int:
-    """End of the quoted or substituted piece that starts at ``i``."""
+def _close(text: str, i: int, depth: int = 0) -> int:
+    """End of the quoted or substituted piece that starts at ``i``; absurdly deep nesting runs to the end."""
+    if depth > _DEEP:
+        return len(text)
     if text[i] == "\\":
         return min(i + 2, len(text))
     if text[i] == "'" or text[i] == "`":
@@ -210,26 +215,46 @@ def _close(text: str, i: int) -> int:
         return i + 1
     i += len(opener)
     while i < len(text) and text[i] != ends[opener]:
-        nested = text[i] in "\\`" or text.startswith(("$(", "${"), i) or (opener != '"' and text[i] in "\"'(")
-        i = _close(text, i) if nested and text[i] != "(" else i + 1
+        nested = text[i] in "\\`" or text.startswith(("$(", "${"), i) or (opener != '"' and text[i] in "\"'")
+        i = _close(text, i, depth + 1) if nested else i + 1
     return min(i + 1, len(text))
 
 
+def _without_heredocs(text: str) -> str:
+    """Drop heredoc bodies that end; each line is looked at once."""
+    if "<<" not in text:
+        return text
+    lines, ends, out, i = text.split("\n"), {}, [], 0
+    for n, line in enumerate(lines):
+        ends.setdefault(line.strip(), []).append(n)
+    while i < len(lines):
+        last = i
+        for mark in _HEREDOC.finditer(lines[i]):
+            spots = ends.get(mark[2], [])
+            k = bisect_right(spots, last)
+            last = spots[k] if k < len(spots) else last
+        out.append(lines[i] if last == i else _HEREDOC.sub(" ", lines[i]))
+        i = last + 1
+    return "\n".join(out)
+
+
 def _unquote(word: str) -> str:
     word = word.strip()
     return word[1:-1] if len(word) > 1 and word[0] == word[-1] and word[0] in "\"'" else word
 
 
 def _inner(text: str):
-    """Texts of the command substitutions inside a word."""
-    for m in re.finditer(r"\$\((?!\()|`", text):
-        end = _close(text, m.start())
-        yield text[m.end() : end - 1]
+    """Texts of the outermost command substitutions inside a word."""
+    mark = _SUBST.search(text)
+    while mark:
+        end = _close(text, mark.start())
+        yield text[mark.end() : end - 1]
+        mark = _SUBST.search(text, max(end, mark.end()))
 
 
 def _commands(text: str, depth: int = 0):
     """Simple commands of a script in source order, with those inside substitutions after their host."""
-    text = _HEREDOC.sub(lambda m: " " + m[3], text)
+    text = _without_heredocs(text)
     plain, bare, i, words, span, skip_word, loop, opened = [], [], 0, [], None, False, False, 0
 
     def flush():
@@ -258,7 +283,7 @@ def _commands(text: str, depth: int = 0):
         elif m and m["redir"]:
             i, skip_word = m.end(), not re.search(r"[&][ \t]*[\d-]+$", m[0])
         elif m:
-            named = m[0] == "(" and text[m.end() :].lstrip().startswith(")")  # function definition
+            named = m[0] == "(" and _PARENS.match(text, m.end())  # function definition
             if named or (m[0] == ")" and not opened):  # or case pattern
                 words = []
             opened += {"(": 1, ")": -(opened > 0)}.get(m[0], 0)

@@ -32,7 +32,7 @@ def makefile(files: DataFrame, turn: int) -> DataFrame:
     Continued lines are joined first. Conditionals and blank lines do not end a rule, other
     statements do. Words with variables are no targets; a lone variable is a prerequisite.
     """
-    joined = F.regexp_replace("text", r"[ \t]*\\\n[ \t]*", " ")
+    joined = F.regexp_replace("text", r"(?<![ \t])[ \t]*+\\\n[ \t]*+", " ")
     marked = F.regexp_replace(F.regexp_replace(joined, RULE_LINE, RULE + "$1"), OTHER_LINE, OTHER)
     rules = files.select("path", F.posexplode_outer(F.split(marked, RULE, -1)).alias("_r", "_block")).filter("_r IS NOT NULL").filter("_r > 0")
     lines = rules.select("path", "_r", F.split(F.split("_block", OTHER)[0], "\n", -1).alias("_lines"))

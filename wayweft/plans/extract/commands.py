@@ -11,7 +11,7 @@ from wayweft.model import node_id
 from wayweft.plans.extract.facts import FIELDS, fact, one, union
 
 # File endings of artifacts, and the texts that make a command a producer.
-ARTIFACT = r"(?U)([\w./-]+\.(?:pt|pth|ckpt|bin|jsonl?|csv|parquet|tar(?:\.gz)?|zip))"
+ARTIFACT = r"(?U)(?<![\w./-])([\w./-]+\.(?:pt|pth|ckpt|bin|jsonl?|csv|parquet|tar(?:\.gz)?|zip))"
 PRODUCER_MARKS = ("--output", "-o", "save", "write", "export")
 ENV_NAME = r"^[A-Z_][A-Z0-9_]*$"
 

@@ -14,7 +14,7 @@ from wayweft.plans.extract.facts import emit, fact, one, union, warning
 def dockerfile(files: DataFrame, turn: int) -> DataFrame:
     """Base images, stage names, stage references and copied paths, one instruction per logical line."""
     file_id = node_id("file", "path")
-    no_notes = F.regexp_replace("text", r"(?m)^[ \t]*#[^\n]*\n?", "")
+    no_notes = F.regexp_replace("text", r"(?m)^[ \t]*+#[^\n]*+\n?", "")
     joined = F.regexp_replace(no_notes, r"\\[ \t]*\r?\n[ \t]*", " ")
     lines = files.select("path", F.posexplode_outer(F.split(joined, r"\r?\n", -1)).alias("_l", "_line")).filter("_l IS NOT NULL")
     parts = lines.select("path", "_l", F.filter(F.split(strip(F.col("_line")), r"\s+"), lambda w: w != "").alias("w"))
