@@ -10,8 +10,8 @@ from wayweft.model import node_id
 from wayweft.plans.extract.commands import command_facts
 from wayweft.plans.extract.facts import emit, fact, union
 
-CMAKE_TARGET = r"(?m)^\s*add_(?:library|executable)\(([^\s\)]+)"
-CMAKE_LINK = r"(?m)^\s*target_link_libraries\(([^\s\)]+)\s+([^\)]+)\)"
+CMAKE_TARGET = r"(?m)^[^\S\n]*+add_(?:library|executable)\(([^\s\)]+)"
+CMAKE_LINK = r"(?m)^[^\S\n]*+target_link_libraries\(([^\s\)]+)\s+([^\)]+)\)"
 CMAKE_SCOPES = ("PUBLIC", "PRIVATE", "INTERFACE")
 BAZEL_NAME = r"(?U)\bname\s*=\s*\"([^\"]+)\""
 BAZEL_DEPS = r"(?sU)\bdeps\s*=\s*\[(.*?)\]"
