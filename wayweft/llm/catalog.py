@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wayweft.llm import near_dedup
+from pyspark.sql import functions as F
+
+from wayweft.llm import line_dedup, near_dedup, quality
 from wayweft.llm.shared import table
 
 
@@ -10,6 +12,18 @@ def op3_near_dedup(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+def op5_quality_rules(spark, folder):
+    out = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_line_dedup(spark, folder):
+    out = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_near_dedup": (op3_near_dedup, None),
+    "op5_quality_rules": (op5_quality_rules, quality.SQL),
+    "op8_line_dedup": (op8_line_dedup, line_dedup.SQL),
 }
