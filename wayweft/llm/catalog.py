@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import line_dedup, near_dedup, quality
+from wayweft.llm import line_dedup, mixing, near_dedup, quality
 from wayweft.llm.shared import table
 
 
+def op1_mix_sources(spark, folder):
+    sized = mixing.with_sizes(table(spark, folder, "documents"))
+    out = mixing.drawn(sized, mixing.mix_plan(sized))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op3_near_dedup(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
@@ -23,6 +29,7 @@ def op8_line_dedup(spark, folder):
 
 
 QUERIES = {
+    "op1_mix_sources": (op1_mix_sources, mixing.SQL),
     "op3_near_dedup": (op3_near_dedup, None),
     "op5_quality_rules": (op5_quality_rules, quality.SQL),
     "op8_line_dedup": (op8_line_dedup, line_dedup.SQL),
