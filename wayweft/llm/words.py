@@ -45,26 +45,32 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _piece(raw: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, first bytes and lengths of the words of a piece; a word never spans one of ``heads``."""
+def _piece(raw: np.ndarray, heads: np.ndarray, quiet: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, first bytes and lengths of the words of a piece; a word never spans one of ``heads``.
+
+    Bytes marked in ``quiet`` are left out of words; words of nothing else vanish.
+    """
     solid = ~SPACE[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     first[heads] = solid[heads]
-    at = np.flatnonzero(solid)
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts
-    runs = np.flatnonzero(first[at])
+    if quiet is None:
+        at = np.flatnonzero(solid)
+        runs = np.flatnonzero(first[at])
+    else:
+        at = np.flatnonzero(solid & ~quiet[raw])
+        runs = np.flatnonzero(np.diff(np.cumsum(first)[at], prepend=0))
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
     sizes = np.diff(np.append(runs, len(at)))
     place = np.arange(len(at)) - np.repeat(runs, sizes)
     values = _TABLE[place & (_PLACES - 1), LOWER[raw[at]]]
     if sizes.max() > _PLACES:
         values = values * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1))
-    return mix(np.add.reduceat(values, runs)), starts, sizes
+    return mix(np.add.reduceat(values, runs)), at[runs], sizes
 
 
-def words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column, quiet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprints, bounds of each row's words, first byte of each word, bytes of each word)."""
     raw, rows = text_bytes(column)
     prints, starts, sizes = [], [], []
@@ -74,7 +80,6 @@ def words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if end < len(raw):
             # Up to the next white space or row, whichever comes first.
             limit = rows[np.searchsorted(rows, end)]
-            gap = 0
             while end < limit:
                 gap = np.flatnonzero(SPACE[raw[end : min(limit, end + 4096)]])
                 if len(gap):
@@ -82,7 +87,7 @@ def words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                     break
                 end = min(limit, end + 4096)
         heads = rows[np.searchsorted(rows, begin) : np.searchsorted(rows, end)] - begin
-        h, s, n = _piece(raw[begin:end], heads)
+        h, s, n = _piece(raw[begin:end], heads, quiet)
         prints.append(h)
         starts.append(s + begin)
         sizes.append(n)
