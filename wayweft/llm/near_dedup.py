@@ -23,10 +23,8 @@ from wayweft.session import materialise
 SHINGLE = 5
 PERCENT = 80
 RING_BITS = 18
-COORDINATES = 256
 ROWS, BANDS = 5, 40
-#: Of 256 sketch bits, pairs of similarity 0.8 differ in 26 on average, with a deviation of 5.
-SKETCH_DIFFERENCE = 60
+COORDINATES = ROWS * BANDS
 
 
 @lru_cache(1)
@@ -46,7 +44,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _banded(signatures: np.ndarray) -> np.ndarray:
     """A key per band; a band's coordinates lie far apart on the ring."""
-    part = signatures[:, : ROWS * BANDS].astype(np.uint64).reshape(-1, ROWS, BANDS)
+    part = signatures.astype(np.uint64).reshape(-1, ROWS, BANDS)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(part), BANDS))
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part[:, r])
@@ -61,7 +59,7 @@ def _signed_lists(values: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), set_a and set_b (fingerprint of the set), bands, sketch (four BIGINTs)."""
+    """doc_id, n (set size), set_a and set_b (fingerprint of the set), bands (a BIGINT each)."""
 
     def run(batches):
         for whole in batches:
@@ -69,19 +67,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 prints, bounds, *_ = words(batch.column("text"))
                 sets = shingle_sets(prints, bounds, size)
                 marks = np.array([signature(s) for s in sets]).reshape(-1, COORDINATES)
-                bits = np.packbits((marks & 1).astype(np.uint8), axis=1).view(np.uint64)
                 sums = np.array([(s.sum(), mix(s).sum()) for s in sets], np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         pa.array(signed(sums[:, 0])), pa.array(signed(sums[:, 1])),
-                        _signed_lists(_banded(marks)), _signed_lists(bits),
+                        _signed_lists(_banded(marks)),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "bands", "sketch"],
+                    ["doc_id", "n", "set_a", "set_b", "bands"],
                 )
 
-    kind = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
+    kind = "doc_id long, n long, set_a long, set_b long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
@@ -137,23 +134,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     gives an empty result.
 
     Equal sets form a class, and only a class's smallest doc_id is banded. In a bucket, every member
-    is held against the smallest one. Where its members then still lie in several groups, all but the
-    largest group's are held against every member of another group, so no pair of a bucket is left
-    out and a bucket of copies costs as many pairs as members. A pair of similarity 0.8 shares no
-    bucket with a chance of 1.3e-7, a more similar one with far less. The last comparison first
-    drops pairs whose 256-bit sketches lie over six deviations apart.
+    is held against the smallest one, so a bucket of copies costs as many pairs as members. Where its
+    members then still lie in several groups, those outside the largest are held against all members
+    of other groups that exact bounds leave (``_open_pairs``): no pair of a bucket is left out. A pair
+    of similarity 0.8 shares no bucket with a chance of 1.3e-7, a more similar one with far less.
     """
     marks = materialise(signatures(docs, size))
     full = marks.where("n > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     chosen = full.withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "rep"], "left_semi")
-    banded = chosen.select("rep", "n", "sketch", F.explode("bands").alias("bucket"))
+    banded = chosen.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
     members = materialise(banded.join(buckets.drop("last"), "bucket"))
     first = confirmed(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), docs, size, percent)
     links = materialise(first)
     groups = materialise(components(links))
-    links = links.unionByName(confirmed(_open_pairs(members, groups, percent), docs, size, percent))
+    links = links.unionByName(confirmed(_open_pairs(docs, members, groups, size, percent), docs, size, percent))
     groups = components(links)
 
     rep_groups = (
@@ -168,20 +164,36 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
 
 
-def _open_pairs(members: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different groups and have not been compared."""
-    lab = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+def _open_pairs(docs: DataFrame, members: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that lie in different groups and could be linked.
+
+    Loose copies of one text share buckets by the thousand without a link, so their pairs are not
+    listed by bucket. Of a document's shingles, rarest first, a linked one must share one of the first
+    fifth (prefix filter), and the first shared one must come early enough in both to leave room for
+    the overlap that a link needs (position filter). Both bounds are exact.
+    """
+    lab = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = lab.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    lab = materialise(lab.join(mixed, "bucket").select("bucket", "pivot", "rep", "label", "n", "sketch"))
+    lab = materialise(lab.join(mixed, "bucket"))
     sizes = lab.groupBy("bucket", "label").count()
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    few = lab.join(main, "bucket").where("label <> main and rep <> pivot")
-    few = few.select("bucket", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    far = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(4)), F.lit(0))
-    near = (F.col("label") != F.col("label_a")) & (F.col("rep") != F.col("pivot"))
-    near &= (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (far <= SKETCH_DIFFERENCE)
-    out = few.join(lab, "bucket").where(near)
-    return out.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    main = sizes.groupBy("bucket").agg(F.max("count").alias("top")).join(sizes.withColumnRenamed("count", "top"), ["bucket", "top"])
+    main = main.groupBy("bucket").agg(F.max("label").alias("main"))
+    few = lab.join(main, "bucket").groupBy("rep", "label").agg(F.bool_or(F.col("label") != F.col("main")).alias("few"))
+    few = materialise(few)
+
+    grams = _sets(docs, few.select(F.col("rep").alias("id")), size).select(F.col("id").alias("rep"), F.hash("grams").alias("part"), F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    own = grams.join(counts, "gram").groupBy("rep", "part").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    n = F.size("g")
+    first = F.slice("g", 1, F.floor(n * (100 - percent) / 100).cast("int") + 1)
+    prefix = own.join(few, "rep").select("rep", "label", "few", n.alias("n"), F.posexplode(first).alias("i", "x"))
+    prefix = materialise(prefix.select("rep", "label", "few", "n", "i", F.col("x.gram").alias("gram")))
+    left = prefix.where("few").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "i")])
+    room = F.least(F.col("n") - F.col("i"), F.col("n_a") - F.col("i_a"))
+    near = (F.col("label") != F.col("label_a")) & (room * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent)
+    near &= F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
+    out = left.join(prefix, "gram").where(near)
+    return out.select(F.least("rep_a", "rep").alias("a"), F.greatest("rep_a", "rep").alias("b"))
 
 
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
