@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality
+from wayweft.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality, span_dedup
 from wayweft.llm.shared import table
 
 
@@ -23,6 +23,11 @@ def op5_quality_rules(spark, folder):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_span_dedup(spark, folder):
+    out = span_dedup.dedup_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", "sources", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark, folder):
     out = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return out.select("doc_id", "item_id", "n_windows", "coverage", "exact")
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_mix_sources": (op1_mix_sources, mixing.SQL),
     "op3_near_dedup": (op3_near_dedup, None),
     "op5_quality_rules": (op5_quality_rules, quality.SQL),
+    "op6_span_dedup": (op6_span_dedup, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_line_dedup": (op8_line_dedup, line_dedup.SQL),
     "op10_html_text": (op10_html_text, None),
