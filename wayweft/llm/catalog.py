@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality, span_dedup
+from wayweft.llm import decontaminate, fixity, html_text, line_dedup, mixing, near_dedup, quality, span_dedup
 from wayweft.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_mix_sources(spark, folder):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op2_warc_fixity(spark, folder):
+    return fixity.fixity_report(table(spark, folder, "pages"))
+
+
 def op3_near_dedup(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
@@ -44,6 +48,7 @@ def op10_html_text(spark, folder):
 
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, mixing.SQL),
+    "op2_warc_fixity": (op2_warc_fixity, fixity.SQL),
     "op3_near_dedup": (op3_near_dedup, None),
     "op5_quality_rules": (op5_quality_rules, quality.SQL),
     "op6_span_dedup": (op6_span_dedup, None),
