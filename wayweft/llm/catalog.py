@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import decontaminate, fixity, html_text, line_dedup, mixing, near_dedup, quality, span_dedup
+from wayweft.llm import decontaminate, fixity, html_text, language_model, line_dedup, mixing, near_dedup, quality, span_dedup
 from wayweft.llm.shared import table
 
 
@@ -42,6 +42,10 @@ def op8_line_dedup(spark, folder):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_lm_scores(spark, folder):
+    return language_model.scores(table(spark, folder, "documents"))
+
+
 def op10_html_text(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op6_span_dedup": (op6_span_dedup, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_line_dedup": (op8_line_dedup, line_dedup.SQL),
+    "op9_lm_scores": (op9_lm_scores, None),
     "op10_html_text": (op10_html_text, None),
 }
