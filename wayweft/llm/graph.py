@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from wayweft.session import materialise
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is the centre of its edges or the end of a single one."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("end"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("end"), F.lit(1).alias("centre")))
+    each = ends.groupBy("v").agg(F.sum("end").alias("end"), F.max("centre").alias("centre"))
+    return each.where("end + centre > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: BIGINT); the component is its smallest node.
 
@@ -15,18 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     the edges form stars. Sums before the shuffle keep a node with very many links cheap, the edges
     shrink towards one per node, and about log n rounds do.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges, before = materialise(edges), None
-    while True:
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = now
+    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select("b", "m").union(low)
         edges = materialise(small.toDF("a", "b").where("a <> b").distinct())
+    centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)

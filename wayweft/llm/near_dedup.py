@@ -135,22 +135,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Equal sets form a class, and only a class's smallest doc_id is banded. In a bucket, every member
     is held against the smallest one, so a bucket of copies costs as many pairs as members. Where its
-    members then still lie in several groups, those outside the largest are held against all members
-    of other groups that exact bounds leave (``_open_pairs``): no pair of a bucket is left out. A pair
+    members then still lie in several groups, those outside its first one are held against all
+    members of other groups that exact bounds leave (``_open_pairs``): no pair of a bucket is left out. A pair
     of similarity 0.8 shares no bucket with a chance of 1.3e-7, a more similar one with far less.
     """
     marks = materialise(signatures(docs, size))
     full = marks.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    chosen = full.withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "rep"], "left_semi")
-    banded = chosen.select("rep", F.explode("bands").alias("bucket"))
+    classes = materialise(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
+    chosen = full.withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "rep"], "left_semi").select("rep", "bands")
+    banded = materialise(chosen).select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
     members = materialise(banded.join(buckets.drop("last"), "bucket"))
-    first = confirmed(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), docs, size, percent)
-    links = materialise(first)
+    links = confirmed(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), docs, size, percent)
     groups = materialise(components(links))
-    links = links.unionByName(confirmed(_open_pairs(docs, members, groups, size, percent), docs, size, percent))
-    groups = components(links)
+    more = confirmed(_open_pairs(docs, members, groups, size, percent), docs, size, percent)
+    groups = components(groups.toDF("a", "b").unionByName(more))
 
     rep_groups = (
         classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -173,12 +172,9 @@ def _open_pairs(docs: DataFrame, members: DataFrame, groups: DataFrame, size: in
     the overlap that a link needs (position filter). Both bounds are exact.
     """
     lab = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = lab.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    lab = materialise(lab.join(mixed, "bucket"))
-    sizes = lab.groupBy("bucket", "label").count()
-    main = sizes.groupBy("bucket").agg(F.max("count").alias("top")).join(sizes.withColumnRenamed("count", "top"), ["bucket", "top"])
-    main = main.groupBy("bucket").agg(F.max("label").alias("main"))
-    few = lab.join(main, "bucket").groupBy("rep", "label").agg(F.bool_or(F.col("label") != F.col("main")).alias("few"))
+    mixed = lab.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").drop("last")
+    # Of a pair in different groups, one document at least is outside the bucket's first group.
+    few = lab.join(mixed, "bucket").groupBy("rep").agg(F.min("label").alias("label"), F.bool_or(F.col("label") != F.col("main")).alias("few"))
     few = materialise(few)
 
     grams = _sets(docs, few.select(F.col("rep").alias("id")), size).select(F.col("id").alias("rep"), F.hash("grams").alias("part"), F.explode("grams").alias("gram"))
