@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import decontaminate, fixity, html_text, language_model, line_dedup, mixing, near_dedup, quality, span_dedup
+from wayweft.llm import decontaminate, fixity, html_text, language_model, licenses, line_dedup, mixing, near_dedup, quality, span_dedup
 from wayweft.llm.shared import table
 
 
@@ -22,6 +22,11 @@ def op3_near_dedup(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+def op4_license_scan(spark, folder):
+    out = licenses.scan(table(spark, folder, "documents"))
+    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "line")
+
+
 def op5_quality_rules(spark, folder):
     out = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_mix_sources": (op1_mix_sources, mixing.SQL),
     "op2_warc_fixity": (op2_warc_fixity, fixity.SQL),
     "op3_near_dedup": (op3_near_dedup, None),
+    "op4_license_scan": (op4_license_scan, None),
     "op5_quality_rules": (op5_quality_rules, quality.SQL),
     "op6_span_dedup": (op6_span_dedup, None),
     "op7_decontaminate": (op7_decontaminate, None),
