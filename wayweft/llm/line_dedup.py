@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayweft.llm.shared import BLANKS, LOWER, UPPER
+from wayweft.llm.shared import BLANKS, LOWER, UPPER, carry, uncarried
 from wayweft.session import materialise, shuffle_width
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 3
 FANOUT = 3
+KEY_BYTES = 16
 #: Stands for a null doc_id, which is below all others.
 NO_ID = -(2**63)
 
@@ -53,9 +54,15 @@ class SortedRuns:
         self._tables.remove(name)
 
     def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
+        """The rows of several runs, with keys cut out anew.
+
+        The planner takes a union of bucketed tables for bucketed too and leaves out the shuffle of a
+        sum over it, but then reads the tables unbucketed; a computed key keeps the shuffle.
+        """
+        parts = [self.spark.table(name).withColumn("key", F.substring("key", 1, KEY_BYTES)) for name in names]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
         return out
 
     def names(self) -> list[str]:
@@ -67,9 +74,13 @@ class SortedRuns:
             self.levels[0].append(self._write(batch))
             return
         own = self._write(batch)
-        known = self._union(self.names()).where("top is not null").select("key")
-        new = self.spark.table(own).join(known, "key", "left_anti")
-        again = self.spark.table(own).join(known, "key", "left_semi").select("key", "n", F.lit(None).cast("long").alias("top"))
+        new, again = self.spark.table(own), None
+        for name in self.names():
+            # A key has a top in one run only, the one that was new to it.
+            known = self.spark.table(name).where("top is not null").select("key")
+            new = new.join(known, "key", "left_anti")
+            part = self.spark.table(own).join(known, "key", "left_semi").select("key", "n", F.lit(None).cast("long").alias("top"))
+            again = part if again is None else again.unionByName(part)
         self.levels[0].append(self._write(new.unionByName(again)))
         self._drop(own)
         self._compact()
@@ -110,7 +121,7 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
                     key = line.strip().lower()
                     if len(key) < min_chars or (len(key) < 4 * min_chars and len(key.decode()) < min_chars):
                         continue
-                    key = hashlib.blake2b(key, digest_size=16).digest()
+                    key = hashlib.blake2b(key, digest_size=KEY_BYTES).digest()
                     rows.append(row)
                     places.append(place)
                     first.append(key not in seen)
@@ -167,26 +178,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     below all others. An empty table gives an empty result. Columns named like the two new ones, in
     any case, are replaced.
     """
-    drops = dropped_lines(docs, min_chars, min_docs, batches).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), F.col("drop").alias("_drop"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    out = docs.join(drops.hint("shuffle_hash"), (own == F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left")
+    new = ("n_lines", "n_dropped")
+    drops = dropped_lines(docs, min_chars, min_docs, batches).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "drop")
+    own = carry(docs, "doc_id", "text", new=new)
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64("text") == F.col("_r"))
+    out = own.join(drops.hint("shuffle_hash"), same, "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: lines[i])))
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "text")]
-    return out.select(
-        *keep, kept.alias("text"), F.size(lines).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("_drop"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: lines[i])))
+    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
+    out = out.select("others", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    return uncarried(out, docs, new)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` after ``dedup_lines``, with the same columns; n_chars follows the text."""
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = carry(docs, "doc_id", "text")
+    out = uncarried(dedup_lines(own), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 SQL = """

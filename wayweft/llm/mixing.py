@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayweft.llm.shared import text_words
+from wayweft.llm.shared import carry, text_words, uncarried
 from wayweft.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -161,14 +161,18 @@ def draws(sized: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: in
 
 
 def drawn(docs: DataFrame, plan: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, ...) with source_size, target and draws, a list of (copy, shard)."""
-    own = docs.drop(*[c for c in docs.columns if c.lower() in ("source_size", "target", "draws")])
-    marked = own.withColumns({"_block": _block(seed, blocks), "_order": _order(seed)})
-    plan = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "source_size", "target", F.col("taken").alias("_taken"))
-    out = marked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-    mine = F.filter(F.coalesce("_taken", F.array()), lambda t: t["until"].isNull() | (F.col("_order") <= t["until"]))
+    """``docs`` (doc_id, source, ...) with source_size, target and draws, a list of (copy, shard).
+
+    Columns with the names of the new ones are replaced, all others are carried along.
+    """
+    new = ("source_size", "target", "draws")
+    text = ["text"] if "text" in docs.columns else []
+    marked = carry(docs, "doc_id", "source", *text, new=new).withColumns({"b": _block(seed, blocks), "o": _order(seed)})
+    plan = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "source_size", "target", "taken")
+    out = marked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_b")), "left")
+    mine = F.filter(F.coalesce("taken", F.array()), lambda t: t["until"].isNull() | (F.col("o") <= t["until"]))
     draws_of = F.transform(mine, lambda t: F.struct(t["copy"].alias("copy"), t["shard"].alias("shard")))
-    return out.withColumn("draws", draws_of).select(*own.columns, "source_size", "target", "draws")
+    return uncarried(out.withColumn("draws", draws_of), docs, new)
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -195,10 +199,11 @@ def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, most: int
     columns are carried along; columns named shard or copy are replaced.
     """
     plan = mix_plan(with_sizes(docs), weights, percent, most, shards, blocks, seed)
-    own = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "copy")])
-    rows = drawn(own, plan, blocks, seed).withColumn("_draw", F.explode("draws"))
-    rows = rows.select(*own.columns, F.col("_draw.shard").alias("shard"), F.col("_draw.copy").alias("copy"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", _digest(seed + 4, F.col("doc_id"), F.col("copy")))
+    new = ("shard", "copy")
+    own = carry(docs, "doc_id", "source", "text", new=new)
+    rows = drawn(own, plan, blocks, seed).withColumn("d", F.explode("draws")).select("doc_id", "text", "others", "d.shard", "d.copy")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", _digest(seed + 4, F.col("doc_id"), F.col("copy")))
+    return uncarried(rows, docs, new)
 
 
 SQL = """

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.llm.graph import components
-from wayweft.llm.shared import in_mask, mask_of
+from wayweft.llm.shared import carry, in_mask, mask_of, uncarried
 from wayweft.llm.words import mix, shingle_sets, signed, slices, words
 from wayweft.session import materialise
 
@@ -195,4 +195,5 @@ def _open_pairs(docs: DataFrame, members: DataFrame, groups: DataFrame, size: in
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they were."""
     dropped = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = carry(docs, "doc_id", "text")
+    return uncarried(own.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti"), docs)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayweft.llm.shared import BLANKS, text_words
+from wayweft.llm.shared import BLANKS, carry, text_words, uncarried
 from wayweft.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -51,6 +51,9 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named test on a row with the base measures; true rejects the document."""
@@ -81,13 +84,13 @@ RULES = [
 ]
 
 
-def ordered(measured: DataFrame, rules: list[Rule], every: int = SAMPLE_EVERY, most: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per second on a sample of the rows, the best first.
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """``rules`` by rejections per second on a sample with base measures, the best first.
 
-    The sample is one row in ``every`` by a hash of the doc_id, at most ``most`` rows. Every rule runs
-    over it alone and is timed. The order decides what later rows cost, never which rows pass.
+    Every rule runs over the sample alone and is timed. The order decides what the rows cost, never
+    which ones pass.
     """
-    sample = materialise(measured.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(most))
+    sample = materialise(sample)
     gains = []
     for rule in rules:
         began = time.perf_counter()
@@ -109,21 +112,18 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     new ones are replaced; an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
-    fresh = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept", "_words", "_sorted", "_again"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in fresh])
-    rules = ordered(base_measures(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)), rules)
+    own = carry(docs, "doc_id", "text", new=NEW)
+    rules = ordered(base_measures(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0).limit(SAMPLE_ROWS)), rules)
     verdict = F.when(F.col("base_failed"), F.lit(None).cast("string"))
     for rule in rules:
         verdict = verdict.when(rule.rejects(), F.lit(rule.name))
-    out = base_measures(docs).withColumn("failed_rule", verdict)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    out = base_measures(own).withColumn("failed_rule", verdict)
+    return uncarried(out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()), docs, NEW)
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows, all columns as they were."""
-    clash = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() not in ("doc_id", "text")}
-    out = judged(docs.withColumnsRenamed(clash)).where("kept")
-    return out.select("doc_id", "text", *[F.col(own).alias(c) for c, own in clash.items()]).select(*docs.columns)
+    return uncarried(judged(carry(docs, "doc_id", "text")).where("kept"), docs)
 
 
 SQL = """

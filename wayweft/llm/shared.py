@@ -51,9 +51,16 @@ def in_mask(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-def clear_of(df: DataFrame, name: str) -> str:
-    """``name``, with underscores put before it until no column of ``df`` has it, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def carry(docs: DataFrame, *named: str, new: tuple[str, ...] = ()) -> DataFrame:
+    """The ``named`` columns and all but the text in one struct, so no column of ``docs`` meets a working name.
+
+    Columns that ``new`` names, in any case, are left behind.
+    """
+    rest = [c for c in docs.columns if c != "text" and c.lower() not in new]
+    return docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("others"))
+
+
+def uncarried(out: DataFrame, docs: DataFrame, new: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` in their order, texts as they are now, and the ``new`` ones."""
+    old = [c for c in docs.columns if c.lower() not in new]
+    return out.select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in old], *new)

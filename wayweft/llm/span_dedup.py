@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.llm.line_dedup import NO_ID
-from wayweft.llm.shared import in_mask, mask_of
+from wayweft.llm.shared import carry, in_mask, mask_of, uncarried
 from wayweft.llm.words import mix, signed, slices, text_bytes, words
 from wayweft.session import materialise
 
@@ -143,11 +143,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """
     cuts = repeated_spans(docs).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "sources", "cuts")
     new = ("n_sentences", "n_removed", "sources")
-    own = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    others = {c: f"_c{i}" for i, c in enumerate(own.columns) if c != "text"}
-    keyed = own.withColumnsRenamed(others)
-    id_of = F.coalesce(F.col(others["doc_id"]).cast("long"), F.lit(NO_ID))
-    keyed = keyed.join(cuts.hint("shuffle_hash"), (id_of == F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left").drop("_d", "_r")
+    own = carry(docs, "doc_id", "text", new=new)
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64("text") == F.col("_r"))
+    joined = own.join(cuts.hint("shuffle_hash"), same, "left").select("text", "others", "sources", "cuts")
 
     def run(batches):
         for whole in batches:
@@ -164,12 +162,11 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
                         sentence = max(sentence, x["e"])
                     texts.append(b"".join([*kept, text[at:]]).decode())
                     removed.append(gone)
-                columns = [batch.column(c) for c in others.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(texts, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), batch.column("sources")],
-                    [*others.values(), "text", *new],
+                    [batch.column("others"), pa.array(texts, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), batch.column("sources")],
+                    ["others", "text", *new],
                 )
 
-    kinds = [f"{c} {keyed.schema[c].dataType.simpleString()}" for c in others.values()]
-    out = keyed.mapInArrow(run, ", ".join([*kinds, "text string, n_sentences long, n_removed long, sources array<long>"]))
-    return out.withColumnsRenamed({v: k for k, v in others.items()}).withColumn("sources", F.coalesce("sources", F.array().cast("array<bigint>"))).select(*own.columns, *new)
+    kind = f"others {joined.schema['others'].dataType.simpleString()}, text string, n_sentences long, n_removed long, sources array<long>"
+    out = joined.mapInArrow(run, kind).withColumn("sources", F.coalesce("sources", F.array().cast("array<bigint>")))
+    return uncarried(out, docs, new)
