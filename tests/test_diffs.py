@@ -140,3 +140,29 @@ def test_binary_source(spark, tree):
 def test_hosted_slug(spark):
     rows = spark.createDataFrame([("git@github.com:o/r.git",), ("https://github.com/o/r",), ("http://x/y.git",)], "u string")
     assert [r.s for r in rows.select(pulls.hosted_slug(F.col("u")).alias("s")).collect()] == ["o/r", "o/r", "http://x/y"]
+
+
+def test_requests_stay_apart(spark, files):
+    """Two requests that touch a file of the same name are numbered, ranked and checked on their own."""
+    other = files.filter("filename = 'a/b.py'").withColumn("patch", F.lit("@@ -50,1 +50,1 @@\n-def lost(a):\n+def found(a):"))
+    both = files.withColumn("request", F.lit("r1")).unionByName(other.withColumn("request", F.lit("r2")))
+    got = {(r.request, r.side, r.line) for r in diffs.hunk_lines(both).filter("filename = 'a/b.py'").collect()}
+    assert got == {("r1", "RIGHT", n) for n in (3, 4, 5, 6, 21)} | {("r1", "LEFT", n) for n in (3, 4, 5, 20, 21)} | {("r2", "RIGHT", 50), ("r2", "LEFT", 50)}
+    symbols = diffs.changed_symbols(both)
+    names = {(r.request, r.pos): r.name for r in symbols.collect()}
+    assert {n for (r, _), n in names.items() if r == "r2"} == {"lost", "found"} and ("r1", 1) in names and ("r2", 1) in names
+    traced = diffs.trace_names(both, symbols, 3).collect()
+    assert sorted(r.pos for r in traced if r.request == "r2") == [1, 2, 3]
+    alone = [tuple(r) for r in diffs.annotate(files).collect()]
+    assert {tuple(r)[1:] for r in diffs.annotate(both).filter("request = 'r1'").collect()} == set(alone)
+    comment = spark.createDataFrame(
+        [(q, "c", "a/b.py", 50, "RIGHT", "note", None, None) for q in ("r1", "r2")],
+        "request string, comment_id string, path string, line int, side string, body string, start_line int, start_side string",
+    )
+    assert {r.request: r.kept for r in diffs.validate_inline(comment, diffs.hunk_lines(both)).collect()} == {"r1": False, "r2": True}
+
+
+def test_lone_object_is_no_comment(spark):
+    text = "Fine.\n```json\n{\"path\": \"a.py\", \"line\": 3, \"body\": \"x\"}\n```"
+    rows = spark.createDataFrame([(1, text), (2, text.replace("{", "[{").replace("}", "}]"))], "id int, text string")
+    assert {r.id: len(r.inline) for r in diffs.split_inline_block(rows).collect()} == {1: 0, 2: 1}

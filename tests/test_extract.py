@@ -150,3 +150,12 @@ def test_markdown(edges, spark):
     }
     rows = facts(spark, markdown.markdown, "a/b.md", "[![i](i.png)](in.md 'T') [x](y(1).md) \\[no](no.md)\n\n~~~\n[z](z.md)\n~~~\n* __init__\n1. tool_x\n   more\n")
     assert [r.id for r in rows if r.source] == ["file:a/in.md", "file:a/y(1).md"]
+
+
+def test_odd_files_end_no_job():
+    from wayweft.functions import helpers
+
+    assert helpers._python("x = " + " + ".join(["f(1)"] * 3000) + "\n") is not None
+    value, error = helpers._yaml("a: &x [*x]\n")
+    assert value is None and error
+    assert helpers._all_commands("echo " + "$(" * 4000 + ")" * 4000) is not None

@@ -107,12 +107,11 @@ def test_running_total(spark):
     assert got == {(g, i): sum((j * 7) % 5 for j in range(i + 1)) for g in "ab" for i in range(200)}
 
 
-@pytest.mark.parametrize("fold_rows", [0, 1000])
-def test_packing(spark, fold_rows):
+def test_packing(spark):
     rnd = random.Random(1)
     rows = [(g, i, rnd.choice([1, 3, 7, 10, 25])) for g in "abc" for i in range(60)]
     df = spark.createDataFrame(rows, "g string, i int, s int")
-    got = {(r.g, r.i): r.batch for r in packing.pack_batches(df, "s", "i", "g", 10, fold_rows).collect()}
+    got = {(r.g, r.i): r.batch for r in packing.pack_batches(df, "s", "i", "g", 10).collect()}
     for g in "abc":
         batch, used = 1, 0
         for _, i, s in (r for r in rows if r[0] == g):

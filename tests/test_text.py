@@ -112,3 +112,10 @@ def test_glob(spark):
     for glob in ("docs/*.md", "docs/?.md", "docs/[a-b].md", "docs/[^a].md", "*[[]x*", "docs/a.m[", "d*"):
         want = [p for p in paths if con.execute("SELECT ? GLOB ?", (p, glob)).fetchone()[0]]
         assert [r.p for r in df.filter(glob_match(F.col("p"), glob)).collect()] == want, glob
+
+
+def test_marks_are_folded_as_in_the_index(spark):
+    from wayweft.functions.tokens import words
+
+    row = spark.createDataFrame([("\u1e3f\u1e03\u1ea1 \u01d6 caf\u00e9",)], "t string").select(words(F.col("t")).alias("w")).first()
+    assert row.w == ["mba", "\u01d6", "cafe"]

@@ -21,9 +21,12 @@ def main(argv: list[str] | None = None) -> int:
     export.add_argument("--output", help="file to write; standard output without it")
     export.add_argument("--rows", help="folder for JSON lines written by the tasks, for large graphs")
     export.add_argument("--include-hidden", action="store_true")
+    export.add_argument("--max-files", type=int, help="take only so many files, in path order")
+    export.add_argument("--max-bytes", type=int, help="leave larger files unread, with a warning")
     args = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session("*")
-    snapshot = Snapshot.of_files(files_from_tree(spark, args.path, args.include_hidden))
+    files = files_from_tree(spark, args.path, args.include_hidden, args.max_files, args.max_bytes)
+    snapshot = Snapshot.of_files(files, args.max_files, args.max_bytes)
     if args.rows:
         export_rows(snapshot, args.rows)
     elif args.output:

@@ -24,7 +24,9 @@ SNIPPET_TOKENS = 16
 
 
 def _folded(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    """Lower case; letters with one mark lose it, as in the index."""
+    parts = (unicodedata.normalize("NFD", c) for c in word.lower())
+    return "".join(p[0] if len(p) == 2 and unicodedata.combining(p[1]) else unicodedata.normalize("NFC", p) for p in parts)
 
 
 def _extract(text: str, prefixes: list[str], stems: dict | None) -> str:
@@ -131,13 +133,12 @@ class _PyFacts(ast.NodeVisitor):
 
 
 def _python(text: str):
+    visitor = _PyFacts(text)
     try:
-        tree = ast.parse(text)
+        visitor.visit(ast.parse(text))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         rough = re.finditer(r"(?m)^[ \t]*(?:(?:async[ \t]+)?def|class)[ \t]+(\w+)|^[ \t]*(?:from|import)[ \t]+([\w.]+)", text or "")
         return [(DEF if m[1] else IMPORT, m[1] or m[2], text.count("\n", 0, m.start()) + 1, None) for m in rough]
-    visitor = _PyFacts(text)
-    visitor.visit(tree)
     return visitor.found
 
 
@@ -309,12 +310,25 @@ def _commands(text: str, depth: int = 0):
 @F.pandas_udf(COMMANDS)
 def shell_commands(texts: pd.Series) -> pd.Series:
     """Commands of shell texts, then their bare assignments."""
-    return texts.map(lambda t: [c for part in _commands(t or "") for c in part])
+    return texts.map(lambda t: _all_commands(t or ""))
+
+
+def _all_commands(text: str):
+    try:
+        return [c for part in _commands(text) for c in part]
+    except RecursionError:
+        return []
 
 
 # --- YAML -----------------------------------------------------------------------------------------
 
 
+try:
+    from yaml import safe_load as _load
+except ImportError:
+    _load = None
+
+
 def _plain(value):
     """Mappings and lists as they are; every scalar as its text behind ``s:`` for strings, ``v:`` otherwise."""
     if isinstance(value, dict):
@@ -324,20 +338,23 @@ def _plain(value):
     return ("s:" if isinstance(value, str) else "v:") + str(value)
 
 
+# The wording of the two warnings on YAML files.
+BAD_YAML, NO_MAPPING = "invalid YAML: {}", "top-level YAML must be a mapping, got {}"
+
+
 def _yaml(text: str):
-    try:
-        import yaml
-    except ImportError:
+    """(JSON of a mapping, what is wrong); one odd file never ends the task, also not with anchors that hold themselves."""
+    if _load is None:
         return None, "no YAML reader installed"
     try:
-        data = yaml.safe_load(text)
-    except (yaml.YAMLError, ValueError, RecursionError) as exc:
-        return None, f"invalid YAML: {exc}"
-    if data is None:
-        return None, None
-    if not isinstance(data, dict):
-        return None, f"top-level YAML must be a mapping, got {type(data).__name__}"
-    return json.dumps(_plain(data), ensure_ascii=False), None
+        read = _load(text)
+        found = {str(k): _plain(v) for k, v in read.items()} if isinstance(read, dict) else None
+        shown = json.dumps(found, ensure_ascii=False)
+    except Exception as exc:
+        return None, BAD_YAML.format(exc)
+    if found is not None:
+        return shown, None
+    return None, None if read is None else NO_MAPPING.format(type(read).__name__)
 
 
 @F.pandas_udf(T.StructType([T.StructField("json", TEXT), T.StructField("error", TEXT)]))

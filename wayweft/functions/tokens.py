@@ -13,13 +13,12 @@ QUERY_WORD = re.compile(r"[A-Za-z0-9]+")
 
 
 def _accent_table() -> tuple[str, str]:
-    """Accented lower-case Latin letters (U+00E0 to U+024F) and their base letters, by decomposition."""
+    """Lower-case Latin letters with one mark (to U+024F, and U+1E00 to U+1EFF) and their base letters, by decomposition."""
     pairs = []
-    for code in range(0x00E0, 0x0250):
-        ch = chr(code)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if ch != base and ch.islower():
-            pairs.append((ch, base))
+    for code in [*range(0x00E0, 0x0250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2 and chr(code).islower():
+            pairs.append((chr(code), parts[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

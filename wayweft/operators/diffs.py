@@ -52,10 +52,29 @@ KEYWORDS = (
 ADDED_STOP_WORDS = ("import", "from", "return", "class", "def", "func")
 
 
+def _request(df: DataFrame) -> list[str]:
+    """The column that tells requests apart, where a table holds several; equal file names then stay apart."""
+    return ["request"] if "request" in df.columns else []
+
+
+def _file(df: DataFrame) -> list[str]:
+    return [*_request(df), "filename"]
+
+
+def _first_of_request(rows: DataFrame, at: str, most: int) -> DataFrame:
+    """The first ``most`` rows of a request, or of the whole table, by ``at``, numbered in ``pos``."""
+    if not _request(rows):
+        rows = rows.orderBy(at).limit(most)
+    place = F.row_number().over(Window.partitionBy(*_request(rows)).orderBy(at))
+    return rows.withColumn("pos", place).filter(F.col("pos") <= most)
+
+
 def patch_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``filename, <keep>, pos, line, role``; files are spread by name first, so later windows need no shuffle."""
-    rows = files.filter(F.col("patch") != "").select("filename", *keep, "patch").repartition("filename")
-    lines = rows.select("filename", *keep, F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")).filter("pos IS NOT NULL")
+    own = _file(files)
+    keep = tuple(c for c in keep if c not in own)
+    rows = files.filter(F.col("patch") != "").select(*own, *keep, "patch").repartition(*own)
+    lines = rows.select(*own, *keep, F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")).filter("pos IS NOT NULL")
     line = F.col("line")
     role = (
         F.when(line.rlike(HUNK), "hunk")
@@ -71,8 +90,9 @@ def patch_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def numbered_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add ``old_line`` and ``new_line``, the numbers a line has (or would have) on either side."""
     lines = patch_lines(files, keep)
-    before = Window.partitionBy("filename").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("filename").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    in_file = Window.partitionBy(*_file(lines)).orderBy("pos")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_file.rowsBetween(Window.unboundedPreceding, 0)
 
     def seen(*roles: str) -> Column:
         return F.coalesce(F.sum(F.col("role").isin(*roles).cast("int")).over(before), F.lit(0)).cast("int")
@@ -95,8 +115,9 @@ def hunk_lines(files: DataFrame) -> DataFrame:
         F.when(F.col("role").isin("add", "ctx"), F.struct(F.lit("RIGHT").alias("side"), F.col("new_line").alias("line"))),
         F.when(F.col("role").isin("del", "ctx"), F.struct(F.lit("LEFT").alias("side"), F.col("old_line").alias("line"))),
     )
-    shown = numbered_lines(files).select("filename", F.explode_outer(F.array_compact(sides)).alias("_at")).filter("_at IS NOT NULL")
-    return shown.select("filename", "_at.side", "_at.line").distinct()
+    own = _file(files)
+    shown = numbered_lines(files).select(*own, F.explode_outer(F.array_compact(sides)).alias("_at")).filter("_at IS NOT NULL")
+    return shown.select(*own, "_at.side", "_at.line").distinct()
 
 
 def annotated_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,7 +139,7 @@ def annotated_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def annotate(files: DataFrame) -> DataFrame:
     """``filename, annotated``: whole patches with line tags; a group is one file's patch."""
     parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return annotated_lines(files).groupBy("filename").agg(
+    return annotated_lines(files).groupBy(*_file(files)).agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("annotated")
     )
 
@@ -136,8 +157,8 @@ def render_chunks(files: DataFrame, max_bytes: int = 8192) -> DataFrame:
         .when(long, F.concat(F.lit("```diff\n"), F.left(text, F.lit(max_bytes)), F.lit("\n... [truncated]\n```\n")))
         .otherwise(F.concat(F.lit("```diff\n"), text, F.lit("\n```\n")))
     )
-    return files.join(annotate(files), "filename", "left").select(
-        "filename", "file_pos", F.concat(head, body).alias("chunk"), F.coalesce(long, F.lit(False)).alias("truncated")
+    return files.join(annotate(files), _file(files), "left").select(
+        *_file(files), "file_pos", F.concat(head, body).alias("chunk"), F.coalesce(long, F.lit(False)).alias("truncated")
     )
 
 
@@ -148,8 +169,9 @@ def _ascii_edges(pattern: str) -> str:
 
 def file_symbols(files: DataFrame) -> DataFrame:
     """``filename, file_pos, name, score, first``: changed symbols and their counts per file."""
+    own = _file(files)
     lines = files.filter(F.col("patch") != "").select(
-        "filename", "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")
+        *own, "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")
     ).filter("pos IS NOT NULL")
     changed = lines.filter(F.col("line").rlike(r"^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---)"))
     body = F.expr("substring(line, 2)")
@@ -157,10 +179,10 @@ def file_symbols(files: DataFrame) -> DataFrame:
     for ext, patterns in SYMBOL_PATTERNS.items():
         found = F.array(*[F.regexp_extract(body, _ascii_edges(p), 1) for p in patterns])
         names = F.when(F.col("filename").rlike(rf"\.({ext})$"), found).otherwise(names)
-    hits = changed.select("filename", "file_pos", "pos", F.posexplode_outer(names).alias("pat", "name")).filter("pat IS NOT NULL")
+    hits = changed.select(*own, "file_pos", "pos", F.posexplode_outer(names).alias("pat", "name")).filter("pat IS NOT NULL")
     counted = (
         hits.filter((F.length("name") >= 2) & ~F.col("name").isin(*KEYWORDS))
-        .groupBy("filename", "file_pos", "name")
+        .groupBy(*own, "file_pos", "name")
         .agg(F.count("*").alias("_count"), F.min(F.struct("pos", "pat")).alias("first"))
     )
     exported = F.when(F.col("filename").endswith(".go"), F.col("name").rlike("^[A-Z]")).when(
@@ -170,42 +192,42 @@ def file_symbols(files: DataFrame) -> DataFrame:
 
 
 def changed_symbols(files: DataFrame, max_total: int = 20, max_per_file: int = 5) -> DataFrame:
-    """``pos, name, score``: best changed symbols over all files, each name once."""
-    in_file = Window.partitionBy("filename").orderBy(F.desc("score"), "first")
+    """``pos, name, score``: best changed symbols over all files of a request, each name once."""
+    in_file = Window.partitionBy(*_file(files)).orderBy(F.desc("score"), "first")
     kept = file_symbols(files).withColumn("_rank", F.row_number().over(in_file)).filter(F.col("_rank") <= max_per_file)
     place = F.struct((-F.col("score")).alias("neg"), "file_pos", "_rank")
-    once = kept.groupBy("name").agg(F.min(place).alias("_at"))
-    top = once.orderBy("_at").limit(max_total)
-    return top.select(
-        F.row_number().over(Window.orderBy("_at")).alias("pos"), "name", (-F.col("_at.neg")).alias("score")
-    )
+    once = kept.groupBy(*_request(files), "name").agg(F.min(place).alias("_at"))
+    return _first_of_request(once, "_at", max_total).select(*_request(files), "pos", "name", (-F.col("_at.neg")).alias("score"))
 
 
 def trace_names(files: DataFrame, symbols: DataFrame, cap: int = 50) -> DataFrame:
     """``pos, name``: file basenames without extension, then changed symbols, each once, at most ``cap``."""
+    own = _request(files)
     names = files.select(
-        F.struct(F.lit(0).alias("phase"), F.col("file_pos").alias("n")).alias("_at"),
+        *own, F.struct(F.lit(0).alias("phase"), F.col("file_pos").alias("n")).alias("_at"),
         F.regexp_replace(basename(F.col("filename")), r"\.[^.]+$", "").alias("name"),
-    ).unionByName(symbols.select(F.struct(F.lit(1).alias("phase"), F.col("pos").alias("n")).alias("_at"), "name"))
-    top = names.groupBy("name").agg(F.min("_at").alias("_at")).orderBy("_at").limit(cap)
-    return top.select(F.row_number().over(Window.orderBy("_at")).alias("pos"), "name")
+    ).unionByName(symbols.select(*own, F.struct(F.lit(1).alias("phase"), F.col("pos").alias("n")).alias("_at"), "name"))
+    top = names.groupBy(*own, "name").agg(F.min("_at").alias("_at"))
+    return _first_of_request(top, "_at", cap).select(*own, "pos", "name")
 
 
 def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
     """Check review comments against the visible lines.
 
-    ``comments``: comment_id, path, line, side, body, start_line, start_side. Adds ``kept``; a start
+    ``comments``: comment_id, path, line, side, body, start_line, start_side, and request where both
+    tables have it. Adds ``kept``; a start
     line stays only when it lies before the line and is visible on its side.
     """
     side = F.when(F.col("side") == "LEFT", "LEFT").otherwise("RIGHT")
     start_side = F.when(F.col("start_side").isin("LEFT", "RIGHT"), F.col("start_side"))
+    own = _request(visible)
     clean = comments.select(
-        "comment_id", "path", "line", side.alias("side"), strip(F.coalesce("body", F.lit(""))).alias("body"),
+        *own, "comment_id", "path", "line", side.alias("side"), strip(F.coalesce("body", F.lit(""))).alias("body"),
         F.when(F.col("start_line") < F.col("line"), F.col("start_line")).alias("start_line"),
         start_side.alias("start_side"),
     )
     probes = clean.select(
-        "comment_id", F.col("path").alias("filename"),
+        *own, "comment_id", F.col("path").alias("filename"),
         F.explode_outer(
             F.array(
                 F.struct(F.lit("end").alias("role"), "side", "line"),
@@ -214,15 +236,15 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("_p"),
-    ).filter("_p IS NOT NULL").select("comment_id", "filename", "_p.role", "_p.side", "_p.line")
-    seen = probes.join(visible, ["filename", "side", "line"], "left_semi").groupBy("comment_id").agg(
+    ).filter("_p IS NOT NULL").select(*own, "comment_id", "filename", "_p.role", "_p.side", "_p.line")
+    seen = probes.join(visible, [*own, "filename", "side", "line"], "left_semi").groupBy(*own, "comment_id").agg(
         F.bool_or(F.col("role") == "end").alias("_end"), F.bool_or(F.col("role") == "start").alias("_start")
     )
-    joined = clean.join(seen, "comment_id", "left")
+    joined = clean.join(seen, [*own, "comment_id"], "left")
     kept = F.coalesce("_end", F.lit(False)) & (F.coalesce("path", F.lit("")) != "") & (F.col("body") != "")
     started = kept & F.coalesce("_start", F.lit(False))
     return joined.select(
-        "comment_id", "path", "line", "side", "body",
+        *own, "comment_id", "path", "line", "side", "body",
         F.when(started, F.col("start_line")).alias("start_line"),
         F.when(started, F.col("start_side")).alias("start_side"),
         kept.alias("kept"),
@@ -231,20 +253,22 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
 
 def added_identifiers(files: DataFrame) -> DataFrame:
     """``pos, name``: identifiers of three letters and more on added lines, each once, in order."""
+    own = _request(files)
     lines = files.filter(F.col("patch") != "").select(
-        "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("line_pos", "line")
+        *own, "file_pos", F.posexplode_outer(F.split("patch", "\n", -1)).alias("line_pos", "line")
     ).filter("line_pos IS NOT NULL")
     added = lines.filter(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
     whole = F.regexp_extract_all(F.expr("substring(line, 2)"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     found = F.filter(whole, lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]{2,}$"))
-    words = added.select("file_pos", "line_pos", F.posexplode_outer(found).alias("word_pos", "name")).filter("word_pos IS NOT NULL")
+    words = added.select(*own, "file_pos", "line_pos", F.posexplode_outer(found).alias("word_pos", "name")).filter("word_pos IS NOT NULL")
     return (
         words.filter(~F.col("name").isin(*ADDED_STOP_WORDS))
-        .groupBy("name")
+        .groupBy(*own, "name")
         .agg(F.min(F.struct("file_pos", "line_pos", "word_pos")).alias("first"))
     )
 
 
+# Fixed value: how a review states its verdict.
 VERDICT = r"(?i)(?:^|\n)\s*(?:\*\*Verdict\*\*|Verdict)[^\n]*?(approve|comment|request[_\s]?changes)"
 
 
@@ -258,6 +282,7 @@ def verdict_event(name: Column) -> Column:
     return F.upper(name)
 
 
+# Fixed value: the fenced block that holds comments.
 INLINE_BLOCK = r"(?is)```(?:inline-comments|inline|json)\s*\n(.*?)\n```"
 INLINE_TYPE = (
     "array<struct<path:string,line:string,side:string,body:string,start_line:string,startLine:string,"
@@ -270,6 +295,8 @@ def split_inline_block(reviews: DataFrame, text: str = "text") -> DataFrame:
     body = F.rtrim(F.regexp_replace(text, INLINE_BLOCK + r"(.*)", "$2"), F.lit(SPACE_CHARS))
     block = F.regexp_extract(text, INLINE_BLOCK, 1)
     none = F.array().cast(INLINE_TYPE)
+    # A lone object is no list of comments, though the reader would take it for one.
+    block = F.when(block.rlike(r"^\s*\["), block)
     return reviews.withColumn("review_body", body).withColumn(
         "inline", F.coalesce(F.from_json(block, INLINE_TYPE), none)
     )

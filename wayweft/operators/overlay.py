@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from wayweft.operators.prefix import running_total
 
-MAX_FILES = 20_000
+RANGE_ROWS = 1000
 
 
-def content_keys(files: DataFrame, include_hidden: bool = False, max_files: int = MAX_FILES) -> DataFrame:
+def content_keys(files: DataFrame, include_hidden: bool = False) -> DataFrame:
     """``root, content_key``: 16 hex digits over the ordered listing of ``root, path, digest``.
 
-    Paths are ordered component by component. The listing ends at the scan limit, which also bounds
-    what one root can bring to its group. Places come from range totals, so that a root with very
-    many files is not sorted in one task.
+    Paths are ordered component by component. The key is made in two levels: a digest for every
+    thousand entries, and one over those digests in order. Places come from range totals, so neither
+    sorting nor hashing brings a large root to one task.
     """
     keyed = files.select("root", "path", "digest", F.split("path", "/").alias("_parts"), F.lit(1).alias("_one"))
-    listed = running_total(keyed, "_one", ["_parts"], ["root"], out="_n").filter(F.col("_n") <= max_files)
+    listed = running_total(keyed, "_one", ["_parts"], ["root"], out="_n")
     entry = F.concat("path", F.decode(F.lit(b"\x00"), "UTF-8"), "digest", F.lit("\n"))
-    rows = F.sort_array(F.collect_list(F.struct(F.col("_n"), entry.alias("e"))))
-    head = "v1\nhidden=1\n" if include_hidden else "v1\nhidden=0\n"
-    text = F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["e"]), ""))
-    return listed.groupBy("root").agg(F.left(F.sha2(text, 256), F.lit(16)).alias("content_key"))
+    parts = listed.groupBy("root", F.expr(f"(_n - 1) div {RANGE_ROWS}").alias("_range")).agg(_digest_of(F.struct("_n", entry.alias("e"))).alias("e"))
+    head = "v2\nhidden=1\n" if include_hidden else "v2\nhidden=0\n"
+    return parts.groupBy("root").agg(F.left(_digest_of(F.struct("_range", F.concat("e", F.lit("\n")).alias("e")), head), F.lit(16)).alias("content_key"))
+
+
+def _digest_of(placed: Column, head: str = "") -> Column:
+    """A digest over the ``e`` of structs, in order."""
+    rows = F.sort_array(F.collect_list(placed))
+    return F.sha2(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["e"]), "")), 256)
 
 
 def digest(content: Column) -> Column:

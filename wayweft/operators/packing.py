@@ -2,35 +2,24 @@
 
 An item opens a new batch when it no longer fits the current one, so batch starts follow one another:
 each start leads to the first later item that overflows its batch. With running totals that item is
-the first whose total exceeds ``total before the start + budget``. Groups of moderate size are folded
-one group per call; larger ones find all starts by pointer doubling, in a number of joins that grows
-with the logarithm of the number of batches and with no group in one task.
+the first whose total exceeds ``total before the start + budget``. All starts are found by pointer
+doubling, in a number of joins that grows with the logarithm of the number of batches and with no
+group in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayweft.operators.prefix import running_total
 from wayweft.session import materialise
 
-FOLD_ROWS = 100_000
 
-
-def pack_batches(
-    df: DataFrame, size: str, order: str, group: str, budget: int, fold_rows: int = FOLD_ROWS
-) -> DataFrame:
+def pack_batches(df: DataFrame, size: str, order: str, group: str, budget: int) -> DataFrame:
     """``group, order, size, batch`` with batches counted from 1; sizes are capped at the budget."""
     items = df.select(group, order, F.least(F.col(size), F.lit(budget)).cast("long").alias("size"))
-    counts = items.groupBy(group).agg(F.count("*").alias("_rows"))
-    sized = items.join(counts, group)
-    small = _fold(sized.filter(F.col("_rows") <= fold_rows).drop("_rows"), order, group, budget)
-    if counts.filter(F.col("_rows") > fold_rows).isEmpty():
-        return small
-    big = sized.filter(F.col("_rows") > fold_rows).drop("_rows")
-    return small.unionByName(_double(big, order, group, budget))
+    return _double(items, order, group, budget)
 
 
 def batch_texts(chunks: DataFrame, packed: DataFrame, group: str, order: str, budget: int) -> DataFrame:
@@ -51,22 +40,6 @@ def batch_texts(chunks: DataFrame, packed: DataFrame, group: str, order: str, bu
     return texts.join(modes, group).select(group, "batch", "body", F.octet_length("body").alias("bytes"), "mode")
 
 
-def _fold(items: DataFrame, order: str, group: str, budget: int) -> DataFrame:
-    schema = items.select(group, order, "size", F.lit(0).cast("long").alias("batch")).schema
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, used, out = 1, 0, []
-        for n, size in enumerate(pdf["size"]):
-            if n and used + size > budget and used >= 0:
-                batch, used = batch + 1, 0
-            used += size
-            out.append(batch)
-        return pdf.assign(batch=out)[[group, order, "size", "batch"]]
-
-    return items.groupBy(group).applyInPandas(pack, schema)
-
-
 def _next_starts(placed: DataFrame, order: str, group: str, budget: int) -> DataFrame:
     """``group, order, next``: the start that follows if a batch starts at this item."""
     points = placed.select(

@@ -162,7 +162,7 @@ def diff_batch_packing(spark, folder):
 
 def diff_batch_packing_large(spark, folder):
     """The same packing with every group sent through the path for groups too large to fold."""
-    return packing.pack_batches(_sized(spark, folder), "len", "file_pos", "source", BUDGET, fold_rows=0).select(
+    return packing.pack_batches(_sized(spark, folder), "len", "file_pos", "source", BUDGET).select(
         "source", "file_pos", "size", "batch"
     )
 
@@ -286,10 +286,22 @@ def content_key(spark, folder):
     return overlay.content_keys(_listing(spark, folder))
 
 
-CONTENT_SQL = """
-WITH f AS (SELECT source AS root, concat(lang, '/', doc_id) AS path, sha256(text) AS digest FROM documents)
-SELECT root, left(sha256(concat('v1', chr(10), 'hidden=0', chr(10), string_agg(concat(path, chr(0), digest, chr(10)), '' ORDER BY string_split(path, '/')))), 16) AS content_key
-FROM f GROUP BY root"""
+def content_key_wide(spark, folder):
+    """All documents as one root."""
+    return overlay.content_keys(_listing(spark, folder).withColumn("path", F.concat_ws("/", "root", "path")).withColumn("root", F.lit("all")))
+
+
+def _content_sql(root: str, path: str) -> str:
+    return f"""
+WITH f AS (SELECT {root} AS root, {path} AS path, sha256(text) AS digest FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY string_split(path, '/')) AS n FROM f),
+r AS (
+  SELECT root, (n - 1) // 1000 AS r, sha256(string_agg(concat(path, chr(0), digest, chr(10)), '' ORDER BY n.n)) AS e FROM n GROUP BY ALL)
+SELECT root, left(sha256(concat('v2', chr(10), 'hidden=0', chr(10), string_agg(concat(e, chr(10)), '' ORDER BY r.r))), 16) AS content_key FROM r GROUP BY root"""
+
+
+CONTENT_SQL = _content_sql("source", "concat(lang, '/', doc_id)")
+CONTENT_WIDE_SQL = _content_sql("'all'", "concat(source, '/', lang, '/', doc_id)")
 
 
 def overlay_merge(spark, folder):
@@ -422,6 +434,7 @@ QUERIES = {
     "comments_without_bots": (comments_without_bots, BOTS_SQL),
     "pull_coordinates": (pull_coordinates, COORDS_SQL),
     "content_key": (content_key, CONTENT_SQL),
+    "content_key_wide": (content_key_wide, CONTENT_WIDE_SQL),
     "overlay_merge": (overlay_merge, OVERLAY_SQL),
     "lru_evict_budget": (lru_evict_budget, LRU_SQL),
     "directory_sizes": (

@@ -186,7 +186,7 @@ def _walk_sql(kind: str, depth: int, directions: tuple[str, ...]) -> str:
         for n in range(1, depth):
             heads.append(
                 f"{d}_{n} AS (SELECT * FROM {d}_{n-1} UNION ALL SELECT DISTINCT r.seed, e.{stop}, {n} FROM {d}_{n-1} r JOIN edges e ON e.{start} = r.node "
-                f"WHERE r.dist = {n-1} AND (r.seed, e.{stop}) NOT IN (SELECT (seed, node) FROM {d}_{n-1}))"
+                f"WHERE r.dist = {n-1} AND NOT EXISTS (SELECT 1 FROM {d}_{n-1} x WHERE x.seed = r.seed AND x.node = e.{stop}))"
             )
         parts.append(
             f"SELECT r.seed, '{d}' AS direction, r.dist, r.node AS \"from\", e.{stop} AS \"to\", e.kind FROM {d}_{depth-1} r JOIN edges e ON e.{start} = r.node"

@@ -19,7 +19,7 @@ from wayweft.model import INDEXED_KINDS
 from wayweft.plans.extract import build, ci, code, commands, containers, markdown
 from wayweft.plans.extract.facts import WARNING, nothing, union
 from wayweft.session import materialise
-from wayweft.sources.scan import PARSERS, limit_warnings, parsers_for, within_limit, MAX_BYTES, MAX_FILES
+from wayweft.sources.scan import PARSERS, limit_warnings, parsers_for, within_limit
 
 EXTRACTORS = {
     "shell": commands.shell_script, "markdown": markdown.markdown, "makefile": build.makefile,
@@ -81,11 +81,13 @@ class Snapshot:
     warnings: DataFrame
 
     @staticmethod
-    def of_files(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES) -> "Snapshot":
-        """Build from ``path, size, text`` rows (text null where unread). The file limit applies to the whole table."""
+    def of_files(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> "Snapshot":
+        """Build from ``path, size, text`` rows (text null where unread). Limits, where given, apply to the whole table."""
         files = materialise(files)
-        taken = materialise(within_limit(files, max_files))
-        readable = taken.filter((F.col("size") <= max_bytes) & F.col("text").isNotNull())
+        taken = files if max_files is None else materialise(within_limit(files, max_files))
+        readable = taken.filter(F.col("text").isNotNull())
+        if max_bytes is not None:
+            readable = readable.filter(F.col("size") <= max_bytes)
         facts = materialise(extract(readable.select("path", "text")))
         warnings = fact_warnings(facts).unionByName(limit_warnings(files.select("path", "size"), max_files, max_bytes))
         return Snapshot(taken, materialise(fact_nodes(facts)), materialise(fact_edges(facts)), materialise(warnings))

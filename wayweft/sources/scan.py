@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from wayweft.functions.strings import basename, suffix
 
-# Folders a scan leaves out, its limits, and the one hidden folder it enters.
+# Folders a scan leaves out, and the one hidden folder it enters. Limits are arguments; without them a scan takes all.
 IGNORED = (
     ".git", ".hg", ".svn", "node_modules", "dist", "build", ".venv", "venv", "coverage", "__pycache__",
     ".mypy_cache", ".pytest_cache",
 )
-MAX_FILES = 20_000
-MAX_BYTES = 2 * 1024 * 1024
 OPEN_HIDDEN = ".github"
 
 # File endings and names each parser takes. A file can go to several parsers.
@@ -70,7 +68,7 @@ def is_local_link(target: Column) -> Column:
     return ~away
 
 
-def within_limit(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
+def within_limit(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """The first files of a scan in path order, component by component; None takes all.
 
     Only paths go through the top list; the contents stay where they are.
@@ -81,21 +79,22 @@ def within_limit(files: DataFrame, max_files: int | None = MAX_FILES) -> DataFra
     return files.join(head, "path", "left_semi")
 
 
-def limit_warnings(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+def limit_warnings(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Warnings ``path, message, ord`` of a scan: files over the size cap, and the file limit when it is hit."""
     def shaped(rows: DataFrame, path: Column, message: Column) -> DataFrame:
         return rows.select(
             path.alias("path"), message.alias("message"), F.struct(path.alias("path"), F.array(F.lit(0)).alias("at")).alias("ord")
         )
 
-    large = files.filter(F.col("size") > max_bytes)
+    too_big = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
+    large = files.filter(too_big)
     too_large = F.concat(F.lit("read error "), "path", F.lit(": file too large"))
     if max_files is None:
         return shaped(large, F.col("path"), too_large)
     head = files.select("path", "size").orderBy(F.split("path", "/")).limit(max_files + 1)
     ranked = head.withColumn("_n", F.row_number().over(Window.orderBy(F.split("path", "/"))))
     return shaped(
-        ranked.filter((F.col("_n") <= max_files) & (F.col("size") > max_bytes)), F.col("path"), too_large
+        ranked.filter((F.col("_n") <= max_files) & too_big), F.col("path"), too_large
     ).unionByName(
         shaped(ranked.filter(F.col("_n") > max_files), F.lit(""), F.lit(f"scan limit reached at {max_files} files"))
     )

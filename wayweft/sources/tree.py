@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from wayweft.functions.strings import suffix
 from wayweft.operators.sections import DOC_SUFFIXES
-from wayweft.sources.scan import IGNORED, MAX_BYTES, MAX_FILES, OPEN_HIDDEN, is_pruned
+from wayweft.sources.scan import IGNORED, OPEN_HIDDEN, is_pruned
 
 
 READ_BATCH = 32
 ARCHIVE_COLUMNS = ["archive", "path", "size", "content"]
 
 
-def list_tree(root: str, include_hidden: bool = False, max_files: int | None = MAX_FILES) -> list[tuple[str, int]]:
-    """Relative paths and sizes in path order, one more than the limit at most.
+def list_tree(root: str, include_hidden: bool = False, max_files: int | None = None) -> list[tuple[str, int]]:
+    """Relative paths and sizes in path order; with a limit, one more than that at most.
 
-    Walks folder by folder and never enters an ignored one. The listing holds names only, and the
-    scan limit bounds it; larger corpora come in as tables (``files_from_binary`` or any DataFrame).
+    Walks folder by folder and never enters an ignored one. The listing of one local tree
+    holds names only; larger corpora come in as tables (``files_from_binary`` or any DataFrame).
     """
     base = Path(root).resolve()
     if not base.is_dir():
@@ -51,12 +51,12 @@ def list_tree(root: str, include_hidden: bool = False, max_files: int | None = M
 
 
 def files_from_tree(
-    spark: SparkSession, root: str, include_hidden: bool = False, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES
+    spark: SparkSession, root: str, include_hidden: bool = False, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """``path, size, text, sha256`` of a tree that all executors can open.
 
-    Contents are read by the tasks. Oversized files keep a null text unless they are documents,
-    which have no size cap; a file that vanishes keeps nulls.
+    Contents are read by the tasks. With ``max_bytes``, larger files keep a null text unless they are
+    documents; a file that vanishes keeps nulls.
     """
     base = str(Path(root).resolve())
     listing = list_tree(root, include_hidden, max_files)
@@ -80,16 +80,17 @@ def files_from_tree(
     return with_text(loaded, max_bytes)
 
 
-def with_text(files: DataFrame, max_bytes: int = MAX_BYTES, *keep: str) -> DataFrame:
+def with_text(files: DataFrame, max_bytes: int | None = None, *keep: str) -> DataFrame:
     """``<keep>, path, size, text, sha256`` from binary contents; bytes that are no UTF-8 become U+FFFD."""
-    wanted = (F.col("size") <= max_bytes) | suffix(F.col("path")).isin(*DOC_SUFFIXES)
+    small = F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
+    wanted = small | suffix(F.col("path")).isin(*DOC_SUFFIXES)
     text = F.make_valid_utf8(F.col("content").cast("string"))
     digest = F.coalesce(F.sha2("content", 256), F.lit("unreadable"))
     return files.select(*keep, "path", "size", F.when(wanted, text).alias("text"), digest.alias("sha256"))
 
 
 def files_from_binary(
-    spark: SparkSession, root: str, include_hidden: bool = False, max_bytes: int = MAX_BYTES, glob: str | None = None
+    spark: SparkSession, root: str, include_hidden: bool = False, max_bytes: int | None = None, glob: str | None = None
 ) -> DataFrame:
     """The same table through Spark's own file source, for trees in shared or object storage.
 
@@ -111,7 +112,7 @@ def files_from_binary(
 
 
 def files_from_archives(
-    spark: SparkSession, paths: list[str], include_hidden: bool = False, max_bytes: int = MAX_BYTES
+    spark: SparkSession, paths: list[str], include_hidden: bool = False, max_bytes: int | None = None
 ) -> DataFrame:
     """``archive, path, size, text, sha256`` of tar archives, without their common top folder.
 
