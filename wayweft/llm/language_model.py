@@ -30,6 +30,8 @@ CLASSES = 128
 HEAD = 100_000
 ORDER, WIDTH = 3, 16
 NOISE, BATCH, ROUNDS, RATE = 32, 2048, 2, 0.1
+#: Rows of a scoring batch, whose logits should stay in a core's cache.
+SCORED_AT_ONCE = 512
 END = 0
 FIRST_CLASS = 1 + OWN_UNITS
 UNITS = FIRST_CLASS + CLASSES
@@ -103,6 +105,15 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return cls(word[order], c[order], unit[order], mass + types + 1, noise, n + texts, v + (texts > 0), texts)
 
+    def units_of(self, prints: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The units of words; only the few words with units of their own are looked up."""
+        own = np.flatnonzero((self.units < FIRST_CLASS) & (self.counts > 0))
+        if not len(own):
+            return FIRST_CLASS + cls
+        word, unit = self.head[own], self.units[own]
+        at = np.minimum(np.searchsorted(word, prints), len(word) - 1)
+        return np.where(word[at] == prints, unit[at], FIRST_CLASS + cls)
+
     def find(self, prints: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, count or 0, whether listed) of words."""
         at = np.minimum(np.searchsorted(self.head, prints), len(self.head) - 1)
@@ -193,7 +204,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> di
             for whole in batches:
                 for batch in slices(whole, "text"):
                     prints, cls, bounds = word_classes(batch.column("text"))
-                    trainer.learn(*sequences(vocabulary.find(prints, cls)[0], bounds))
+                    trainer.learn(*sequences(vocabulary.units_of(prints, cls), bounds))
             if trainer.seen:
                 flat = np.concatenate([trainer.p[k].reshape(-1) for k in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -213,13 +224,15 @@ def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, contexts: np
     """Normalised natural log-probabilities of targets, by one matrix product a batch."""
     out = np.empty(len(target))
     outer = np.ascontiguousarray(p["outer"].T)
-    for i in range(0, len(target), BATCH):
-        q = predicted(p, contexts[:, i : i + BATCH])
-        logits = q @ outer + p["bias"]
-        own = logits[np.arange(len(q)), target[i : i + BATCH]]
+    for i in range(0, len(target), SCORED_AT_ONCE):
+        own = target[i : i + SCORED_AT_ONCE]
+        logits = predicted(p, contexts[:, i : i + SCORED_AT_ONCE]) @ outer
+        logits += p["bias"]
         top = logits.max(axis=1)
-        np.exp(logits - top[:, None], out=logits)
-        out[i : i + BATCH] = own - top - np.log(logits.sum(axis=1))
+        logits -= top[:, None]
+        chosen = logits[np.arange(len(own)), own]
+        np.exp(logits, out=logits)
+        out[i : i + SCORED_AT_ONCE] = chosen - np.log(logits.sum(axis=1))
     return out
 
 
