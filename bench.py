@@ -21,6 +21,7 @@ HEADLINE = [
     "symbol_prefix_and_search", "symbol_postings", "doc_bm25_scores", "doc_bm25_topk", "doc_bm25_porter",
     "doc_sections", "link_resolve", "diff_line_numbers", "diff_hunk_sets", "diff_changed_symbols",
     "diff_inline_validate", "diff_batch_packing", "content_key", "lru_evict_budget", "overlay_merge", "dirty_roots",
+    "content_key_wide", "code_facts", "workflow_facts", "container_facts", "makefile_facts", "markdown_facts", "shell_script_facts",
 ]
 
 
