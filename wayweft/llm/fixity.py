@@ -42,7 +42,9 @@ def packed(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     rows = pages.select(
         F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), files).alias("file"), F.col("page_id").cast("long").alias("page_id"), record.alias("record")
     )
-    rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    # Both digests are made before the offsets, so that no record has to be shuffled for them.
+    flawed = F.sha2(F.concat(F.lit("~"), F.col("record")), 256)
+    rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256), "flawed": flawed})
     order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
     return rows.withColumn("offset", F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length"))
 
@@ -111,7 +113,7 @@ def damaged(records: DataFrame) -> DataFrame:
     """A replica with faults by rule, for trials: of a hundred records about one is changed and one lost."""
     draw = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("fault:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"), F.lit(100))
     return records.withColumn("_draw", draw).where("_draw <> 1").withColumn(
-        "digest", F.when(F.col("_draw") == 0, F.sha2(F.concat(F.lit("~"), F.col("record")), 256)).otherwise(F.col("digest"))
+        "digest", F.when(F.col("_draw") == 0, F.col("flawed")).otherwise(F.col("digest"))
     ).drop("_draw")
 
 

@@ -26,7 +26,7 @@ from wayweft.session import materialise
 
 OWN_UNITS = 255
 CLASSES = 128
-#: Words looked up without a shuffle, at 16 bytes each.
+#: At most so many words are looked up without a shuffle, at 16 bytes each.
 HEAD = 100_000
 ORDER, WIDTH = 3, 16
 NOISE, BATCH, ROUNDS, RATE = 32, 2048, 2, 0.1
@@ -85,8 +85,18 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame, texts: int) -> Vocabulary:
-        top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+        # The cut lies between two classes of counts, so no task has to rank the words.
+        size = F.floor(F.log2("c") * 16).cast("long")
+        held, cut = 0, None
+        for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+            held += r["count"]
+            if held > HEAD:
+                break
+            cut = r["size"]
+        top = counts.where(size >= cut if cut is not None else F.lit(False)).toArrow()
         word, c, kind = (top.column(x).to_numpy() for x in ("word", "c", "cls"))
+        order = np.lexsort((word, -c))
+        word, c, kind = word[order], c[order], kind[order]
         unit = np.where(np.arange(len(word)) < OWN_UNITS, 1 + np.arange(len(word)), FIRST_CLASS + kind)
         totals = counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
         mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
