@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Equal sets form a class, and only a class's smallest doc_id is banded. In a bucket, every member
     is held against the smallest one, so a bucket of copies costs as many pairs as members. Where its
-    members then still lie in several groups, those outside its first one are held against all
+    members then still lie in several groups, those outside the largest are held against all
     members of other groups that exact bounds leave (``_open_pairs``): no pair of a bucket is left out. A pair
     of similarity 0.8 shares no bucket with a chance of 1.3e-7, a more similar one with far less.
     """
@@ -172,8 +172,10 @@ def _open_pairs(docs: DataFrame, members: DataFrame, groups: DataFrame, size: in
     the overlap that a link needs (position filter). Both bounds are exact.
     """
     lab = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = lab.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").drop("last")
-    # Of a pair in different groups, one document at least is outside the bucket's first group.
+    sizes = lab.groupBy("bucket", "label").count()
+    main = F.max_by("label", F.struct("count", "label")).alias("main")
+    mixed = sizes.groupBy("bucket").agg(main, F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "main")
+    # Of a pair in different groups, one document at least is outside the bucket's largest group.
     few = lab.join(mixed, "bucket").groupBy("rep").agg(F.min("label").alias("label"), F.bool_or(F.col("label") != F.col("main")).alias("few"))
     few = materialise(few)
 
