@@ -109,6 +109,22 @@ def test_leaks_with_other_slots(spark):
     assert sorted((r.doc_id, r.exact) for r in got.collect()) == [(1, True), (2, False)]
 
 
+def test_leaks_of_short_blank_and_slot_dense_items(spark):
+    items = [
+        (1, "Ein Bauer hat 12 Huehner und 7 Kuehe"), (2, "Calculate 12 + 7 - 4 * 31 / 2 + 9 - 55 + 3"), (3, "What is 12 + 7?"), (4, ""), (5, None), (6, " \n "),
+        (7, "Anna, Berta und 12 Freunde kaufen 7 Karten, dann noch 4 Karten, und Anna zahlt 31 Euro, aber wie viel zahlt Berta?"),
+        (8, "the plain few"), (9, "A farmer who has many old cows sells some of them at the market"),
+    ]
+    alone = [(i, t) for i, t in items if t and len(t.split()) >= 8]
+    texts = {i: f"Some words that come before: {t} And then some words after it." for i, t in items if t and t.strip()}
+    texts |= {20: texts[7].replace("12", "13").replace("31", "40"), 21: "Ein Bauer hat sehr viel zu tun und What is that", 22: texts[1].replace("7", "8")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for given in (items, alone):
+        ids = {i for i, t in given if t and t.strip()}
+        got = decontaminate.leaks(docs, spark.createDataFrame(given, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(i, i, True) for i in ids} | {(20, 7, False)}
+
+
 def test_spans(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
