@@ -184,6 +184,26 @@ def test_page_parts(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = "The cat of the house is on the mat and it was happy there for all of the day."
+FOREIGN = "Kissa istui talon edessä koko päivän, katseli lintuja, söi kalaa, joi maitoa, nukkui sohvalla."
+SCRIPT = "猫は一日中家の前に座って鳥を眺め、魚を食べ、牛乳を飲み、夕方になるとソファの上で眠った。翌朝になると猫はまた庭に出て、隣の犬と長い間見つめ合っていた。"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=content><h2>Cats</h2><p>{STORY}</p></div><section><article><h3>Next story</h3></article></section>", f"Cats {STORY} Next story"),
+        (f"<div>Top</div><article><p>{STORY}</p></article><div>Tail of it</div><div><a href=1>All of the links of the house and of the mat are in this one line</a></div>", STORY),
+        (f"<nav>Etusivu</nav><div><p>{FOREIGN}</p><p>{FOREIGN}</p></div><footer>Loppu</footer>", f"{FOREIGN} {FOREIGN}"),
+        (f"<nav>家</nav><div><p>{SCRIPT}</p></div><footer>終</footer>", SCRIPT),
+        ("<nav>Home</nav><article>Short</article><footer>End</footer>", "Short"),
+    ],
+)
+def test_pages_by_blocks(page, text):
+    """Stories outside an article, and in languages or scripts without known stop words."""
+    assert html_text.main_text(page) == text
+
+
 def test_licences(spark, docs):
     lines = [line for r in docs.collect() for line in r.text.split("\n")]
     # The corpus states licences by these four sentences.

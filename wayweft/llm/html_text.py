@@ -3,7 +3,7 @@
 The markup is read once into blocks of text with their link text, stop words and enclosing parts.
 Pass one calls long blocks with many stop words and few links good and link lists, notices and other
 page furniture bad; short blocks in between stay open. In pass two an open block takes the label of
-its nearest decided neighbours.
+its nearest decided neighbours. Standing in an article speaks for a block in both.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ STOP_WORDS = frozenset(
     o os um uma não com do dos das em na no é mais""".split()
 )
 LONG, SHORT = 12, 4
-STOP_HIGH, STOP_LOW = 0.25, 0.1
+STOP_HIGH, STOP_LOW, STOP_NONE = 0.25, 0.1, 0.02
 LINKS_HIGH = 0.4
 
 # Element names by their role in a page.
@@ -160,49 +160,60 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _neighbours(labels: list[bool | None]) -> list[list[tuple[int, bool]]]:
+    """(distance, whether it is bad) of the nearest decided places before and after each one."""
+    out: list[list[tuple[int, bool]]] = [[] for _ in labels]
+    for way in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last = None
+        for i in way:
+            if last is not None:
+                out[i].append((abs(i - last), not labels[last]))
+            last = i if labels[i] is not None else last
+    return out
+
+
 def main_text(page: str) -> str:
     """The text of the good blocks, joined by one space.
 
-    Where a page has an article, its blocks stand apart from the rest: they are bad only if they are
-    mostly links, and open only if they are short, without links, stop words or punctuation. Blocks
-    outside count only in pages without one.
+    An article's blocks are bad only if they are mostly links, and open only if they are short, without
+    links, stop words or punctuation; they look for neighbours in articles alone. In a page that has an
+    article, blocks outside need length and stop words to be good, and open ones count articles as bad
+    neighbours. Where hardly a word of the page is a stop word its language is unknown, and length and
+    links decide; six letters count as a word there, as not every script sets blanks.
     """
     found = blocks(page)
-    if any(b.in_article and not b.furniture for b in found):
-        found = [b for b in found if b.in_article]
-    labels: list[bool | None] = []
+    has_article = any(b.in_article and not b.furniture for b in found)
+    counted = []
     for b in found:
         words = [w.strip(".,;:!?\"'()[]{}") for w in b.text.lower().split()]
-        stops = sum(w in STOP_WORDS for w in words) / len(words)
-        links = b.linked / len(b.text)
+        counted.append((len(words), sum(w in STOP_WORDS for w in words), b.linked / len(b.text)))
+    told = [(n, k) for b, (n, k, links) in zip(found, counted) if not b.furniture and links <= LINKS_HIGH]
+    unknown = sum(k for _, k in told) < STOP_NONE * sum(n for n, _ in told)
+    labels: list[bool | None] = []
+    for b, (n, k, links) in zip(found, counted):
+        stops = k / n
         if b.furniture or links > LINKS_HIGH:
             labels.append(False)
         elif b.in_article:
-            labels.append(True if len(words) >= SHORT or stops >= STOP_LOW or re.search(r"[.!?:;]", b.text) else None)
-        elif len(words) >= LONG and stops >= STOP_LOW or len(words) >= SHORT and stops >= STOP_HIGH:
+            labels.append(True if n >= SHORT or stops >= STOP_LOW or re.search(r"[.!?:;]", b.text) else None)
+        elif unknown:
+            labels.append(True if max(n, len(b.text) // 6) >= LONG else None)
+        elif n >= LONG and stops >= STOP_LOW or n >= SHORT and stops >= STOP_HIGH and not has_article:
             labels.append(True)
         else:
-            labels.append(None if len(words) < LONG or stops > 0 else False)
-    n = len(found)
-    # Distance to the nearest decided block on either side, and its label.
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for i in range(n):
-        last = (i, labels[i]) if labels[i] is not None else last
-        before.append(last)
-    kept, following = [], None
-    for i in range(n - 1, -1, -1):
-        label = labels[i]
-        if label is None:
-            sides = [(abs(i - k), not v) for k, v in filter(None, (before[i], following))]
-            label = not min(sides)[1] if sides else True
-            if found[i].in_article and label is False and not (before[i] and following and not before[i][1] and not following[1]):
-                label = True
-        else:
-            following = (i, label)
+            labels.append(None if n < LONG or stops > 0 else False)
+    inside = _neighbours([x if b.in_article else None for b, x in zip(found, labels)])
+    outside = _neighbours([False if b.in_article else x for b, x in zip(found, labels)])
+    kept = []
+    for b, label, near, far in zip(found, labels, inside, outside):
+        if label is None and b.in_article:
+            # Bad neighbours on one side alone don't outweigh the article.
+            label = len(near) < 2 or not all(bad for _, bad in near)
+        elif label is None:
+            label = not min(far)[1] if far else True
         if label:
-            kept.append(found[i].text)
-    return " ".join(reversed(kept))
+            kept.append(b.text)
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
