@@ -142,6 +142,23 @@ def test_spans(spark):
     assert out.n_removed == 6 and out.text.count(passage) == 1 and out.sources == []
 
 
+def test_span_tails_and_unmarked_passages(spark):
+    """The short last sentences of a passage go too, and a passage of 51 words within unmarked text is always found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    say = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    flat = lambda n: " ".join(word() for _ in range(n))
+    passage = " ".join([say(15), say(15), say(3), say(2)])
+    rows = [(0, f"{say(9)} {passage} {say(9)}"), (1, f"{say(8)} {passage} {say(9)}"), (2, f"{say(8)} {passage} {say(9)} {passage} {say(7)}")]
+    wanted = {d: " ".join(t.replace(passage, "").split()) for d, t in rows if d}
+    for k in range(100):
+        shared = flat(51) if k % 4 else " ".join(rng.choice("xyz") + str(k) for _ in range(51))
+        rows += [(10 + 2 * k, f"{flat(30)} {shared} {flat(30)}"), (11 + 2 * k, f"{flat(33)} {shared} {flat(33)}")]
+    got = {r.doc_id: r for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d].text for d in wanted} == wanted and got[1].n_removed == 4 and got[2].sources == [0]
+    assert all(got[11 + 2 * k].n_removed and got[11 + 2 * k].sources == [10 + 2 * k] for k in range(100))
+
+
 def test_base_and_model_scores(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute.base_scores(rows)

@@ -1,10 +1,12 @@
 """Repeated passages across documents, found by sliding spans of sentences.
 
 A sentence ends at a full stop, an exclamation or question mark, or a line feed. One of over sixteen
-words is cut on after words that a hash picks, so a passage is cut alike wherever it stands. A span
-is the shortest run of two or more sentences with at least twenty words; one starts at every sentence.
-Spans are hashed to 128 bits and joined over all documents, and sentences of every span that an
-earlier document holds too, or that stood before in the same text, are removed.
+words is cut on after the smallest word hash of every sixteen words, so a passage is cut alike wherever
+it stands. A span is a run of two or more sentences with at least twenty words: the shortest one that
+starts at a sentence, or that ends at one (a tail). Together they reach every sentence of any longer
+run that repeats. Spans are hashed to 128 bits and joined over all documents, tails only where the
+span at their start repeats; sentences of every span that an earlier document holds too, or that
+stood before in the same text, are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from wayweft.llm.words import mix, signed, slices, text_bytes, words
 from wayweft.session import materialise
 
 SENTENCES, WORDS = 2, 20
-LONG, PICK = 16, 8
+LONG = 16
 
 
 def sentences(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,8 +41,14 @@ def sentences(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     last[:-1] |= lines[1:] != lines[:-1]
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
     first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    long_ = np.repeat(np.diff(np.append(first, n)) > LONG, np.diff(np.append(first, n)))
-    last |= long_ & (prints % np.uint64(PICK) == 0)
+    count = np.diff(np.append(first, n))
+    sentence, long_ = np.repeat(np.arange(len(first)), count), np.repeat(count > LONG, count)
+    # The place of the smallest hash (the last one of equals) of each window of LONG words.
+    low, at, step = prints, np.arange(n), 1
+    while step < LONG:
+        later = low[step:] <= low[:-step]
+        low, at, step = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step]), step * 2
+    last[at[(sentence[: len(at)] == sentence[LONG - 1 :]) & long_[: len(at)]]] = True
     first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
     count = np.diff(np.append(first, n))
     place = (np.arange(n) - np.repeat(first, count)).astype(np.uint64)
@@ -49,8 +57,12 @@ def sentences(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     return np.searchsorted(first, bounds), starts[first], count, one, two
 
 
-def spans(column):
-    """(row, first sentence, end sentence, first byte, end byte, a, b, again) of all spans of texts."""
+def spans(column, tails: bool = False):
+    """(row, first sentence, end sentence, first byte, end byte, a, b, again, prefix) of all spans of texts.
+
+    With ``tails`` these follow the spans from each start; ``prefix`` is the number of the span at a
+    span's start, its own where it is none of the tails.
+    """
     raw, rows = text_bytes(column)
     bounds, begins, count, one, two = sentences(column)
     total = np.concatenate([[0], np.cumsum(count)])
@@ -58,7 +70,16 @@ def spans(column):
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     e = np.maximum(s + SENTENCES, np.searchsorted(total, total[s] + WORDS))
     fits = e <= bounds[1:][row] if len(s) else np.zeros(0, bool)
-    s, e, row = s[fits], e[fits], row[fits]
+    prefix = np.cumsum(fits) - 1
+    if tails and len(s):
+        end = s + 1
+        start = np.minimum(end - SENTENCES, np.searchsorted(total, total[end] - WORDS, "right") - 1)
+        more = np.flatnonzero(start >= bounds[:-1][row])
+        more = more[e[start[more]] < end[more]]
+        s, e, row = (np.concatenate([x[fits], y[more]]) for x, y in ((s, start), (e, end), (row, row)))
+        prefix = np.concatenate([prefix[fits], prefix[start[more]]])
+    else:
+        s, e, row, prefix = s[fits], e[fits], row[fits], prefix[fits]
     a, b = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
     for d in range(int((e - s).max()) if len(s) else 0):
         inside = np.flatnonzero(s + d < e)
@@ -73,21 +94,23 @@ def spans(column):
         same[x] = (row[x] == row[y]) & (a[x] == a[y]) & (b[x] == b[y])
     ends = np.append(begins, len(raw))
     stop = np.minimum(ends[e], rows[1:][row]) if len(s) else e
-    return row, s - bounds[row], e - bounds[row], begins[s] - rows[row], stop - rows[row], a, b, same
+    return row, s - bounds[row], e - bounds[row], begins[s] - rows[row], stop - rows[row], a, b, same, prefix
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
 
 
-def _first_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): each span once for every text that holds it."""
+def _first_spans(docs: DataFrame, mask: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, a, b): each span once for every text that holds it; with ``mask``, each tail of a span that it lets through."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                row, *_, a, b, again = spans(batch.column("text"))
+                row, *_, a, b, again, prefix = spans(batch.column("text"), mask is not None)
                 new = ~again
+                if mask is not None:
+                    new &= (prefix != np.arange(len(prefix))) & in_mask(mask, a[prefix])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row[new])), pa.array(signed(a[new])), pa.array(signed(b[new]))], ["doc_id", "a", "b"]
                 )
@@ -95,14 +118,15 @@ def _first_spans(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, a long, b long")
 
 
-def _suspect_spans(docs: DataFrame, mask: np.ndarray) -> DataFrame:
-    """The spans that ``mask`` lets through or that stood before in the same text, with their places."""
+def _suspect_spans(docs: DataFrame, mask: np.ndarray, tail_mask: np.ndarray) -> DataFrame:
+    """The spans that the masks let through or that stood before in the same text, with their places."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                row, s, e, begin, end, a, b, again = spans(batch.column("text"))
-                hit = np.flatnonzero(in_mask(mask, a) | again)
+                row, s, e, begin, end, a, b, again, prefix = spans(batch.column("text"), True)
+                tail = prefix != np.arange(len(prefix))
+                hit = np.flatnonzero(again | np.where(tail, in_mask(tail_mask, a), in_mask(mask, a)))
                 at = pa.array(row[hit])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -118,11 +142,18 @@ def _suspect_spans(docs: DataFrame, mask: np.ndarray) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, sources, cuts): for each text with repeated spans their places, and the documents that hold them first."""
     keyed = _keyed(docs)
-    seen = _first_spans(keyed).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = materialise(seen.where("first < last").select("a", "b", "first"))
-    suspects = _suspect_spans(keyed, mask_of(shared, "a"))
+
+    def in_several(found: DataFrame) -> DataFrame:
+        seen = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        return materialise(seen.where("first < last").select("a", "b", "first"))
+
+    starts = in_several(_first_spans(keyed))
+    mask = mask_of(starts, "a")
+    # A tail repeats only where the span at its start does.
+    tails = in_several(_first_spans(keyed, mask))
+    suspects = _suspect_spans(keyed, mask, mask_of(tails, "a"))
     # Spans of a text that repeat in it need no other document; the others look for their first one.
-    found = suspects.join(shared, ["a", "b"], "left").where("again or first < doc_id")
+    found = suspects.join(starts.unionByName(tails), ["a", "b"], "left").where("again or first < doc_id")
     cut = F.struct("begin", "stop", "s", "e")
     source = F.when(F.col("first") < F.col("doc_id"), F.nullif(F.col("first"), F.lit(NO_ID)))
     out = found.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(source)).alias("sources"), F.sort_array(F.collect_set(cut)).alias("cuts"))
