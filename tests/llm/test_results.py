@@ -240,6 +240,17 @@ def test_licences(spark, docs):
     assert {r.doc_id: r.family for r in licenses.scan(rows, model).collect()} == {i: f for i, (_, f) in enumerate(others) if f}
 
 
+def test_short_licences(docs):
+    """Statements without word trigrams are compared whole."""
+    lines = [(f"{mark}{text}", family) for family, texts in licenses.SHORT.items() for text in texts for mark in ("", "// ")]
+    others = [("the License", None), ("MIT", None), ("SPDX-License-Identifier: Foo", None), ("MIT pub", None), ("License", None)]
+    rows = docs.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(lines + others)], "doc_id long, text string")
+    model = licenses.fit(docs)
+    # At most PASS of the paragraphs kept out are above the lowest threshold, so it holds.
+    assert model.threshold == 0.5
+    assert {r.line: r.family for r in licenses.scan(rows, model).collect()} == dict(lines)
+
+
 def test_lines_in_batches(spark, con, docs):
     """Any number of batches, and so of runs and merges, gives the same lines."""
     want = line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()
