@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayweft.llm import decontaminate, fixity, html_text, language_model, licenses, line_dedup, mixing, near_dedup, quality, span_dedup
+from wayweft.llm import decontaminate, fixity, hard_negatives, html_text, language_model, licenses, line_dedup, mixing, near_dedup, quality, simhash, span_dedup, token_alignment
 from wayweft.llm.shared import table
 
 
@@ -55,6 +55,19 @@ def op10_html_text(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op11_token_alignment(spark, folder):
+    rows, _ = token_alignment.align(table(spark, folder, "documents"))
+    return rows
+
+
+def op12_hard_negatives(spark, folder):
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op13_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, mixing.SQL),
     "op2_warc_fixity": (op2_warc_fixity, fixity.SQL),
@@ -66,4 +79,7 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, line_dedup.SQL),
     "op9_lm_scores": (op9_lm_scores, None),
     "op10_html_text": (op10_html_text, None),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op12_hard_negatives": (op12_hard_negatives, hard_negatives.SQL),
+    "op13_simhash": (op13_simhash, None),
 }
