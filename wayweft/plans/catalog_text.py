@@ -275,14 +275,14 @@ SELECT path FROM paths WHERE len(list_filter(string_split(path, '/'), lambda p:
 def scan_limit_warning(spark, folder):
     """Sizes against the read cap and the number of files against the scan limit, as warning rows."""
     files = t.doc_rows(spark, folder).select("path", F.octet_length("text").cast("long").alias("size"))
-    return scan.limit_warnings(files, max_files=700, max_bytes=20_000).select("path", "message")
+    return scan.limit_warnings(files, max_files=150, max_bytes=4_000).select("path", "message")
 
 
 LIMIT_SQL = """
 WITH f AS (SELECT concat(source, '/', lang, '/', doc_id, '.md') AS path, strlen(text) AS size FROM documents),
 n AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS k FROM f)
-SELECT path, concat('read error ', path, ': file too large') AS message FROM n WHERE k <= 700 AND size > 20000
-UNION ALL SELECT '' AS path, 'scan limit reached at 700 files' FROM n WHERE k = 701"""
+SELECT path, concat('read error ', path, ': file too large') AS message FROM n WHERE k <= 150 AND size > 4000
+UNION ALL SELECT '' AS path, 'scan limit reached at 150 files' FROM n WHERE k = 151"""
 
 
 def scan_format_dispatch(spark, folder):
