@@ -14,7 +14,8 @@ CLASHES = ["rep", "bucket", "others", "_d", "_r", "drop", "kept", "n_words", "sh
 
 def words(n, seed=0):
     """Plain words that differ by seed."""
-    return [f"w{(i * 7919 + seed * 104729) % 99991}x" for i in range(n)]
+    letters = str.maketrans("0123456789", "aeioubdkln")
+    return [f"w{(i * 7919 + seed * 104729) % 99991}x".translate(letters) for i in range(n)]
 
 
 def odd_rows():
