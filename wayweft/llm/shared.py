@@ -26,21 +26,25 @@ def text_words(text: Column) -> Column:
 MASK_BITS = 23
 
 
-def mask_of(df: DataFrame, key: str, bits: int = MASK_BITS) -> np.ndarray:
-    """A bit map of fixed size with the low bits of a BIGINT column set.
-
-    It bounds what a later scan has to send on: whatever it lets through is matched exactly
-    afterwards, so a crowded map costs time and no rows. At most 2^bits bits reach the driver.
-    """
-    rows = (
+def mask_rows(df: DataFrame, key: str, bits: int = MASK_BITS) -> DataFrame:
+    """(w, b): the 64-bit words of a bit map of fixed size with the low bits of a BIGINT column set; 2^bits / 64 rows at most."""
+    return (
         df.where(F.col(key).isNotNull())
         .selectExpr(f"{key} & {(1 << bits) - 1}L AS low")
         .selectExpr("low >> 6 AS w", "1L << CAST(low & 63 AS INT) AS b")
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
+
+
+def mask_of(df: DataFrame, key: str, bits: int = MASK_BITS) -> np.ndarray:
+    """A bit map of fixed size with the low bits of a BIGINT column set.
+
+    It bounds what a later scan has to send on: whatever it lets through is matched exactly
+    afterwards, so a crowded map costs time and no rows. At most 2^bits bits reach the driver.
+    """
     mask = np.zeros((1 << bits) // 64, np.uint64)
-    found = rows.toArrow()
+    found = mask_rows(df, key, bits).toArrow()
     if found.num_rows:
         mask[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return mask

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.llm.line_dedup import NO_ID
-from wayweft.llm.shared import carry, in_mask, mask_of, uncarried
+from wayweft.llm.shared import MASK_BITS, carry, in_mask, mask_of, mask_rows, uncarried
 from wayweft.llm.words import mix, signed, slices, text_bytes, words
 from wayweft.session import materialise
 
@@ -175,8 +175,15 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     cuts = repeated_spans(docs).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "sources", "cuts")
     new = ("n_sentences", "n_removed", "sources")
     own = carry(docs, "doc_id", "text", new=new)
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64("text") == F.col("_r"))
-    joined = own.join(cuts.hint("shuffle_hash"), same, "left").select("text", "others", "sources", "cuts")
+    # Only documents that a bit map of cut ones lets through are shuffled to their cuts.
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    low = number.bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    own = own.join(F.broadcast(mask_rows(cuts, "_d")), F.shiftright(low, 6) == F.col("w"), "left")
+    cut = F.coalesce(F.expr("b & (1L << CAST(low & 63 AS INT)) <> 0"), F.lit(False))
+    own = own.withColumn("low", low).withColumn("cut", cut).select("doc_id", "text", "others", "cut")
+    joined = own.where("cut").join(cuts.hint("shuffle_hash"), (number == F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left")
+    spared = own.where("not cut").withColumns({c: F.lit(None).cast(cuts.schema[c].dataType) for c in ("sources", "cuts")})
+    joined = joined.select("text", "others", "sources", "cuts").unionByName(spared.select("text", "others", "sources", "cuts"))
 
     def run(batches):
         for whole in batches:
