@@ -7,7 +7,7 @@ its probability by their counts, one part going to words never seen, so all prob
 one. Tasks train on their own texts from common parameters, whose mean starts the next round.
 
 Counts cover all training texts and are joined by word. The most frequent words, a list of bounded
-length, are looked up in the scan itself; all others meet their counts in a shuffle.
+length, are looked up in the scan that scores; all others are handed on by it and meet their counts in a shuffle.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayweft.llm.line_dedup import NO_ID
@@ -32,6 +32,7 @@ ORDER, WIDTH = 3, 16
 NOISE, BATCH, ROUNDS, RATE = 32, 2048, 2, 0.1
 #: Rows of a scoring batch, whose logits should stay in a core's cache.
 SCORED_AT_ONCE = 512
+SAFE = 60.0
 END = 0
 FIRST_CLASS = 1 + OWN_UNITS
 UNITS = FIRST_CLASS + CLASSES
@@ -44,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("rid"), held_out(F.col("doc_id")).alias("held_out"), "text"
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"
     )
 
 
@@ -233,13 +234,15 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> di
 def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities of targets, by one matrix product a batch."""
     out = np.empty(len(target))
-    outer = np.ascontiguousarray(p["outer"].T)
+    outer = np.vstack([p["outer"].T, p["bias"][None, :]])
+    largest = float(np.sqrt((outer**2).sum(axis=0)).max())
     for i in range(0, len(target), SCORED_AT_ONCE):
         own = target[i : i + SCORED_AT_ONCE]
-        logits = predicted(p, contexts[:, i : i + SCORED_AT_ONCE]) @ outer
-        logits += p["bias"]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
+        q = np.column_stack([predicted(p, contexts[:, i : i + SCORED_AT_ONCE]), np.ones(len(own), np.float32)])
+        logits = q @ outer
+        # Far below the largest exponent that single precision holds, no logit has to be taken off first.
+        if largest * float(np.sqrt((q**2).sum(axis=1)).max()) > SAFE:
+            logits -= logits.max(axis=1)[:, None]
         chosen = logits[np.arange(len(own)), own]
         np.exp(logits, out=logits)
         out[i : i + SCORED_AT_ONCE] = chosen - np.log(logits.sum(axis=1))
@@ -247,11 +250,15 @@ def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, contexts: np
 
 
 def _scored(docs: DataFrame, vocabulary: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """A row per text with what the scan alone tells: counts of tokens and the listed words' part of both scores."""
+    """A row per text with counts of tokens, the listed words' part of both scores, and the other words with their number.
+
+    ``uid`` tells rows apart once the result is stored.
+    """
     share = np.log10(vocabulary.class_size)
     end_log = float(np.log10(vocabulary.texts + 1))
 
     def run(batches):
+        uid = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, "text"):
                 prints, cls, bounds = word_classes(batch.column("text"))
@@ -266,37 +273,30 @@ def _scored(docs: DataFrame, vocabulary: Vocabulary, parameters: dict[str, np.nd
                 over = lambda x: x[bounds[1:]] - x[bounds[:-1]]
                 model = np.diff(np.concatenate([[0], sums[ends]])) + over(inside)
                 n = np.diff(bounds) + 1
+                rare, times = _rare(prints, hit, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(n), pa.array(over(known) + (vocabulary.texts > 0)),
-                        pa.array(over(base) + end_log), pa.array(model),
+                        pa.array(np.arange(uid, uid + len(n))), batch.column("doc_id"), batch.column("held_out"), pa.array(n),
+                        pa.array(over(known) + (vocabulary.texts > 0)), pa.array(over(base) + end_log), pa.array(model), rare, times,
                     ],
-                    ["doc_id", "rid", "held_out", "n_tokens", "known", "base", "model"],
+                    ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare", "times"],
                 )
+                uid += len(n)
 
-    return docs.mapInArrow(run, "doc_id long, rid long, held_out boolean, n_tokens long, known long, base double, model double")
-
+    kind = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>, times array<int>"
+    return docs.mapInArrow(run, kind)
 
-def _rare(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, rid, word, n): the words of each text that are not listed."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                prints, cls, bounds = word_classes(batch.column("text"))
-                _, _, hit = vocabulary.find(prints, cls)
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[~hit]
-                word = prints[~hit]
-                order = np.lexsort((word, row))
-                row, word = row[order], word[order]
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])[: len(row)])
-                at = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("rid").take(at), pa.array(signed(word[first])), pa.array(np.diff(np.append(first, len(row))).astype(np.int64))],
-                    ["doc_id", "rid", "word", "n"],
-                )
 
-    return docs.mapInArrow(run, "doc_id long, rid long, word long, n long")
+def _rare(prints: np.ndarray, hit: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The words of each text that are not listed, and how often each occurs."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[~hit]
+    word = prints[~hit]
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])[: len(row)])
+    ends = pa.array(np.searchsorted(row[first], np.arange(len(bounds))).astype(np.int32))
+    times = np.diff(np.append(first, len(row))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(signed(word[first]))), pa.ListArray.from_arrays(ends, pa.array(times))
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -316,16 +316,16 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = materialise(word_counts(training))
     vocabulary = Vocabulary.of(counts, texts)
     parameters = trained(training, vocabulary, rounds)
-    seen = _rare(keyed, vocabulary).join(counts.select("word", "c"), "word")
-    rare = seen.groupBy("doc_id", "rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
-    # Rows that are equal were counted together.
-    alike = F.count("*").over(W.partitionBy("doc_id", "rid"))
-    out = _scored(keyed, vocabulary, parameters).withColumn("alike", alike).join(rare, ["doc_id", "rid"], "left")
-    logs = F.coalesce(F.col("logs") / F.col("alike"), F.lit(0.0))
+    scored = materialise(_scored(keyed, vocabulary, parameters))
+    rare = scored.select("uid", F.explode_outer(F.arrays_zip("rare", "times")).alias("r")).where("r is not null")
+    rare = rare.select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("n")).join(counts.select("word", "c"), "word")
+    rare = rare.groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
+    out = scored.drop("rare", "times").join(rare, "uid", "left")
+    logs = F.coalesce("logs", F.lit(0.0))
     floor = float(np.log10(vocabulary.tokens + vocabulary.types + 1))
     return out.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce((F.col("more") / F.col("alike")).cast("long"), F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * floor).alias("base_score"),
         (F.col("model") + logs).alias("score"),
     )
