@@ -155,16 +155,16 @@ def first_parameters(noise: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def predicted(p: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
-    return sum(p["inner"][contexts[i]] * p["place"][i] for i in range(ORDER))
+    return sum(p["inner"].take(contexts[i], axis=0) * p["place"][i] for i in range(ORDER))
 
 
 def _summed(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows added up by unit."""
     order = np.argsort(at, kind="stable")
-    place = at[order]
+    place = at.take(order)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     out = np.zeros((UNITS, rows.shape[1]), np.float32)
-    out[place[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[place[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -180,16 +180,24 @@ class Trainer:
 
     def step(self, target: np.ndarray, contexts: np.ndarray) -> None:
         p, n = self.p, len(target)
-        q = predicted(p, contexts)
+        vectors = [p["inner"].take(contexts[i], axis=0) for i in range(ORDER)]
+        q = sum(v * w for v, w in zip(vectors, p["place"]))
         noise = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE)), UNITS - 1)
-        own = p["outer"][target]
-        up = 1 / (1 + np.exp((q * own).sum(axis=1) + p["bias"][target] - self.offset[target]))
-        down = -1 / (1 + np.exp(-(q @ p["outer"][noise].T + p["bias"][noise] - self.offset[noise])))
-        dq = up[:, None] * own + down @ p["outer"][noise]
+        own, other = p["outer"].take(target, axis=0), p["outer"][noise]
+        shift = p["bias"] - self.offset
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + shift.take(target)))
+        down = q @ other.T
+        down += shift[noise]
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        dq = up[:, None] * own
+        dq += down @ other
         outer = _summed(np.column_stack([up[:, None] * q, up]), target)
         np.add.at(outer, noise, np.column_stack([down.T @ q, down.sum(axis=0)]))
-        inner = sum(_summed(dq * p["place"][i], contexts[i]) for i in range(ORDER))
-        place = np.stack([(dq * p["inner"][contexts[i]]).sum(axis=0) for i in range(ORDER)])
+        inner = sum(_summed(dq, contexts[i]) * p["place"][i] for i in range(ORDER))
+        place = np.stack([np.einsum("ij,ij->j", dq, v) for v in vectors])
         for k, g in {"outer": outer[:, :-1], "bias": outer[:, -1], "inner": inner, "place": place}.items():
             g = g / n
             self.squares[k] += g * g
@@ -200,7 +208,7 @@ class Trainer:
         order = self.rng.permutation(len(target))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            self.step(target[part], contexts[:, part])
+            self.step(target.take(part), contexts.take(part, axis=1))
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -235,7 +243,7 @@ def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, contexts: np
     """Normalised natural log-probabilities of targets, by one matrix product a batch."""
     out = np.empty(len(target))
     outer = np.vstack([p["outer"].T, p["bias"][None, :]])
-    largest = float(np.sqrt((outer**2).sum(axis=0)).max())
+    largest, ones = float(np.sqrt((outer**2).sum(axis=0)).max()), np.ones(UNITS, np.float32)
     for i in range(0, len(target), SCORED_AT_ONCE):
         own = target[i : i + SCORED_AT_ONCE]
         q = np.column_stack([predicted(p, contexts[:, i : i + SCORED_AT_ONCE]), np.ones(len(own), np.float32)])
@@ -245,7 +253,7 @@ def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, contexts: np
             logits -= logits.max(axis=1)[:, None]
         chosen = logits[np.arange(len(own)), own]
         np.exp(logits, out=logits)
-        out[i : i + SCORED_AT_ONCE] = chosen - np.log(logits.sum(axis=1))
+        out[i : i + SCORED_AT_ONCE] = chosen - np.log(logits @ ones)
     return out
 
 
