@@ -127,7 +127,7 @@ def test_snapshot_is_reused_and_renewed(spark, tmp_path):
     assert len(list((tmp_path / "cache").iterdir())) == 2
     again = Engine(spark, cache_folder=str(tmp_path / "cache")).snapshot(str(root))
     assert {r.target for r in again.edges.collect()} == {"target:second"}
-    assert store.clear_store(str(tmp_path / "cache")) == 2
+    assert store.clear_store(spark, str(tmp_path / "cache")) == 2
 
 
 def test_export(snapshot):

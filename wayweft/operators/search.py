@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayweft.functions.porter import stem as stem_of
 from wayweft.functions.porter import stem_column
 from wayweft.functions.tokens import query_words, words
-from wayweft.session import materialise, shuffle_width
+from wayweft.session import broadcast_if_small, materialise, shuffle_width
 
 # BM25 parameters, and the floor for the idf of a term most rows contain.
 K1 = 1.2
@@ -57,7 +57,7 @@ def stem_words(spark, tokens: list[str]) -> list[str]:
     return [r.w0 for r in sorted(stem_column(frame, "w0").collect(), key=lambda r: r.i)]
 
 
-def _any_prefix(term: Column, prefixes: list[str]) -> Column:
+def any_prefix(term: Column, prefixes: list[str]) -> Column:
     keep = term.startswith(prefixes[0])
     for p in prefixes[1:]:
         keep = keep | term.startswith(p)
@@ -75,7 +75,7 @@ def index_hits(post: DataFrame, key: str, queries: list[list[str]]) -> DataFrame
         for q, prefixes in enumerate(queries)
         for i, p in enumerate(prefixes)
     ]
-    near = post.filter(_any_prefix(F.col("term"), sorted({p for ps in queries for p in ps})))
+    near = post.filter(any_prefix(F.col("term"), sorted({p for ps in queries for p in ps})))
     spread = near.select(key, "tf", "dl", F.explode_outer(F.array_compact(F.array(*slots))).alias("_at")).filter("_at IS NOT NULL")
     return spread.groupBy("_at.qid", "_at.slot", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
@@ -93,12 +93,12 @@ class CorpusStats:
         return CorpusStats(row.n, row.t or 0)
 
 
-def _idf(rows: Column, matching: Column) -> Column:
+def idf(rows: Column, matching: Column) -> Column:
     raw = F.log((rows - matching + 0.5) / (matching + 0.5))
     return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
 
 
-def _gain(idf: Column, tf: Column, dl: Column, mean: Column) -> Column:
+def gain(idf: Column, tf: Column, dl: Column, mean: Column) -> Column:
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean))
 
 
@@ -109,11 +109,11 @@ def bm25(hits: DataFrame, key: str, stats: CorpusStats, queries: list[list[str]]
     broadcasts a few rows whatever the size of the index.
     """
     spread = hits.groupBy("qid", "slot").agg(F.count("*").alias("_n"))
-    idf = spread.select("qid", "slot", _idf(F.lit(float(stats.rows)), F.col("_n")).alias("_idf"))
+    rarity = spread.select("qid", "slot", idf(F.lit(float(stats.rows)), F.col("_n")).alias("_idf"))
     mean = F.lit(stats.tokens / max(stats.rows, 1))
-    gain = _gain(F.col("_idf"), F.col("tf"), F.col("dl"), mean)
-    scored = hits.join(F.broadcast(idf), ["qid", "slot"]).groupBy("qid", key).agg(
-        (-F.sum(gain)).alias("score"), F.count("*").alias("_slots")
+    value = gain(F.col("_idf"), F.col("tf"), F.col("dl"), mean)
+    scored = hits.join(F.broadcast(rarity), ["qid", "slot"]).groupBy("qid", key).agg(
+        (-F.sum(value)).alias("score"), F.count("*").alias("_slots")
     )
     if require_all:
         sizes = F.create_map(*[F.lit(x) for q, ps in enumerate(queries) for x in (q, len(ps))])
@@ -144,11 +144,29 @@ def scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> Data
     rows, mean = F.lit(float(figures.rows)), F.lit((figures.tokens or 0) / max(figures.rows, 1))
     score, keep = F.lit(0.0), None
     for i, h in enumerate(hit):
-        score = score - _gain(_idf(rows, F.lit(float(figures[f"n{i}"]))), F.col("tf")[i], F.col("dl"), mean)
+        score = score - gain(idf(rows, F.lit(float(figures[f"n{i}"]))), F.col("tf")[i], F.col("dl"), mean)
         keep = h if keep is None else (keep & h if require_all else keep | h)
     return small.filter(keep).select(key, score.alias("score"))
 
 
+def stem_scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> DataFrame:
+    """Scores of an ad-hoc stemmed search over a tokenised table, without an index.
+
+    The distinct words are stemmed once and cut down to those whose stem starts with a query word;
+    only these meet the rows' words, before anything is shuffled by row. The rows' number and length
+    come from the scan that finds the words.
+    """
+    prefixes = stem_words(tok.sparkSession, query_words(query))
+    if not prefixes:
+        return tok.select(key, F.lit(0.0).alias("score")).limit(0)
+    terms = tok.select(F.explode_outer("tokens").alias("word")).filter("word IS NOT NULL").distinct()
+    terms = terms.repartition(shuffle_width(tok.sparkSession)).withColumn("term", stem_of("word"))
+    wanted = broadcast_if_small(materialise(terms.filter(any_prefix(F.col("term"), sorted(set(prefixes))))))
+    words = tok.select(key, "dl", F.explode_outer("tokens").alias("word"))
+    near = words.join(wanted, "word").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return bm25(index_hits(near, key, [prefixes]), key, CorpusStats.of(tok), [prefixes], require_all).drop("qid")
+
+
 def search_index(
     post: DataFrame, key: str, queries: list[str], stats: CorpusStats, require_all: bool, stem: bool = False
 ) -> DataFrame:

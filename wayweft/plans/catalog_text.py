@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayweft.functions.porter import Dialect, stem_steps
@@ -9,7 +11,8 @@ from wayweft.functions.strings import glob_match
 from wayweft.operators import links, search, sections
 from wayweft.sources import scan
 from wayweft.sources import tables as t
-from wayweft.session import materialise, shuffle_width
+from wayweft.session import ensure_checkpoint_dir, shuffle_width
+from wayweft.sinks import text_index
 
 SPACES = r"[\t\x0b\x0c \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 TRIM_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8239) || chr(12288)"
@@ -113,14 +116,49 @@ def doc_bm25_topk(spark, folder):
 
 
 def doc_bm25_porter(spark, folder):
-    """Stemmed search over a postings index built from all documents."""
-    tok = _docs(spark, folder)
-    post = materialise(search.postings(tok, "doc_id", stem=True))
-    stats = search.CorpusStats.of(tok)
-    scored = search.search_index(post, "doc_id", ["thes tioned eauxes"], stats, require_all=False, stem=True)
+    """Stemmed search straight over all documents."""
+    scored = search.stem_scan_scores(_docs(spark, folder), "doc_id", PORTER_QUERY, require_all=False)
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+PORTER_QUERY = "thes tioned eauxes"
+
+
+def _index_place(spark):
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+
+
+def index_roundtrip(spark, folder):
+    """A stemmed index of all documents, stored, opened again and searched."""
+    place = _index_place(spark)
+    text_index.append(spark, place, _docs(spark, folder), "doc_id", stem=True)
+    scored = text_index.TextIndex.open(spark, place).search([PORTER_QUERY], require_all=False)
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _appended(spark, folder):
+    """All documents in five parts, one after the other; the fourth merges the first four segments."""
+    place, docs = _index_place(spark), _docs(spark, folder)
+    for part in range(5):
+        index = text_index.append(spark, place, docs.where(F.pmod("doc_id", F.lit(5)) == part), "doc_id")
+    return index
+
+
+def index_append(spark, folder):
+    """Every word of the query, over an index that grew part by part."""
+    scored = _appended(spark, folder).search([APPEND_QUERY], require_all=True)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
+APPEND_QUERY = "the on an"
+
+
+def index_top(spark, folder):
+    """The ten best documents by the bounds of the blocks."""
+    return _appended(spark, folder).top("schen lich thea eaux", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def doc_stems(spark, folder):
     """Every distinct word of the documents with its stem."""
     from wayweft.functions.porter import stem_column
@@ -333,6 +371,16 @@ QUERIES = {
         doc_bm25_porter,
         SCORES_SQL.format(bm25_sql("documents", "doc_id", "text", ["the", "tion", "eaux"], False, stem=True)),
     ),
+    "index_roundtrip": (
+        index_roundtrip,
+        SCORES_SQL.format(bm25_sql("documents", "doc_id", "text", ["the", "tion", "eaux"], False, stem=True)),
+    ),
+    "index_append": (index_append, SCORES_SQL.format(bm25_sql("documents", "doc_id", "text", APPEND_QUERY.split(), True))),
+    "index_top": (
+        index_top,
+        SCORES_SQL.format(bm25_sql("documents", "doc_id", "text", ["schen", "lich", "thea", "eaux"], False))
+        + " ORDER BY round(score, 6), doc_id LIMIT 10",
+    ),
     "doc_stems": (
         doc_stems,
         f"WITH toks AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS w FROM documents), {stem_sql('toks', 's.w AS word')} SELECT word, w AS stem FROM stems",

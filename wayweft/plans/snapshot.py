@@ -6,7 +6,7 @@ and warnings are three views of it. Files reach an extractor only when its rule
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -79,6 +79,8 @@ class Snapshot:
     nodes: DataFrame
     edges: DataFrame
     warnings: DataFrame
+    #: Stored indexes by name (symbols, docs); without them postings are made when first asked for.
+    indexes: dict = field(default_factory=dict)
 
     @staticmethod
     def of_files(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> "Snapshot":
@@ -100,10 +102,14 @@ class Snapshot:
 
     @cached_property
     def symbol_postings(self) -> DataFrame:
+        if "symbols" in self.indexes:
+            return self.indexes["symbols"].postings
         return materialise(search.postings(self.symbol_tokens, "id"))
 
     @cached_property
     def symbol_stats(self) -> search.CorpusStats:
+        if "symbols" in self.indexes:
+            return self.indexes["symbols"].stats
         return search.CorpusStats.of(self.symbol_tokens)
 
     # -- document index
@@ -120,10 +126,14 @@ class Snapshot:
 
     @cached_property
     def doc_postings(self) -> DataFrame:
+        if "docs" in self.indexes:
+            return self.indexes["docs"].postings
         return materialise(search.postings(self.doc_tokens, "doc", stem=True))
 
     @cached_property
     def doc_stats(self) -> search.CorpusStats:
+        if "docs" in self.indexes:
+            return self.indexes["docs"].stats
         return search.CorpusStats.of(self.doc_tokens)
 
     @cached_property

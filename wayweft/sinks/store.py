@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
-from pathlib import Path
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,50 +10,50 @@ from pyspark.sql import functions as F
 
 from wayweft.operators import reports
 from wayweft.plans.snapshot import Snapshot
+from wayweft.sinks import text_index
+from wayweft.sinks.versions import Versions, versioned_folders
 
-VERSION = 1
+#: Raised when the tables change, so that older folders are built anew.
+FORMAT = 2
 TABLES = ("files", "nodes", "edges", "warnings")
-MANIFEST = "_manifest.json"
+INDEXES = {"symbols": ("symbol_tokens", "id", False), "docs": ("doc_tokens", "doc", True)}
 
 
 def write_snapshot(snapshot: Snapshot, folder: str) -> None:
-    """Store the tables of a snapshot; the manifest comes last and makes it valid.
+    """Store the tables and indexes of a snapshot as the folder's next version; a reader of an older one is not disturbed.
 
     Nodes and edges are partitioned by kind, so kind filters read only their folders.
     """
+    spark = snapshot.files.sparkSession
+    versions = Versions(spark, folder)
+    before = versions.current().number
+    place = versions.new_place("tables")
     for name in TABLES:
-        writer = getattr(snapshot, name).write.mode("overwrite")
+        writer = getattr(snapshot, name).write
         if name in ("nodes", "edges"):
             writer = writer.partitionBy("kind")
-        writer.parquet(f"{folder}/{name}")
-    Path(folder, MANIFEST).write_text(json.dumps({"version": VERSION}), encoding="utf-8")
+        writer.parquet(f"{place}/{name}")
+    for name, (tokens, key, stem) in INDEXES.items():
+        text_index.append(spark, f"{place}/{name}", getattr(snapshot, tokens), key, stem)
+    versions.commit({"format": FORMAT, "tables": place.rpartition("/")[2]}, before)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> Snapshot | None:
-    """The stored snapshot, or None when it is missing, incomplete or of another version."""
-    try:
-        if json.loads(Path(folder, MANIFEST).read_text(encoding="utf-8")).get("version") != VERSION:
-            return None
-        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
-    except Exception:
+    """The newest stored snapshot, or None when there is none of this format."""
+    state = Versions(spark, folder).current().state
+    if state.get("format") != FORMAT:
         return None
+    place = f"{folder.rstrip('/')}/{state['tables']}"
+    tables = {name: spark.read.parquet(f"{place}/{name}") for name in TABLES}
     nodes = tables["nodes"].select("id", "kind", "label", "path", "metadata", "ord")
     edges = tables["edges"].select("source", "target", "kind", "metadata", "ord")
-    return Snapshot(tables["files"], nodes, edges, tables["warnings"])
+    indexes = {name: text_index.TextIndex.open(spark, f"{place}/{name}") for name in INDEXES}
+    return Snapshot(tables["files"], nodes, edges, tables["warnings"], indexes)
 
 
-def clear_store(folder: str) -> int:
+def clear_store(spark: SparkSession, folder: str) -> int:
     """Delete all stored snapshots under a cache folder; returns how many there were."""
-    entries = [p for p in Path(folder).iterdir() if (p / MANIFEST).exists()] if Path(folder).is_dir() else []
-    for entry in entries:
-        shutil.rmtree(entry)
-    return len(entries)
-
-
-def write_symbol_index(snapshot: Snapshot, folder: str) -> None:
-    """Postings sorted by term, so that a prefix search skips all other row groups."""
-    post = snapshot.symbol_postings
-    post.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(folder)
+    return sum(Versions(spark, place).delete() for place in versioned_folders(spark, folder))
 
 
 def sorted_nodes(snapshot: Snapshot) -> DataFrame:
