@@ -10,6 +10,8 @@ from wayweft.operators import dedup, reports, trace, traverse
 from wayweft.session import materialise
 from wayweft.sources import tables as t
 
+MADE_SQL = "CASE l_partkey % 10 WHEN 0 THEN false WHEN 1 THEN true ELSE coalesce(l_returnflag = 'N', false) END"
+
 NODES_SQL = """
 nodes AS (
   SELECT concat('workflow:', r_regionkey) AS id, 'workflow' AS kind, r_name AS label, CAST(NULL AS VARCHAR) AS path, 1 AS rank, CAST(r_regionkey AS BIGINT) AS key FROM region
@@ -20,7 +22,7 @@ nodes AS (
   UNION ALL SELECT concat('artifact:', p_partkey), 'artifact', p_name, NULL, 6, p_partkey FROM part
 )"""
 
-EDGES_SQL = """
+EDGES_SQL = f"""
 edges AS (
   SELECT concat('workflow:', n_regionkey) AS source, concat('workflow_job:', n_nationkey) AS target, 'defines' AS kind, '' AS command, 1 AS phase, CAST(n_regionkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b FROM nation
   UNION ALL SELECT concat('script:', c_custkey), concat('workflow_job:', c_nationkey), 'depends_on', '', 2, c_custkey, c_nationkey FROM customer
@@ -28,8 +30,8 @@ edges AS (
   UNION ALL SELECT concat('file:', o_orderkey), concat('script:', o_custkey), 'invokes', concat('run ', o_orderpriority), 4, o_orderkey, o_custkey FROM orders
   UNION ALL SELECT concat('file:', o_orderkey), concat('file:', o_orderkey + 7), 'depends_on', '', 5, o_orderkey, o_orderkey + 7 FROM orders
   UNION ALL SELECT concat('file:', o_orderkey), concat('file:', o_orderkey + 11), 'imports', '', 8, o_orderkey, o_orderkey + 11 FROM orders
-  UNION ALL SELECT DISTINCT concat('target:', l_suppkey), concat('artifact:', l_partkey), 'produces', '', 6, l_suppkey, l_partkey FROM lineitem WHERE l_discount = 0.0
-  UNION ALL SELECT DISTINCT concat('file:', l_orderkey), concat('artifact:', l_partkey), 'consumes', '', 7, l_orderkey, l_partkey FROM lineitem WHERE l_discount = 0.1
+  UNION ALL SELECT DISTINCT concat('target:', l_suppkey), concat('artifact:', l_partkey), 'produces', '', 6, l_suppkey, l_partkey FROM lineitem WHERE {MADE_SQL}
+  UNION ALL SELECT DISTINCT concat('file:', l_orderkey), concat('artifact:', l_partkey), 'consumes', '', 7, l_orderkey, l_partkey FROM lineitem WHERE NOT {MADE_SQL}
 )"""
 
 
@@ -269,8 +271,8 @@ def trace_batch_capped(spark, folder):
     return top
 
 
-TRACE_BATCH_SQL = """
-WITH used AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount = 0.1), ranked AS (
+TRACE_BATCH_SQL = f"""
+WITH used AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE NOT {MADE_SQL}), ranked AS (
   SELECT l_partkey AS query, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS INTEGER) AS pos,
     concat('file:', l_orderkey) AS match FROM used QUALIFY pos <= 5)
 SELECT * FROM ranked ORDER BY query, pos LIMIT 60"""

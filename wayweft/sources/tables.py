@@ -70,10 +70,14 @@ def _edge(df: DataFrame, phase: int, source: tuple, target: tuple, kind: str, me
 
 
 def artifact_edges_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Part use by orders and supply by suppliers, with the repeats the line items hold."""
-    lines = table(spark, folder, "lineitem")
-    made = _edge(lines.filter("l_discount = 0.0"), 6, ("target", "l_suppkey"), ("artifact", "l_partkey"), "produces")
-    used = _edge(lines.filter("l_discount = 0.1"), 7, ("file", "l_orderkey"), ("artifact", "l_partkey"), "consumes")
+    """Part use by orders and supply by suppliers, with the repeats the line items hold.
+
+    Every line item makes or uses its part. Some parts are only used and some only made, so gaps occur.
+    """
+    supplied = "CASE l_partkey % 10 WHEN 0 THEN false WHEN 1 THEN true ELSE coalesce(l_returnflag = 'N', false) END"
+    lines = table(spark, folder, "lineitem").withColumn("made", F.expr(supplied))
+    made = _edge(lines.filter("made"), 6, ("target", "l_suppkey"), ("artifact", "l_partkey"), "produces")
+    used = _edge(lines.filter("NOT made"), 7, ("file", "l_orderkey"), ("artifact", "l_partkey"), "consumes")
     return made.unionByName(used)
 
 
