@@ -130,13 +130,6 @@ def test_archives(spark, tmp_path):
     assert sorted((r.path, r.text) for r in rows) == [("a/b.py", "x = 1\n"), ("d.md", "# t")]
 
 
-def test_binary_source(spark, tree):
-    from wayweft.sources.tree import files_from_binary, files_from_tree
-
-    there = {r.path: r.sha256 for r in files_from_binary(spark, str(tree)).collect()}
-    assert there == {r.path: r.sha256 for r in files_from_tree(spark, str(tree)).collect()}
-
-
 def test_hosted_slug(spark):
     rows = spark.createDataFrame([("git@github.com:o/r.git",), ("https://github.com/o/r",), ("http://x/y.git",)], "u string")
     assert [r.s for r in rows.select(pulls.hosted_slug(F.col("u")).alias("s")).collect()] == ["o/r", "o/r", "http://x/y"]
