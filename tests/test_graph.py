@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayweft.operators import dedup, packing, prefix, trace, traverse
-from wayweft.streaming import changes
 
 
 def random_edges(seed, nodes=12, count=30):
@@ -120,25 +119,3 @@ def test_packing(spark):
                 batch, used = batch + 1, 0
             used += s
             assert got[(g, i)] == batch
-
-
-def test_change_stream(spark, tmp_path):
-    feed, seen = tmp_path / "feed", changes.DirtyFlags()
-    schema = "root string, path string, ts timestamp"
-
-    def write(rows):
-        spark.createDataFrame(rows, "root string, path string, at string").select(
-            "root", "path", F.to_timestamp("at").alias("ts")
-        ).write.mode("append").json(str(feed))
-
-    def run():
-        stream = spark.readStream.schema(schema).json(str(feed))
-        query = changes.watch(stream, seen.on_dirty, str(tmp_path / "ckpt"), once=True)
-        query.awaitTermination(120)
-
-    write([("a", "src/x.py", "2026-01-01 00:00:00"), ("b", "node_modules/x.js", "2026-01-01 00:00:00")])
-    run()
-    assert seen.consume("a") and not seen.consume("a") and not seen.consume("b")
-    write([("b", ".github/w.yml", "2026-01-01 00:01:00"), ("a", "../out.py", "2026-01-01 00:01:00")])
-    run()
-    assert seen.consume("b") and not seen.consume("a")

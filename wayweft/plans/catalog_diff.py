@@ -350,28 +350,51 @@ def dirty_roots(spark, folder):
     return changes.dirty_roots(feed, built)
 
 
-def dirty_roots_stream(spark, folder):
-    """The same answer from the streaming change feed: events stream in, the newest change per root is kept."""
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
-    events = t.table(spark, folder, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    feed = stream.select(
+def _event_feed(rows):
+    """Events as a feed: an error touches an ignored file, a purchase is a build, all others change a file."""
+    kind = F.col("event_type")
+    return rows.select(
         F.col("user_id").cast("string").alias("root"), F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.when(F.col("event_type") == "error", F.lit("node_modules/")).otherwise(F.lit("src/")), "event_type").alias("path"),
+        F.when(kind == "purchase", changes.BUILT).otherwise(changes.CHANGED).alias("event"),
+        F.concat(F.when(kind == "error", F.lit("node_modules/")).otherwise(F.lit("src/")), kind).alias("path"),
     )
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{place}/changed/batch={batch_id}")
 
-    changes.watch(feed, keep, f"{place}/state", once=True).awaitTermination()
-    changed = spark.read.schema("root string, changed_at timestamp").parquet(f"{place}/changed")
-    newest = changed.groupBy("root").agg(F.max("changed_at").alias("changed_at"))
+def _flagged(spark, folder, feed_of):
+    """The flag table after all events came in, in several batches."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
+    events = t.table(spark, folder, "events").select("user_id", "ts", "event_type")
+    events.repartition(max(4, events.rdd.getNumPartitions())).write.parquet(f"{place}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/events")
+    # Files come in any order, so no root may be given up before the end.
+    query = changes.watch(feed_of(stream), f"{place}/flags", f"{place}/state", idle_ms=10**13, once=True)
+    query.awaitTermination()
+    return changes.FlagTable(spark, f"{place}/flags").read()
+
+
+def dirty_consume_stream(spark, folder):
+    """Roots with a change after their last build, from a stream of changes and builds; a build takes the flag back."""
+    flags = _flagged(spark, folder, _event_feed)
+    return flags.select("root", "changed_at", "built_at", changes.is_dirty().alias("dirty"))
+
+
+CONSUME_SQL = """
+SELECT CAST(user_id AS VARCHAR) AS root, max(ts) FILTER (WHERE event_type NOT IN ('purchase', 'error')) AS changed_at,
+  max(ts) FILTER (WHERE event_type = 'purchase') AS built_at,
+  coalesce(max(ts) FILTER (WHERE event_type NOT IN ('purchase', 'error')) > coalesce(max(ts) FILTER (WHERE event_type = 'purchase'), TIMESTAMP '1970-01-01'), false) AS dirty
+FROM events WHERE event_type <> 'error' GROUP BY 1"""
+
+
+def dirty_roots_stream(spark, folder):
+    """The same answer as of the batch reading from the streaming change feed, every event but errors being a change."""
+    newest = _flagged(spark, folder, lambda rows: _event_feed(rows).withColumn("event", F.lit(changes.CHANGED)))
+    events = t.table(spark, folder, "events")
     built = events.groupBy(F.col("user_id").cast("string").alias("root")).agg(
-        F.min_by(F.col("ts").cast("timestamp"), F.struct("event_type", "ts", "event_id")).alias("built_at")
+        F.min_by(F.col("ts").cast("timestamp"), F.struct("event_type", "ts", "event_id")).alias("first_built")
     )
     late = built.join(newest, "root", "left")
-    return late.select("root", F.coalesce(F.col("changed_at") > F.col("built_at"), F.lit(False)).alias("dirty"))
+    return late.select("root", F.coalesce(F.col("changed_at") > F.col("first_built"), F.lit(False)).alias("dirty"))
 
 
 DIRTY_SQL = """
@@ -443,6 +466,7 @@ QUERIES = {
     ),
     "dirty_roots": (dirty_roots, DIRTY_SQL),
     "dirty_roots_stream": (dirty_roots_stream, DIRTY_SQL),
+    "dirty_consume_stream": (dirty_consume_stream, CONSUME_SQL),
     "evidence_out_of_scope": (evidence_out_of_scope, SCOPE_SQL),
     "json_props_lenient": (json_props_lenient, JSON_SQL),
 }

@@ -1,19 +1,29 @@
 """Change feed of watched roots: which snapshots are out of date.
 
-A batch reading answers from a table of change events. The streaming twin keeps the latest change
-per root in a table that each micro-batch rewrites, and a reader compares it with the build times.
+A feed has rows ``root, ts, event, path``: a file that changed, a snapshot that was built, a watcher
+that failed or works again. A batch reading answers from a table of them. The streaming reading keeps
+one state a root, the last change, the last build and whether watching failed, and puts every touched
+root into a flag table, which any session reads. Nothing of it is held by a driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayweft.sinks.versions import Versions
 from wayweft.sources.scan import is_pruned
 
+CHANGED, BUILT, FAILED, RECOVERED = "changed", "built", "failed", "recovered"
+FLAGS = "root string, changed_at timestamp, built_at timestamp, failed boolean"
+#: Parts of a flag table that are put together into one.
+FAN = 8
+
 
 def relevant(feed: DataFrame, include_hidden: bool = False) -> DataFrame:
     """Changes of files a scan would see; a path outside the root counts as ignored."""
@@ -31,43 +41,105 @@ def dirty_roots(feed: DataFrame, built: DataFrame, include_hidden: bool = False)
     return late.select("root", F.coalesce(F.col("changed_at") > F.col("built_at"), F.lit(False)).alias("dirty"))
 
 
-def watch(
-    feed: DataFrame, on_dirty: Callable[[DataFrame, int], None], checkpoint: str, include_hidden: bool = False,
-    late: str = "10 minutes", once: bool = False,
-) -> StreamingQuery:
-    """Stream a change feed and hand every batch of newly changed roots to ``on_dirty``.
+def is_dirty() -> "F.Column":
+    """Whether a root of a flag table needs a build: it changed after the last one, or its watcher failed."""
+    after = F.col("changed_at") > F.coalesce("built_at", F.lit("1970-01-01").cast("timestamp"))
+    return F.col("failed") | F.coalesce(after, F.lit(False))
 
-    State holds one row per root (update mode), whatever the number of changes. Delivery is at least
-    once per batch id; ``on_dirty`` gets the id so that it can skip a repeat.
-    """
-    newest = (
-        relevant(feed, include_hidden).withWatermark("ts", late).groupBy("root").agg(F.max("ts").alias("changed_at"))
-    )
-    writer = newest.writeStream.outputMode("update").foreachBatch(on_dirty).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
 
+def _latest(old: pd.Timestamp | None, rows: pd.DataFrame, event: str) -> pd.Timestamp | None:
+    found = rows.loc[rows["event"] == event, "ts"].max()
+    return old if pd.isna(found) else found if old is None else max(old, found)
+
+
+def _fold(idle_ms: int):
+    """One root's new events into its state; the root's flags come out once a batch."""
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        changed, built, failed, since = state.get if state.exists else (None, None, None, None)
+        for rows in parts:
+            changed, built = _latest(changed, rows, CHANGED), _latest(built, rows, BUILT)
+            failed, since = _latest(failed, rows, FAILED), _latest(since, rows, RECOVERED)
+        state.update((changed, built, failed, since))
+        broken = failed is not None and (since is None or since < failed)
+        times = [t for t in (changed, built, failed, since) if t is not None]
+        if not broken and not (changed is not None and (built is None or changed > built)):
+            # A clean root says nothing that a root without state doesn't.
+            state.setTimeoutTimestamp(max(int(max(times).timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"root": [key[0]], "changed_at": [changed], "built_at": [built], "failed": [broken]}).astype(
+            {"changed_at": "datetime64[us]", "built_at": "datetime64[us]"}
+        )
 
-class DirtyFlags:
-    """Which roots changed since they were last asked about; ``consume`` reads and clears in one step.
+    return fold
 
-    Holds a name per changed root that nobody asked about yet, on the driver of the watching session.
+
+def flags(feed: DataFrame, include_hidden: bool = False, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """``root, changed_at, built_at, failed`` of a stream of events, a row for every root that a batch touches.
+
+    The state of a clean root goes after ``idle_ms`` of event time without an event; that of a dirty
+    or failed one stays until it is built or recovers.
     """
+    seen = relevant(feed.filter(F.col("event") == CHANGED), include_hidden).unionByName(feed.filter(F.col("event") != CHANGED))
+    times = "changed timestamp, built timestamp, failed timestamp, since timestamp"
+    keyed = seen.select("root", "ts", "event").withWatermark("ts", late).groupBy("root")
+    return keyed.applyInPandasWithState(_fold(idle_ms), FLAGS, times, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+class FlagTable:
+    """The flags of all roots, as parts that batches add under versions; a batch that comes twice counts once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.versions = spark, Versions(spark, folder)
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        now = self.versions.current()
+        if batch_id <= now.state.get("batch", -1):
+            return
+        parts = now.state.get("parts", [])
+        place = self.versions.new_place("flags")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.parquet(place)
+        parts = [*parts, place.rpartition("/")[2]]
+        if len(parts) > FAN:
+            place = self.versions.new_place("flags")
+            self._newest(parts).write.parquet(place)
+            parts = [place.rpartition("/")[2]]
+        self.versions.commit({"batch": batch_id, "parts": parts}, now.number)
+
+    def _newest(self, parts: list[str]) -> DataFrame:
+        schema = f"{FLAGS}, batch long"
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.versions.folder}/{p}" for p in parts])
+        rest = F.struct("batch", "changed_at", "built_at", "failed")
+        return rows.groupBy("root").agg(F.max(rest).alias("r")).select("root", "r.changed_at", "r.built_at", "r.failed", "r.batch")
+
+    def read(self) -> DataFrame:
+        """``root, changed_at, built_at, failed, batch``: the newest flags of each root."""
+        return self._newest(self.versions.current().state.get("parts", []))
+
+
+def watch(
+    feed: DataFrame, folder: str, checkpoint: str, include_hidden: bool = False, late: str = "10 minutes", idle_ms: int = 3_600_000, once: bool = False
+) -> StreamingQuery:
+    """Keep the flag table in ``folder`` up to date with a stream of events."""
+    table = FlagTable(feed.sparkSession, folder)
+    writer = flags(feed, include_hidden, late, idle_ms).writeStream.outputMode("update").foreachBatch(table.add)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
-    def __init__(self) -> None:
-        from threading import Lock
 
-        self._lock, self._roots, self._seen, self.failed = Lock(), {}, -1, False
+class Watched:
+    """What a reader of a flag table knows of one root; with the running stream, its failure counts as a change."""
 
-    def on_dirty(self, batch: DataFrame, batch_id: int) -> None:
-        with self._lock:
-            if batch_id <= self._seen:
-                return
-        rows = {r.root: r.changed_at for r in batch.toLocalIterator()}
-        with self._lock:
-            self._roots.update(rows)
-            self._seen = batch_id
+    def __init__(self, spark: SparkSession, folder: str, query: StreamingQuery | None = None):
+        self.table, self.query = FlagTable(spark, folder), query
 
-    def consume(self, root: str) -> bool:
-        """True once after a change; always true when watching failed."""
-        with self._lock:
-            return self._roots.pop(root, None) is not None or self.failed
+    def changed_since(self, root: str, at: float) -> bool:
+        """Whether ``root`` changed after ``at`` (seconds since 1970), or nobody can say so."""
+        if self.query is not None and (not self.query.isActive or self.query.exception() is not None):
+            return True
+        row = self.table.read().where(F.col("root") == root).select("failed", F.col("changed_at").cast("double").alias("t")).first()
+        return row is not None and (row.failed or (row.t is not None and row.t >= at))
