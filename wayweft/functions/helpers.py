@@ -89,7 +89,7 @@ def stemmed_snippet(texts: pd.Series, prefixes: pd.Series, stems: pd.Series) ->
 # --- Python sources -------------------------------------------------------------------------------
 
 PY_FACTS = _rows(stage=T.IntegerType(), name=TEXT, line=T.IntegerType(), scope=TEXT)
-DEF, IMPORT, CALL = 0, 1, 2
+DEF, IMPORT, CALL, FAULT = 0, 1, 2, 3
 
 
 class _PyFacts(ast.NodeVisitor):
@@ -136,9 +136,11 @@ def _python(text: str):
     visitor = _PyFacts(text)
     try:
         visitor.visit(ast.parse(text))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         rough = re.finditer(r"(?m)^[ \t]*(?:(?:async[ \t]+)?def|class)[ \t]+(\w+)|^[ \t]*(?:from|import)[ \t]+([\w.]+)", text or "")
-        return [(DEF if m[1] else IMPORT, m[1] or m[2], text.count("\n", 0, m.start()) + 1, None) for m in rough]
+        at = getattr(error, "lineno", None)
+        fault = (FAULT, f"invalid syntax in line {at}" if at else "cannot be parsed", at, None)
+        return [(DEF if m[1] else IMPORT, m[1] or m[2], text.count("\n", 0, m.start()) + 1, None) for m in rough] + [fault]
     return visitor.found
 
 

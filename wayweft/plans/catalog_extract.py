@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayweft.operators.prefix import nearest_before
-from wayweft.plans.extract import build, ci, code, commands, containers, markdown
+from wayweft.plans.extract import budget, build, ci, code, commands, containers, markdown
+from wayweft.plans.extract.facts import WARNING
 from wayweft.sources import tables as t
 
 LF = "chr(10)"
@@ -256,6 +257,40 @@ UNION ALL SELECT p, concat('code_symbol:', p, ':g'), 'calls', 'code_symbol:join'
 UNION ALL SELECT p, concat('file:', p), 'calls', concat('code_symbol:f', k) FROM c"""
 
 
+ENDINGS = (".js", ".go", ".rs", ".java", ".cpp")
+
+
+def parse_warnings(spark, folder):
+    """Documents as source files, more or less of their lines put behind calls as comments: which are refused as no code."""
+    docs = t.doc_rows(spark, folder)
+    number = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (number % 5 + 1).cast("int"))
+
+    def line(text, i):
+        return F.when(i % 4 < F.floor(number / 5) % 5, _text("call", i.cast("string"), "(); // ", text)).otherwise(text)
+
+    files = docs.select(
+        _text("d", number.cast("string"), ending).alias("path"), F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text")
+    )
+    return code.code(files, 0, list(ENDINGS)).filter(F.col("kind") == WARNING).select("path", F.col("label").alias("message"))
+
+
+WARNINGS_SQL = rf"""WITH l AS (
+  SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(text, {LF}) AS x FROM documents)),
+files AS (
+  SELECT concat('d', doc_id, (['.js', '.go', '.rs', '.java', '.cpp'])[doc_id % 5 + 1]) AS path, doc_id % 5 AS kind,
+    string_agg(CASE WHEN i % 4 < doc_id // 5 % 5 THEN concat('call', i, '(); // ', line) ELSE line END, {LF} ORDER BY i) AS text FROM l GROUP BY doc_id),
+code AS (
+  SELECT path, kind, strlen(text) AS total, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', {LF}, 'g'), '\\[^\n]', '__', 'g'),
+    '("[^"\n]*"|''[^''\n]*''|`[^`]*`)|//[^\n]*|/\*(?s:.*?)\*/', '\1', 'g') AS text FROM files WHERE regexp_matches(text, '[^ \t\n\x0b\f\r]')),
+bare AS (
+  SELECT path, total, unnest(x) AS line, unnest(range(len(x))) AS i FROM (
+    SELECT path, total, string_split(CASE kind WHEN 2 THEN regexp_replace(text, '"[^"\n]*"|`[^`]*`|''[^''\n]''', '""', 'g')
+      ELSE regexp_replace(text, '"[^"\n]*"|`[^`]*`|''[^''\n]*''', '""', 'g') END, {LF}) AS x FROM code)),
+{budget.SQL}
+SELECT path, message FROM refused"""
+
+
 def call_asof_definition(spark, folder):
     """Per user, the last click before each other event, as definitions before calls."""
     events = t.table(spark, folder, "events")
@@ -279,6 +314,7 @@ QUERIES = {
     "makefile_facts": (makefile_facts, MAKE_SQL),
     "container_facts": (container_facts, CONTAINER_SQL),
     "workflow_facts": (workflow_facts, WORKFLOW_SQL),
+    "parse_warnings": (parse_warnings, WARNINGS_SQL),
     "code_facts": (code_facts, CODE_SQL),
     "call_asof_definition": (call_asof_definition, ASOF_SQL),
 }

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayweft.functions.helpers import CALL, DEF, IMPORT, nest_scopes, python_facts
+from wayweft.functions.helpers import CALL, DEF, FAULT, IMPORT, nest_scopes, python_facts
 from wayweft.functions.strings import basename, strip, suffix
 from wayweft.model import node_id
-from wayweft.plans.extract.facts import emit, fact, one, union
+from wayweft.plans.extract.budget import message, over_budget
+from wayweft.plans.extract.facts import emit, fact, one, union, warning
 
 # Callees that are no calls.
 NO_CALLS = ("", "if", "for", "while", "switch", "catch", "return", "typeof", "new", "import", "require")
@@ -186,20 +187,25 @@ def _python(files: DataFrame, turn: int) -> DataFrame:
         "path",
         F.filter("_all", lambda f: f["stage"] == DEF).alias("_defs"),
         F.filter("_all", lambda f: f["stage"] == IMPORT).alias("_mods"),
+        F.filter("_all", lambda f: f["stage"] == FAULT).alias("_faults"),
         F.filter("_all", lambda f: (f["stage"] == CALL) & ~f["name"].isin(*NO_CALLS)).alias("_calls"),
     )
     defs, calls = _code_facts(turn)
-    return emit(split, F.concat(defs, _imports(F.transform("_mods", lambda m: m["name"]), turn), calls))
+    # What stands before the fault is kept, and the fault is told.
+    told = F.transform("_faults", lambda f: warning([turn, 1, FAULT, 0], F.concat(F.lit("parse error "), "path", F.lit(": "), f["name"])))
+    return emit(split, F.concat(defs, _imports(F.transform("_mods", lambda m: m["name"]), turn), calls, told))
 
 
 def _braces(files: DataFrame, turn: int, lang: Language) -> DataFrame:
     mine = files.filter(suffix(F.col("path")).isin(*lang.suffixes)).filter(F.col("text").rlike(r"\S"))
-    open_code = mine.select("path", _without_comments(_numbered(F.col("text"))).alias("_code"))
+    open_code = mine.select("path", "text", _without_comments(_numbered(F.col("text"))).alias("_code"))
+    bare = open_code.select("path", "_code", "text", _without_strings(F.col("_code"), lang is RUST).alias("_bare"))
     pattern = "(?m)" + "|".join(p for _, p in lang.marks)
-    tokens = F.regexp_extract_all(_without_strings(F.col("_code"), lang is RUST), F.lit(pattern), F.lit(0))
-    marked = open_code.select("path", "_code", _marks(tokens, lang).alias("_m"))
+    tokens = F.regexp_extract_all("_bare", F.lit(pattern), F.lit(0))
+    lines = F.split(F.regexp_replace("_bare", MARK, ""), "\n", -1)
+    marked = bare.select("path", "_code", _marks(tokens, lang).alias("_m"), over_budget(lines, F.col("text")).alias("_over"))
     nested = marked.select(
-        "path", "_code", nest_scopes(F.transform("_m", lambda m: m["kind"]), F.transform("_m", lambda m: m["name"])).alias("_all")
+        "path", "_code", "_over", nest_scopes(F.transform("_m", lambda m: m["kind"]), F.transform("_m", lambda m: m["name"])).alias("_all")
     )
 
     def last_name(entry):
@@ -207,7 +213,7 @@ def _braces(files: DataFrame, turn: int, lang: Language) -> DataFrame:
         return F.struct(plain.alias("name"), entry["line"].alias("line"), F.regexp_extract(entry["scope"], r"([\w$~#]+)$", 1).alias("scope"))
 
     split = nested.select(
-        "path",
+        "path", "_over",
         F.transform(F.filter("_all", lambda f: f["what"] != "call"), last_name).alias("_defs"),
         F.filter(
             F.transform(F.filter("_all", lambda f: f["what"] == "call"), last_name),
@@ -222,7 +228,9 @@ def _braces(files: DataFrame, turn: int, lang: Language) -> DataFrame:
         ).alias("_mods"),
     )
     defs, calls = _code_facts(turn)
-    return emit(split, F.concat(defs, _imports(F.col("_mods"), turn), calls))
+    # A file beyond the budget keeps its own node and says why.
+    refused = F.array(warning([turn, 1], message(F.col("path"), F.col("_over"))))
+    return emit(split, F.when(F.col("_over").isNotNull(), refused).otherwise(F.concat(defs, _imports(F.col("_mods"), turn), calls)))
 
 
 def _inside(pattern: str):
