@@ -138,8 +138,7 @@ def _python(text: str):
         visitor.visit(ast.parse(text))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         rough = re.finditer(r"(?m)^[ \t]*(?:(?:async[ \t]+)?def|class)[ \t]+(\w+)|^[ \t]*(?:from|import)[ \t]+([\w.]+)", text or "")
-        at = getattr(error, "lineno", None)
-        fault = (FAULT, f"invalid syntax in line {at}" if at else "cannot be parsed", at, None)
+        fault = (FAULT, str(error), getattr(error, "lineno", None), None)
         return [(DEF if m[1] else IMPORT, m[1] or m[2], text.count("\n", 0, m.start()) + 1, None) for m in rough] + [fault]
     return visitor.found
 

@@ -23,18 +23,26 @@ KEYWORDS = (
     "synchronized template throw throws trait transient try type typedef typename typeof union unsafe unsigned use using var "
     "virtual void volatile where while yield"
 ).split()
-_WORDS = rf"\b(?:{'|'.join(KEYWORDS)})\b"
+#: Further ones of Python.
+PYTHON_KEYWORDS = "and assert def del elif except finally global is lambda nonlocal not or pass raise with".split()
+
+
+def _words(keywords: list[str]) -> str:
+    return rf"\b(?:{'|'.join(keywords)})\b"
+
+
+_WORDS = _words(KEYWORDS)
 _PROSE = r"[A-Za-z_]\w*[ \t]+[A-Za-z_]\w*[ \t]+[A-Za-z_]"
 _BINARY = "[\\x00-\\x08\\x0e-\\x1f\\ufffd]"
 
 
-def unexplained(lines: Column) -> Column:
+def unexplained(lines: Column, words: str = _WORDS) -> Column:
     """Bytes of the lines (without comments and texts) that are no code."""
     def measured(line: Column) -> Column:
         opened = F.length(F.regexp_replace(line, r"[^(\[{]+", ""))
         closed = F.length(F.regexp_replace(line, r"[^)\]}]+", ""))
         # Letters beyond ASCII count as letters of names.
-        plain = F.regexp_replace(F.regexp_replace(line, r"[^\x00-\x7f]", "x"), _WORDS, ";")
+        plain = F.regexp_replace(F.regexp_replace(line, r"[^\x00-\x7f]", "x"), words, ";")
         odd = plain.rlike(_PROSE) | line.rlike(_BINARY)
         return F.struct((opened - closed).alias("step"), odd.alias("odd"), F.octet_length(line).alias("bytes"))
 
@@ -46,14 +54,14 @@ def unexplained(lines: Column) -> Column:
     return F.aggregate(F.transform(lines, measured), start, fold, lambda acc: acc["bad"])
 
 
-def over_budget(lines: Column, text: Column) -> Column:
+def over_budget(lines: Column, text: Column, more_words: list[str] | None = None) -> Column:
     """The unexplained share in whole hundredths where it is beyond the budget, else null; folded once, through one array."""
     total = F.octet_length(text)
 
     def judged(bad: Column) -> Column:
         return F.when((total >= LEAST_BYTES) & (bad > total * BUDGET), F.floor(bad * 100 / total).cast("int"))
 
-    return F.transform(F.array(unexplained(lines)), judged)[0]
+    return F.transform(F.array(unexplained(lines, _words([*KEYWORDS, *(more_words or [])]))), judged)[0]
 
 
 def message(path: Column, percent: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wayweft.functions.helpers import CALL, DEF, FAULT, IMPORT, nest_scopes, python_facts
 from wayweft.functions.strings import basename, strip, suffix
 from wayweft.model import node_id
-from wayweft.plans.extract.budget import message, over_budget
+from wayweft.plans.extract.budget import PYTHON_KEYWORDS, message, over_budget
 from wayweft.plans.extract.facts import emit, fact, one, union, warning
 
 # Callees that are no calls.
@@ -182,18 +182,21 @@ def _imports(modules: Column, turn: int) -> Column:
 
 
 def _python(files: DataFrame, turn: int) -> DataFrame:
-    found = files.filter(suffix(F.col("path")) == ".py").select("path", python_facts("text").alias("_all"))
+    plain = F.regexp_replace("text", r"(?s:\"{3}.*?\"{3}|'{3}.*?'{3})|\"[^\"\n]*+\"|'[^'\n]*+'|#[^\n]*+", '""')
+    found = files.filter(suffix(F.col("path")) == ".py").select(
+        "path", over_budget(F.split(plain, "\n", -1), F.col("text"), PYTHON_KEYWORDS).alias("_share"), python_facts("text").alias("_all")
+    )
     split = found.select(
-        "path",
+        "path", F.when(F.exists("_all", lambda f: f["stage"] == FAULT), F.col("_share")).alias("_over"),
         F.filter("_all", lambda f: f["stage"] == DEF).alias("_defs"),
         F.filter("_all", lambda f: f["stage"] == IMPORT).alias("_mods"),
-        F.filter("_all", lambda f: f["stage"] == FAULT).alias("_faults"),
         F.filter("_all", lambda f: (f["stage"] == CALL) & ~f["name"].isin(*NO_CALLS)).alias("_calls"),
     )
     defs, calls = _code_facts(turn)
-    # What stands before the fault is kept, and the fault is told.
-    told = F.transform("_faults", lambda f: warning([turn, 1, FAULT, 0], F.concat(F.lit("parse error "), "path", F.lit(": "), f["name"])))
-    return emit(split, F.concat(defs, _imports(F.transform("_mods", lambda m: m["name"]), turn), calls, told))
+    # A fault within the budget leaves what can be read around it; beyond it the file keeps its own node and says why.
+    refused = F.array(warning([turn, 1], message(F.col("path"), F.col("_over"))))
+    found = F.concat(defs, _imports(F.transform("_mods", lambda m: m["name"]), turn), calls)
+    return emit(split, F.when(F.col("_over").isNotNull(), refused).otherwise(found))
 
 
 def _braces(files: DataFrame, turn: int, lang: Language) -> DataFrame:
