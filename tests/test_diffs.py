@@ -1,5 +1,8 @@
 """Patch analytics on hand-written patches, review inputs and patch application."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,31 @@ def test_hunk_lines(files):
     assert rows == {("RIGHT", n) for n in (3, 4, 5, 6, 21)} | {("LEFT", n) for n in (3, 4, 5, 20, 21)}
 
 
+def test_long_patch_is_numbered_as_a_loop_does(spark):
+    """Headers, signs and other lines in a patch of many blocks, against a plain loop; no text is shuffled."""
+    rng = random.Random(3)
+    lines = [rng.choice(["+a", "-b", " c", "", "+++ d", "\\ e", "é", f"@@ -{rng.randint(0, 99)},2 +{rng.randint(0, 99)} @@ f"]) for _ in range(9000)]
+    want, spans, old, new = [], set(), 0, 0
+    for i, line in enumerate(lines):
+        head = re.match(diffs.HUNK, line)
+        if head:
+            old, new = int(head[1]), int(head[2])
+        want.append((i, line, old, new))
+        if line in ("-b", " c", ""):
+            spans.add(("LEFT", old))
+            old += 1
+        if line in ("+a", " c", ""):
+            spans.add(("RIGHT", new))
+            new += 1
+    row = ("x", "modified", 0, 0, "\n".join(lines), 0)
+    files = spark.createDataFrame([row, ("y", "added", 0, 0, "", 1), ("z", "added", 0, 0, None, 2)], pulls.FILE_SCHEMA)
+    numbered = diffs.numbered_lines(files)
+    assert [(r.pos, r.line, r.old_line, r.new_line) for r in numbered.orderBy("pos").collect()] == want
+    assert {(r.side, r.line) for r in diffs.hunk_lines(files).collect()} == spans
+    for frame in (numbered, diffs.annotate(files), diffs.render_chunks(files)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_changed_symbols_and_names(files):
     top = diffs.changed_symbols(files)
     got = [(r.name, r.score) for r in top.orderBy("pos").collect()]
@@ -57,7 +85,7 @@ def test_validate_inline(spark, files):
         ("7", None, None, None, None, None, None), ("8", "a/b.py", 6, None, "z", 7, None),
     ]
     schema = "comment_id string, path string, line int, side string, body string, start_line int, start_side string"
-    out = {r.comment_id: r for r in diffs.validate_inline(spark.createDataFrame(rows, schema), diffs.hunk_lines(files)).collect()}
+    out = {r.comment_id: r for r in diffs.validate_inline(spark.createDataFrame(rows, schema), diffs.hunk_spans(files)).collect()}
     assert {k for k, r in out.items() if r.kept} == {"1", "2", "6", "8"}
     assert (out["1"].body, out["1"].start_line, out["1"].start_side) == ("ok", 3, "LEFT")
     assert out["2"].start_line is None and (out["6"].start_line, out["6"].start_side) == (5, None) and out["8"].start_line is None
@@ -152,7 +180,7 @@ def test_requests_stay_apart(spark, files):
         [(q, "c", "a/b.py", 50, "RIGHT", "note", None, None) for q in ("r1", "r2")],
         "request string, comment_id string, path string, line int, side string, body string, start_line int, start_side string",
     )
-    assert {r.request: r.kept for r in diffs.validate_inline(comment, diffs.hunk_lines(both)).collect()} == {"r1": False, "r2": True}
+    assert {r.request: r.kept for r in diffs.validate_inline(comment, diffs.hunk_spans(both)).collect()} == {"r1": False, "r2": True}
 
 
 def test_lone_object_is_no_comment(spark):

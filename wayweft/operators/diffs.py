@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayweft.functions.strings import SPACE_CHARS, basename, strip
 
+# Fixed value: how a hunk's header gives the first line on both sides.
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 # Per file extension, the patterns whose first group is a changed symbol.
@@ -69,14 +70,8 @@ def _first_of_request(rows: DataFrame, at: str, most: int) -> DataFrame:
     return rows.withColumn("pos", place).filter(F.col("pos") <= most)
 
 
-def patch_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``filename, <keep>, pos, line, role``; files are spread by name first, so later windows need no shuffle."""
-    own = _file(files)
-    keep = tuple(c for c in keep if c not in own)
-    rows = files.filter(F.col("patch") != "").select(*own, *keep, "patch").repartition(*own)
-    lines = rows.select(*own, *keep, F.posexplode_outer(F.split("patch", "\n", -1)).alias("pos", "line")).filter("pos IS NOT NULL")
-    line = F.col("line")
-    role = (
+def _role(line: Column) -> Column:
+    return (
         F.when(line.rlike(HUNK), "hunk")
         .when(line.startswith("+++") | line.startswith("---"), "other")
         .when(line.startswith("+"), "add")
@@ -84,68 +79,131 @@ def patch_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         .when(line.startswith(" ") | (line == ""), "ctx")
         .otherwise("other")
     )
-    return lines.withColumn("role", role)
+
+
+def _hunk_start(line: Column, side: int) -> Column:
+    """The first line number that a hunk's header names, 1: old side, 2: new side."""
+    return F.coalesce(F.regexp_extract(line, HUNK, side).try_cast("int"), F.lit(0))
+
+
+#: For each side (old, new): the group of the header and the first letters of the roles that don't count there.
+_SIDES = ((1, "ao"), (2, "do"))
+
+
+def _numbers(lines: Column, marks: Column, base: list[Column]) -> list[Column]:
+    """What the next line has as number on both sides after ``lines``, whose roles' first letters are ``marks``.
+
+    The last header says where to count from; without one it is ``base``.
+    """
+    tail = F.substring_index(marks, "h", -1)
+    head = F.length(marks) - F.length(tail)
+    out = []
+    for (side, other), start in zip(_SIDES, base):
+        passed = F.length(F.translate(tail, other, ""))
+        out.append(F.when(head > 0, _hunk_start(F.get(lines, head - 1), side)).otherwise(start) + passed)
+    return out
+
+
+def _numbered(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``filename, <keep>, numbered``: the lines of each patch as structs pos, line, role, old_line, new_line.
+
+    Nothing leaves its row. Lines are counted in blocks of about the square root of their number, so
+    the work stays far below the square of a long patch.
+    """
+    own = _file(files)
+    rows = files.select(*own, *[c for c in keep if c not in own], F.split("patch", "\n", -1).alias("_lines"), "patch")
+    marked = rows.withColumn("_marks", F.array_join(F.transform("_lines", lambda line: F.left(_role(line), F.lit(1))), ""))
+    step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length("_marks"))).cast("int"))
+    marked = marked.withColumn("_step", step)
+    lines, marks = F.col("_lines"), F.col("_marks")
+
+    def block(at: Column) -> Column:
+        old, new = _numbers(lines, F.left(marks, at), [F.lit(0), F.lit(0)])
+        return F.struct(
+            at.alias("at"), F.slice(lines, at + 1, F.col("_step")).alias("lines"), F.substring(marks, at + 1, F.col("_step")).alias("marks"),
+            old.alias("old"), new.alias("new"),
+        )
+
+    def number(b: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            role = _role(line)
+            counted = _numbers(b["lines"], F.left(b["marks"], i), [b["old"], b["new"]])
+            old, new = [F.when(role == "hunk", _hunk_start(line, side)).otherwise(n) for (side, _), n in zip(_SIDES, counted)]
+            return F.struct((b["at"] + i).alias("pos"), line.alias("line"), role.alias("role"), old.alias("old_line"), new.alias("new_line"))
+
+        return F.transform(b["lines"], one)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.length(marks) - 1, F.col("_step")), block)
+    filled = marked.withColumn("_blocks", F.when(F.col("patch") != "", blocks))
+    return filled.select(*own, *[c for c in keep if c not in own], F.flatten(F.transform("_blocks", number)).alias("numbered"))
 
 
 def numbered_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``old_line`` and ``new_line``, the numbers a line has (or would have) on either side."""
-    lines = patch_lines(files, keep)
-    in_file = Window.partitionBy(*_file(lines)).orderBy("pos")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    upto = in_file.rowsBetween(Window.unboundedPreceding, 0)
+    """``filename, <keep>, pos, line, role``, ``old_line`` and ``new_line``, the numbers a line has (or would have) on either side."""
+    rows = _numbered(files, keep)
+    rest = [c for c in rows.columns if c != "numbered"]
+    return rows.select(*rest, F.explode_outer("numbered").alias("_l")).filter("_l IS NOT NULL").select(*rest, "_l.*")
 
-    def seen(*roles: str) -> Column:
-        return F.coalesce(F.sum(F.col("role").isin(*roles).cast("int")).over(before), F.lit(0)).cast("int")
 
-    counted = lines.withColumn("_old", seen("del", "ctx")).withColumn("_new", seen("add", "ctx"))
+def hunk_spans(files: DataFrame) -> DataFrame:
+    """``filename, spans``: the visible lines of a file as stretches ``side, first, last``, one a hunk and side.
 
-    def base(group: int, count: str) -> Column:
-        start = F.regexp_extract("line", HUNK, group)
-        return F.when(F.col("role") == "hunk", start.cast("int") - F.col(count))
+    A hunk shows its lines without a gap, so its header and two counts say all. Rows of the same file
+    are taken together.
+    """
+    own = _file(files)
+    # A hunk begins at the start of a line only.
+    hunks = F.split("patch", "\n(?=" + HUNK.removeprefix("^") + ")", -1)
 
-    def shifted(group: int, count: str) -> Column:
-        return (F.coalesce(F.last(base(group, count), True).over(upto), F.lit(0)) + F.col(count)).cast("int")
+    def sides(hunk: Column) -> Column:
+        roles = F.transform(F.split(hunk, "\n", -1), _role)
+        counts = [F.size(F.filter(roles, lambda r: r.isin(kind, "ctx"))) for kind in ("del", "add")]
+        first = [_hunk_start(hunk, side) for side, _ in _SIDES]
+        return F.array(
+            *[
+                F.struct(F.lit(name).alias("side"), start.alias("first"), (start + n - 1).alias("last"))
+                for name, start, n in zip(("LEFT", "RIGHT"), first, counts)
+            ]
+        )
 
-    return counted.withColumn("old_line", shifted(1, "_old")).withColumn("new_line", shifted(2, "_new")).drop("_old", "_new")
+    rows = files.filter(F.col("patch") != "").select(*own, F.flatten(F.transform(hunks, sides)).alias("spans"))
+    shown = rows.withColumn("spans", F.filter("spans", lambda s: s["first"] <= s["last"]))
+    return shown.groupBy(*own).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def hunk_lines(files: DataFrame) -> DataFrame:
     """Visible lines ``filename, side, line``; context lines are visible on both sides."""
-    sides = F.array(
-        F.when(F.col("role").isin("add", "ctx"), F.struct(F.lit("RIGHT").alias("side"), F.col("new_line").alias("line"))),
-        F.when(F.col("role").isin("del", "ctx"), F.struct(F.lit("LEFT").alias("side"), F.col("old_line").alias("line"))),
-    )
     own = _file(files)
-    shown = numbered_lines(files).select(*own, F.explode_outer(F.array_compact(sides)).alias("_at")).filter("_at IS NOT NULL")
-    return shown.select(*own, "_at.side", "_at.line").distinct()
+    shown = hunk_spans(files).select(*own, F.explode_outer("spans").alias("_s")).filter("_s IS NOT NULL")
+    lines = shown.select(*own, "_s.side", F.explode(F.sequence("_s.first", "_s.last")).alias("line"))
+    return lines.distinct()
 
 
-def annotated_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Patch lines with ``[N#]`` and ``[O#]`` tags in column ``text``."""
-    body = F.expr("substring(line, 2)")
+def _tagged(line: Column) -> Column:
+    """A numbered line with its ``[N#]`` or ``[O#]`` tag."""
+    body = F.substring(line["line"], F.lit(2), F.length(line["line"]))
 
     def tag(sign: str, letter: str, number: str) -> Column:
-        return F.concat(F.lit(f"{sign} [{letter}"), F.col(number).cast("string"), F.lit("] "), body)
+        return F.concat(F.lit(f"{sign} [{letter}"), line[number].cast("string"), F.lit("] "), body)
 
-    text = (
-        F.when(F.col("role") == "add", tag("+", "N", "new_line"))
-        .when(F.col("role") == "del", tag("-", "O", "old_line"))
-        .when(F.col("role") == "ctx", tag(" ", "N", "new_line"))
-        .otherwise(F.col("line"))
+    return (
+        F.when(line["role"] == "add", tag("+", "N", "new_line"))
+        .when(line["role"] == "del", tag("-", "O", "old_line"))
+        .when(line["role"] == "ctx", tag(" ", "N", "new_line"))
+        .otherwise(line["line"])
     )
-    return numbered_lines(files, keep).withColumn("text", text)
 
 
-def annotate(files: DataFrame) -> DataFrame:
-    """``filename, annotated``: whole patches with line tags; a group is one file's patch."""
-    parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return annotated_lines(files).groupBy(*_file(files)).agg(
-        F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("annotated")
-    )
+def annotate(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``filename, <keep>, annotated``: whole patches with line tags, made inside their rows; files without a patch are left out."""
+    rows = _numbered(files, keep).filter("numbered IS NOT NULL")
+    return rows.withColumn("annotated", F.array_join(F.transform("numbered", _tagged), "\n")).drop("numbered")
 
 
 def render_chunks(files: DataFrame, max_bytes: int = 8192) -> DataFrame:
-    """``filename, file_pos, chunk, truncated``: one review block per file, long patches cut."""
+    """``filename, file_pos, <other columns>, chunk, truncated``: one review block per file, long patches cut."""
+    shape = ("status", "additions", "deletions")
+    rest = [c for c in files.columns if c not in (*_file(files), "file_pos", *shape, "patch", "chunk", "truncated")]
     head = F.concat(
         F.lit("\n### "), F.col("filename"), F.lit(" ("), F.col("status"), F.lit(" +"),
         F.col("additions").cast("string"), F.lit("/-"), F.col("deletions").cast("string"), F.lit(")\n"),
@@ -157,9 +215,9 @@ def render_chunks(files: DataFrame, max_bytes: int = 8192) -> DataFrame:
         .when(long, F.concat(F.lit("```diff\n"), F.left(text, F.lit(max_bytes)), F.lit("\n... [truncated]\n```\n")))
         .otherwise(F.concat(F.lit("```diff\n"), text, F.lit("\n```\n")))
     )
-    return files.join(annotate(files), _file(files), "left").select(
-        *_file(files), "file_pos", F.concat(head, body).alias("chunk"), F.coalesce(long, F.lit(False)).alias("truncated")
-    )
+    rows = _numbered(files, ("file_pos", *shape, *rest))
+    rows = rows.withColumn("annotated", F.array_join(F.transform("numbered", _tagged), "\n"))
+    return rows.select(*_file(files), "file_pos", *rest, F.concat(head, body).alias("chunk"), F.coalesce(long, F.lit(False)).alias("truncated"))
 
 
 def _ascii_edges(pattern: str) -> str:
@@ -211,8 +269,8 @@ def trace_names(files: DataFrame, symbols: DataFrame, cap: int = 50) -> DataFram
     return _first_of_request(top, "_at", cap).select(*own, "pos", "name")
 
 
-def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
-    """Check review comments against the visible lines.
+def validate_inline(comments: DataFrame, spans: DataFrame) -> DataFrame:
+    """Check review comments against the visible stretches of ``hunk_spans``, one row a file, in one join.
 
     ``comments``: comment_id, path, line, side, body, start_line, start_side, and request where both
     tables have it. Adds ``kept``; a start
@@ -220,34 +278,25 @@ def validate_inline(comments: DataFrame, visible: DataFrame) -> DataFrame:
     """
     side = F.when(F.col("side") == "LEFT", "LEFT").otherwise("RIGHT")
     start_side = F.when(F.col("start_side").isin("LEFT", "RIGHT"), F.col("start_side"))
-    own = _request(visible)
+    own = _request(spans)
     clean = comments.select(
         *own, "comment_id", "path", "line", side.alias("side"), strip(F.coalesce("body", F.lit(""))).alias("body"),
         F.when(F.col("start_line") < F.col("line"), F.col("start_line")).alias("start_line"),
         start_side.alias("start_side"),
     )
-    probes = clean.select(
-        *own, "comment_id", F.col("path").alias("filename"),
-        F.explode_outer(
-            F.array(
-                F.struct(F.lit("end").alias("role"), "side", "line"),
-                F.struct(
-                    F.lit("start").alias("role"), F.coalesce("start_side", "side").alias("side"), F.col("start_line").alias("line")
-                ),
-            )
-        ).alias("_p"),
-    ).filter("_p IS NOT NULL").select(*own, "comment_id", "filename", "_p.role", "_p.side", "_p.line")
-    seen = probes.join(visible, [*own, "filename", "side", "line"], "left_semi").groupBy(*own, "comment_id").agg(
-        F.bool_or(F.col("role") == "end").alias("_end"), F.bool_or(F.col("role") == "start").alias("_start")
-    )
-    joined = clean.join(seen, [*own, "comment_id"], "left")
-    kept = F.coalesce("_end", F.lit(False)) & (F.coalesce("path", F.lit("")) != "") & (F.col("body") != "")
-    started = kept & F.coalesce("_start", F.lit(False))
-    return joined.select(
+
+    def shown(side: Column, line: Column) -> Column:
+        return F.coalesce(F.exists("spans", lambda s: (s["side"] == side) & line.between(s["first"], s["last"])), F.lit(False))
+
+    joined = clean.join(spans.withColumnRenamed("filename", "path"), [*own, "path"], "left")
+    kept = shown(F.col("side"), F.col("line")) & (F.coalesce("path", F.lit("")) != "") & (F.col("body") != "")
+    judged = joined.withColumns({"kept": kept, "_started": shown(F.coalesce("start_side", "side"), F.col("start_line"))})
+    started = F.col("kept") & F.col("_started")
+    return judged.select(
         *own, "comment_id", "path", "line", "side", "body",
         F.when(started, F.col("start_line")).alias("start_line"),
         F.when(started, F.col("start_side")).alias("start_side"),
-        kept.alias("kept"),
+        "kept",
     )
 
 

@@ -70,7 +70,7 @@ def diff_render_chunks(spark, folder):
 
 
 def diff_inline_validate(spark, folder):
-    return diffs.validate_inline(t.inline_rows(spark, folder), diffs.hunk_lines(t.patch_files(spark, folder)))
+    return diffs.validate_inline(t.inline_rows(spark, folder), diffs.hunk_spans(t.patch_files(spark, folder)))
 
 
 INLINE_SQL = f"""WITH {FILES_SQL}, {LINES_SQL}, raw AS (
@@ -149,7 +149,7 @@ BUDGET = 8000
 
 def _sized(spark, folder):
     files = t.patch_files(spark, folder)
-    return diffs.render_chunks(files).join(files.select("filename", "source"), "filename").select(
+    return diffs.render_chunks(files).select(
         "source", "file_pos", F.length("chunk").alias("len")
     )
 
@@ -179,7 +179,7 @@ SELECT source, file_pos, size, batch FROM packed"""
 def diff_batch_texts(spark, folder):
     files = t.patch_files(spark, folder)
     chunks = materialise(
-        diffs.render_chunks(files).join(files.select("filename", "source"), "filename").select("source", "file_pos", "chunk", "truncated")
+        diffs.render_chunks(files).select("source", "file_pos", "chunk", "truncated")
     )
     sized = chunks.select("source", "file_pos", F.length("chunk").alias("len"))
     packed = packing.pack_batches(sized, "len", "file_pos", "source", BUDGET)
