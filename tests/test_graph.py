@@ -106,16 +106,20 @@ def test_running_total(spark):
     assert got == {(g, i): sum((j * 7) % 5 for j in range(i + 1)) for g in "ab" for i in range(200)}
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("ranges", [1, 4, 150])
+def test_packing(spark, ranges):
+    """One, few and many ranges, a group that holds most rows, empty items, a null group and a null size."""
     rnd = random.Random(1)
-    rows = [(g, i, rnd.choice([1, 3, 7, 10, 25])) for g in "abc" for i in range(60)]
-    df = spark.createDataFrame(rows, "g string, i int, s int")
-    got = {(r.g, r.i): r.batch for r in packing.pack_batches(df, "s", "i", "g", 10).collect()}
-    for g in "abc":
-        batch, used = 1, 0
-        for _, i, s in (r for r in rows if r[0] == g):
-            s = min(s, 10)
-            if used and used + s > 10:
-                batch, used = batch + 1, 0
-            used += s
-            assert got[(g, i)] == batch
+    rows = [(g, i, rnd.choice([0, 1, 3, 7, 10, 25, None])) for g, n in (("a", 60), ("b", 900), ("c", 1), (None, 70), ("e", 3)) for i in range(n)]
+    rows += [("z", i, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, i int, s int").repartition(7)
+    got = {(r.g, r.i): r.batch for r in packing.pack_batches(df, "s", "i", "g", 10, ranges).collect()}
+    want, state = {}, {}
+    for g, i, s in rows:
+        s = 10 if s is None else min(s, 10)
+        batch, used = state.get(g, (1, 0))
+        batch, used = (batch + 1, s) if used + s > 10 else (batch, used + s)
+        state[g] = batch, used
+        want[(g, i)] = batch
+    assert got == want
+    assert packing.pack_batches(df.limit(0), "s", "i", "g", 10, ranges).count() == 0

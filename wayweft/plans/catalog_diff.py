@@ -161,8 +161,8 @@ def diff_batch_packing(spark, folder):
 
 
 def diff_batch_packing_large(spark, folder):
-    """The same packing with every group sent through the path for groups too large to fold."""
-    return packing.pack_batches(_sized(spark, folder), "len", "file_pos", "source", BUDGET).select(
+    """The same packing over many narrow ranges, so that every group crosses bounds and batches are carried over them."""
+    return packing.pack_batches(_sized(spark, folder), "len", "file_pos", "source", BUDGET, ranges=64).select(
         "source", "file_pos", "size", "batch"
     )
 
