@@ -16,18 +16,23 @@ from wayweft.session import SMALL_ROWS, broadcast_if_small, materialise
 def _walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """All edges that leave a node at distance under ``depth`` from its seed.
 
-    ``edges``: start, stop, kind, ord. ``seeds``: seed. Every node is expanded once per seed.
+    ``edges``: start, stop, kind, ord. ``seeds``: seed. Every node is expanded once per seed. A level
+    is stored once, by seed and node, and never written again; the next one leaves out what each of
+    the stored levels has.
     """
-    reached = materialise(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct())
-    frontier = reached
-    hops = edges.select(F.col("start").alias("node"), "stop").distinct()
-    for level in range(1, depth):
-        found = hops.join(broadcast_if_small(frontier), "node").select("seed", F.col("stop").alias("node")).distinct()
-        frontier = found.join(reached, ["seed", "node"], "left_anti").withColumn("dist", F.lit(level))
-        frontier = materialise(frontier)
-        if frontier.isEmpty():
+    levels = [materialise(seeds.select("seed", F.col("seed").alias("node")).distinct())]
+    hops = edges.select(F.col("start").alias("node"), "stop")
+    while len(levels) < depth:
+        fresh = hops.join(broadcast_if_small(levels[-1]), "node").select("seed", F.col("stop").alias("node")).distinct()
+        for known in levels:
+            fresh = fresh.join(known, ["seed", "node"], "left_anti")
+        fresh = materialise(fresh)
+        if fresh.isEmpty():
             break
-        reached = materialise(reached.unionByName(frontier))
+        levels.append(fresh)
+    reached = levels[0].withColumn("dist", F.lit(0))
+    for dist, level in enumerate(levels[1:], 1):
+        reached = reached.unionByName(level.withColumn("dist", F.lit(dist)))
     return edges.withColumnRenamed("start", "node").join(broadcast_if_small(reached), "node").select(
         "seed", "dist", "node", "stop", "kind", "ord"
     )
