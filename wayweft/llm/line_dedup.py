@@ -157,7 +157,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         lines = spark.table(store)
         for i in range(len(set(cuts)) + 1):
             batch = lines.where(F.col("part") == i)
-            runs.add(batch.groupBy("key").agg(F.sum(F.col("first").cast("long")).alias("n"), F.max("doc_id").alias("top")))
+            # All rows of a doc_id are in one batch and count once.
+            held = batch.where("first").select("key", "doc_id").distinct()
+            runs.add(held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")))
         frequent = materialise(runs.totals().where(F.col("n") >= min_docs).select("key", "top"))
         gone = lines.join(frequent, "key").where("doc_id <> top").select("doc_id", "rid", "pos")
         return materialise(gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("drop")))
@@ -173,8 +175,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     ``min_chars`` code points that occur in ``min_docs`` documents or more lose all their lines except
     in the largest doc_id that holds them; all other lines stay, joined by line feeds.
 
-    A null or empty text is one empty line, and a null text becomes an empty one. Rows are documents:
-    equal rows count each, and all rows that share the largest doc_id keep the line. A null doc_id is
+    A null or empty text is one empty line, and a null text becomes an empty one. Rows that
+    share a doc_id count as one document, and all rows of the largest doc_id keep the line. A null doc_id is
     below all others. An empty table gives an empty result. Columns named like the two new ones, in
     any case, are replaced.
     """
