@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -221,6 +222,38 @@ def test_pages_by_blocks(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><div class='promotion-content'><p>{STORY}</p></div></article>", STORY),
+        (f"<article><p>{STORY}</p><div class='promotion-content'><p>Buy it.</p></div></article>", STORY),
+        (f"<article><div class='promotion-content'><p>{STORY}</p><aside>{STORY}</aside><div class='comments'>{STORY}</div></div></article>", STORY),
+        (f"<div class='promotion-content'><p>{STORY}</p></div><p>{STORY}</p>", STORY),
+        (f'<article><p class="a>{STORY}</p></article>', STORY),
+    ],
+)
+def test_doubted_and_broken_parts(page, text):
+    """A class name that articles are about as well is a doubt inside an article; a quote that stays open ends with its tag."""
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<div></span>", "<svg>", "<svg/>", "<button>x", "</b></i>", "<script/></script>", "<p>a</p></section>", "<div></p>"])
+def test_pages_in_linear_time(part):
+    """A megabyte of open, stray and unclosed tags."""
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    html_text.main_text(f"<article><p>{STORY}</p>{page}")
+    assert time.process_time() - began < 8
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "a line of more than forty characters that is met in many documents"
+    rows = [(1, line)] * 4 + [(2, line)] + [(d, f"x\n{line} too") for d in (3, 3, 4, 5, 6, 7)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_dropped) for r in out.collect())
+    assert got == [(1, 0)] * 4 + [(2, 0), (3, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 0)]
+
+
 def test_licences(spark, docs):
     lines = [line for r in docs.collect() for line in r.text.split("\n")]
     # The corpus states licences by these four sentences.

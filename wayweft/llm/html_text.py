@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -47,7 +48,12 @@ _HINTS = _LAYOUT_HINTS | frozenset(
     cookie cookies consent gdpr notice notices disclaimer popup modal comment comments comentarios commentaires kommentare
     respond reply replies disqus copyright complementary""".split()
 )
+# Hint words that articles are about as well; beside a content word and inside an article they are only doubts.
+_SUBJECTS = frozenset("promotion social subscription consent copyright sponsors login".split())
+_CONTENTS = frozenset("content contents body text story entry copy".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A tag whose quotes don't close ends at the next bracket.
+_BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD_PARTS = re.compile(r"[a-z0-9]+")
 _BLANK = re.compile(r"\s+")
@@ -59,11 +65,12 @@ class Block:
     linked: int
     in_article: bool
     furniture: bool
+    doubted: bool = False
 
 
 def _hint(attributes: str) -> str:
-    """"layout" or "other" where class, id or role name page furniture, else empty."""
-    found = set()
+    """"layout", "doubt" or "other" where class, id or role name page furniture, else empty."""
+    found, doubts = set(), False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
@@ -71,10 +78,14 @@ def _hint(attributes: str) -> str:
                 parts = _WORD_PARTS.findall(token)
                 # "has-sidebar" and the like speak of what lies beside the element.
                 if parts and parts[0] not in ("has", "no", "with", "without", "not", "is"):
-                    found |= _HINTS & set(parts)
+                    hints = _HINTS & set(parts)
+                    if hints and hints <= _SUBJECTS and _CONTENTS & set(parts):
+                        doubts = True
+                    else:
+                        found |= hints
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             found.add("hidden")
-    return ("layout" if found <= _LAYOUT_HINTS else "other") if found else ""
+    return ("layout" if found <= _LAYOUT_HINTS else "other") if found else "doubt" if doubts else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,13 +96,22 @@ def blocks(page: str) -> list[Block]:
     # Open elements: (name, why they are furniture, inside an article).
     open_: list[tuple[str, str, bool]] = []
     link_depth = -1
+    # Open elements by name, and the next end of an element whose contents are skipped (None: there is none).
+    opened: Counter[str] = Counter()
+    ends: dict[str, tuple[int, int] | None] = {}
+
+    def next_end(name: str) -> int | None:
+        if name not in ends or (ends[name] and ends[name][0] < at):
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            ends[name] = end.span() if end else None
+        return ends[name] and ends[name][1]
 
     def flush():
         nonlocal linked
         text = _BLANK.sub(" ", "".join(pieces)).strip()
         if text:
             _, why, article = open_[-1] if open_ else ("", "", False)
-            out.append(Block(text, linked, article, bool(why)))
+            out.append(Block(text, linked, article, why not in ("", "doubt"), why == "doubt"))
         pieces.clear()
         linked = 0
 
@@ -109,7 +129,7 @@ def blocks(page: str) -> list[Block]:
             say(page[at:])
             break
         say(page[at:begin])
-        tag = _TOKEN.match(page, begin)
+        tag = _TOKEN.match(page, begin) or _BROKEN.match(page, begin)
         if not tag:
             say("<")
             at = begin + 1
@@ -123,17 +143,18 @@ def blocks(page: str) -> list[Block]:
                 link_depth = -1
             if name == "br":
                 say(" ")
-            place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), -1)
+            place = next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name) if opened[name] else -1
             if place >= 0 or name in _BLOCKS:
                 flush()
             if place >= 0:
+                opened.subtract(n for n, _, _ in open_[place:])
                 del open_[place:]
                 link_depth = -1 if link_depth > place else link_depth
             continue
         if name in _SILENT:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = next_end(name)
             if end and not tag[0].endswith("/>"):
-                at = end.end()
+                at = end
             elif name in _RAW and not end:
                 at = len(page)
             continue
@@ -147,14 +168,17 @@ def blocks(page: str) -> list[Block]:
             flush()
         if name in _VOID or not (name in _BLOCKS or hint):
             continue
+        if hint == "doubt" and not article:
+            hint = "other"
         if name in ("article", "main") and why in ("", "layout") and hint in ("", "layout"):
             why, article = "", True
-        elif not why:
-            why = "tag" if name in _FURNITURE else hint
+        elif why in ("", "doubt"):
+            why = "tag" if name in _FURNITURE else hint or why
         if article and name in ("h1", "h2") and why == "layout-tag":
             why = ""
         if article and name == "header" and why == "tag":
             why = "layout-tag"
+        opened[name] += 1
         open_.append((name, why, article))
     flush()
     return out
@@ -175,7 +199,8 @@ def _neighbours(labels: list[bool | None]) -> list[list[tuple[int, bool]]]:
 def main_text(page: str) -> str:
     """The text of the good blocks, joined by one space.
 
-    An article's blocks are bad only if they are mostly links, and open only if they are short, without
+    An article's blocks are bad only if they are mostly links, or if a class name doubts them and length
+    and stop words don't speak for them, and open only if they are short, without
     links, stop words or punctuation; they look for neighbours in articles alone. In a page that has an
     article, blocks outside need length and stop words to be good, and open ones count articles as bad
     neighbours. Where hardly a word of the page is a stop word its language is unknown, and length and
@@ -192,7 +217,7 @@ def main_text(page: str) -> str:
     labels: list[bool | None] = []
     for b, (n, k, links) in zip(found, counted):
         stops = k / n
-        if b.furniture or links > LINKS_HIGH:
+        if b.furniture or links > LINKS_HIGH or b.doubted and not (n >= LONG and stops >= STOP_LOW):
             labels.append(False)
         elif b.in_article:
             labels.append(True if n >= SHORT or stops >= STOP_LOW or re.search(r"[.!?:;]", b.text) else None)
