@@ -321,6 +321,33 @@ def test_mixture_rows(spark, docs):
     assert drawn == {d: n for d, n in plan.items() if n}
 
 
+def test_mix_comes_near_its_targets(spark, tmp_path):
+    """One long document among short ones, in six sources; what is missing is less than any document left over."""
+    rows = [(100 * k + i, f"s{k}", 1000 if i == 20 else 100 + 7 * (i % 3) * (k % 2)) for k in range(6) for i in range(21)]
+    rows += [(1, "s0", 30), (700, None, 0), (701, "s1", 0), (None, "s2", 50), (None, "s2", 60)]
+    docs = spark.createDataFrame([(d, s, "w " * n) for d, s, n in rows], "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_mix_sources"][0](spark, str(tmp_path)).collect()
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = connect(str(tmp_path)).sql(f"SELECT {', '.join(names)} FROM ({mixing.SQL})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r[n] for n in names)) for r in got)
+    source = {d: t for d, t, _ in rows}
+    assert len(got) == len(rows)
+    for name in {t for _, t, _ in rows}:
+        mine = [r for r in got if source[r.doc_id] == name]
+        taken, target = sum(r.taken for r in mine), mine[0].target
+        passes = int(target // mine[0].source_size) if mine[0].source_size else 0
+        left = [r["size"] for r in mine if r["size"] and r.doc_id is not None and r.taken == r["size"] * passes]
+        assert taken <= target and (taken > target - min(left) if left else taken == target)
+
+
+def test_shards_are_cut_by_bytes_and_keep_their_order(spark, docs):
+    whole, cut = mixing.mixture(docs, shards=3), mixing.mixture(docs, shards=3, part_bytes=20_000)
+    assert whole.rdd.getNumPartitions() == 3 and cut.rdd.getNumPartitions() > 10
+    key = ["doc_id", "shard", "copy"]
+    assert whole.select(key).collect() == cut.select(key).collect()
+
+
 def test_fixity_finds_what_was_changed(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     records = fixity.packed(pages, per_file=20)
