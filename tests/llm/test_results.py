@@ -348,6 +348,22 @@ def test_shards_are_cut_by_bytes_and_keep_their_order(spark, docs):
     assert whole.select(key).collect() == cut.select(key).collect()
 
 
+def test_rules_are_ordered_by_what_they_reject_for_what_they_read(spark):
+    """Rows of 100 characters: a rule that reads nothing costs 1 a row, one that reads the text 101."""
+    rows = spark.range(200).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "id >= 100 AS base_failed")
+    rule = quality.Rule
+    none = lambda: F.lit(0)
+    rules = [
+        rule("never", lambda: F.lit(False), none), rule("half_dear", lambda: F.col("doc_id") < 50), rule("same_half", lambda: F.col("doc_id") < 51),
+        rule("few_cheap", lambda: F.col("doc_id") >= 98, none), rule("failed_only", lambda: F.col("doc_id") >= 100, none),
+        rule("most_cheap", lambda: F.col("doc_id") < 40, none), rule("null", lambda: F.lit(None).cast("boolean")),
+    ]
+    # After most_cheap, the two halves are worth 10 and 11 of the rows left; then nothing but few is rejected.
+    got = [r.name for r in quality.ordered(rows, rules)]
+    assert got == ["most_cheap", "few_cheap", "same_half", "never", "failed_only", "half_dear", "null"]
+    assert [r.name for r in quality.ordered(rows.limit(0), rules)][0] == "never" and quality.ordered(rows, []) == []
+
+
 def test_fixity_finds_what_was_changed(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     records = fixity.packed(pages, per_file=20)
