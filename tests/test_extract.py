@@ -2,6 +2,7 @@
 
 import pytest
 
+from wayweft.functions import helpers
 from wayweft.plans.extract import build, ci, commands, containers, markdown
 from wayweft.plans.extract.facts import WARNING
 
@@ -179,3 +180,37 @@ def test_error_budget(spark):
     names = {(r.path, r.label) for r in facts if r.kind == "code_symbol"}
     assert ("i.py", "ok") in names and ("b.js", "f") in names and not {p for p, _ in names} & {"a.js", "e.cpp", "f.rs"}
     assert {r.path for r in facts if r.kind == "file"} == {p for p, _ in rows}
+
+
+@pytest.mark.parametrize("extract, shown", [(ci.github_actions, "name: W\njobs:\n  a:\n    steps:\n    - run: make a\n    - run: make b\n"), (ci.gitlab, "a:\n  script: [make a, make b]\n")])
+def test_pipelines_are_read_once(spark, extract, shown):
+    """One pass over the files: the YAML of a file is read by one step of the plan, however many kinds of facts it gives."""
+    files = spark.createDataFrame([("x/.gitlab-ci.yml", shown)], "path string, text string")
+    made = extract(files, 4)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [yaml_object") == 1
+    assert plan.count("ArrowEvalPython [shell_commands") == 1
+    assert sorted(r.id for r in made.filter("ekind = 'invokes'").collect()) == ["target:a", "target:b"]
+    assert made.filter("source IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("extract", [ci.github_actions, ci.gitlab])
+def test_pipelines_without_jobs_keep_their_own_facts(spark, extract):
+    texts = ["name: only\n", "", "a: [", "jobs: [x]\n", "jobs: {a: {steps: [1, {run: ' '}]}, b: 3}\n"]
+    files = spark.createDataFrame([(f"x/f{i}.yml", text) for i, text in enumerate(texts)], "path string, text string")
+    kinds = {}
+    for r in extract(files, 4).collect():
+        kinds.setdefault(r.path, []).append(r.kind)
+    assert "x/f1.yml" not in kinds and kinds["x/f2.yml"] == ["warning"]
+    assert all(kinds[f"x/f{i}.yml"].count("workflow") == 1 for i in (0, 3, 4))
+
+
+def test_shell_texts_with_carriage_returns_end():
+    assert [c[2:4] for c in helpers._all_commands("echo hi\r\nmake\x0ba\r\n")] == [("echo", ["hi"]), ("make", ["a"])]
+
+
+@pytest.mark.parametrize("text", ["a: 1\t# c\n", "a: \ufeffb\n", "a: {? b\n}\n", "a: [\n", "a: {b: 2020-01-01, c: [yes, 0x1f, ~, 'é']}\n"])
+def test_both_yaml_readers_agree(monkeypatch, text):
+    fast = helpers._yaml(text)
+    monkeypatch.setattr(helpers, "_FAST_YAML", None)
+    assert helpers._yaml(text) == fast

@@ -9,7 +9,7 @@ from wayweft.functions.helpers import yaml_object
 from wayweft.functions.strings import basename, lines_of, stem, strip
 from wayweft.model import node_id
 from wayweft.plans.extract.commands import command_facts
-from wayweft.plans.extract.facts import emit, fact, one, union, warning
+from wayweft.plans.extract.facts import fact, one, union, warning
 
 # Top-level GitLab keys that are no jobs.
 GITLAB_RESERVED = (
@@ -24,9 +24,14 @@ def with_yaml(files: DataFrame) -> DataFrame:
     )
 
 
-def yaml_warnings(loaded: DataFrame, turn: int, parser: str) -> DataFrame:
+def yaml_warning(turn: int, parser: str) -> Column:
+    """The warning of a loaded file, null where nothing is wrong."""
     text = F.concat(F.lit("parse error "), "path", F.lit(f": {parser}: "), "error")
-    return one(loaded.filter("error IS NOT NULL"), warning([turn], text))
+    return F.when(F.col("error").isNotNull(), warning([turn], text))
+
+
+def yaml_warnings(loaded: DataFrame, turn: int, parser: str) -> DataFrame:
+    return one(loaded.filter("error IS NOT NULL"), yaml_warning(turn, parser))
 
 
 # Loaded values: objects and lists are JSON, a string is ``s:text``, any other scalar ``v:text``.
@@ -74,24 +79,41 @@ def text_list(value: Column) -> Column:
     return F.when(is_text(value), F.array(value)).when(is_list(value), items(value)).otherwise(none)
 
 
+def _first(*places: str) -> Column:
+    """Whether a row is the first one of what was unnested into ``places``, or the only one where nothing was."""
+    out = F.lit(True)
+    for place in places:
+        out = out & (F.coalesce(F.col(place), F.lit(0)) == 0)
+    return out
+
+
+def _listed(*facts: Column) -> Column:
+    """The facts that are there, of columns that are one fact or null."""
+    return F.array_compact(F.array(*facts))
+
+
+def _all_of(*lists: Column) -> Column:
+    return F.flatten(F.array_compact(F.array(*lists)))
+
+
 def github_actions(files: DataFrame, turn: int) -> DataFrame:
+    """One pass: a file is read once, its jobs and their steps are unnested, and the first row of each brings its facts."""
     loaded = with_yaml(files)
-    docs = loaded.filter(F.col("json").isNotNull() & (F.col("json") != "{}"))
+    full = F.col("json").isNotNull() & (F.col("json") != "{}")
     given_name = field(F.col("json"), "name")
     name = F.when(is_empty(given_name), stem(F.col("path"))).otherwise(as_text(given_name))
-    flows = docs.select("path", name.alias("flow"), field(F.col("json"), "jobs").alias("jobs"))
+    flows = loaded.select("path", "error", full.alias("_full"), name.alias("flow"), field(F.col("json"), "jobs").alias("jobs"))
     flow_id = node_id("workflow", F.col("flow"))
-    empty = is_empty(F.col("jobs"))
     shape = F.when(is_list(F.col("jobs")), "list").when(is_text(F.col("jobs")), "str").otherwise("scalar")
     bad = F.concat(F.lit("github_actions "), "path", F.lit(": `jobs` is "), shape, F.lit(", expected mapping"))
-    parts = [
-        yaml_warnings(loaded, turn, "github_actions"),
-        one(flows, fact([turn, 0], flow_id, "workflow", F.col("flow"), F.col("path"))),
-        one(flows.filter(~empty & ~is_object(F.col("jobs"))), warning([turn, 1], bad)),
-    ]
-    jobs = flows.filter(is_object(F.col("jobs"))).select(
-        "path", "flow", F.posexplode_outer(members(F.col("jobs"))).alias("_j", "_e")
-    ).filter("_j IS NOT NULL").select("path", "flow", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec"))
+    of_file = _listed(
+        yaml_warning(turn, "github_actions"),
+        F.when(F.col("_full"), fact([turn, 0], flow_id, "workflow", F.col("flow"), F.col("path"))),
+        F.when(F.col("_full") & ~is_empty(F.col("jobs")) & ~is_object(F.col("jobs")), warning([turn, 1], bad)),
+    )
+    jobs = flows.select(
+        "path", "flow", of_file.alias("_file"), F.posexplode_outer(members(F.when(is_object(F.col("jobs")), F.col("jobs")))).alias("_j", "_e")
+    ).select("path", "flow", "_file", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec"))
     job_id = node_id("workflow_job", F.col("flow"), F.col("job"))
     needs = F.transform(
         text_list(field(F.col("spec"), "needs")),
@@ -101,11 +123,11 @@ def github_actions(files: DataFrame, turn: int) -> DataFrame:
         ),
     )
     own = fact([turn, 2, F.col("_j"), 0, 0], job_id, "workflow_job", F.col("job"), F.col("path"), None, flow_id, "defines")
-    parts.append(emit(jobs, F.concat(F.array(own), needs)))
     listed = field(F.col("spec"), "steps")
-    steps = jobs.withColumn("_steps", listed).filter(is_list(F.col("_steps"))).select(
-        "path", "flow", "job", "_j", F.posexplode_outer(items(F.col("_steps"))).alias("_s", "step")
-    ).filter("_s IS NOT NULL").filter(is_object(F.col("step")))
+    steps = jobs.withColumn("_job", F.concat(F.array(own), needs)).select(
+        "path", "flow", "job", "_j", F.when(_first("_j"), F.col("_file")).alias("_file"), F.when(F.col("_j").isNotNull(), F.col("_job")).alias("_job"),
+        F.posexplode_outer(items(F.when(is_list(listed), listed))).alias("_s", "step"),
+    )
 
     def given(key):
         value = field(F.col("step"), key)
@@ -113,7 +135,7 @@ def github_actions(files: DataFrame, turn: int) -> DataFrame:
 
     label = F.coalesce(given("name"), given("id"), F.concat(F.lit("step_"), F.col("_s").cast("string")))
     shown = steps.select(
-        "*", label.alias("label"), field(F.col("step"), "run").alias("run"), field(F.col("step"), "uses").alias("uses"),
+        "*", F.when(is_object(F.col("step")), label).alias("label"), field(F.col("step"), "run").alias("run"), field(F.col("step"), "uses").alias("uses"),
     )
     step_id = node_id("workflow_step", F.col("flow"), F.col("job"), F.col("label"))
     uses = as_text(F.col("uses"))
@@ -122,26 +144,31 @@ def github_actions(files: DataFrame, turn: int) -> DataFrame:
         fact([turn, 2, F.col("_j"), 2, F.col("_s"), 2], node_id("module", F.lit("gha"), uses), "module", uses, None, None, step_id, "uses_env"),
     )
     declared = fact([turn, 2, F.col("_j"), 2, F.col("_s"), 0], step_id, "workflow_step", F.col("label"), F.col("path"), None, job_id, "defines")
-    parts.append(emit(shown, F.array_compact(F.array(declared, action))))
-    runs = shown.filter(is_text(F.col("run"))).select(
+    of_step = F.when(F.col("label").isNotNull(), _listed(declared, action))
+    first = _first("_s")
+    rows = shown.select(
         "path", step_id.alias("source"), F.array(F.lit(turn), F.lit(2), "_j", F.lit(2), "_s", F.lit(1)).alias("at"),
-        as_text(F.col("run")).alias("cmd"),
+        F.when(is_text(F.col("run")), as_text(F.col("run"))).alias("cmd"),
+        _all_of(F.when(first, F.col("_file")), F.when(first, F.col("_job")), of_step).alias("own"),
     )
-    parts.append(command_facts(runs))
-    return union(*parts)
+    return command_facts(rows)
 
 
 def gitlab(files: DataFrame, turn: int) -> DataFrame:
-    loaded = with_yaml(files)
-    docs = loaded.filter(F.col("json").isNotNull() & (F.col("json") != "{}")).withColumn("flow", basename(F.col("path")))
+    """One pass, as for hosted workflows."""
+    flow = basename(F.col("path"))
+    full = F.col("json").isNotNull() & (F.col("json") != "{}")
+    loaded = with_yaml(files).select("path", "error", flow.alias("flow"), F.when(full, F.col("json")).alias("json"))
     flow_id = node_id("workflow", F.lit("gitlab"), F.col("flow"))
-    parts = [
-        yaml_warnings(loaded, turn, "gitlab_ci"),
-        one(docs, fact([turn, 0], flow_id, "workflow", F.col("flow"), F.col("path"))),
-    ]
-    jobs = docs.select("path", "flow", F.posexplode_outer(members(F.col("json"))).alias("_j", "_e")).filter("_j IS NOT NULL").select(
-        "path", "flow", "_j", F.col("_e.key").alias("job"), F.col("_e.value").alias("spec")
-    ).filter(is_object(F.col("spec")) & ~F.col("job").isin(*GITLAB_RESERVED))
+    of_file = _listed(
+        yaml_warning(turn, "gitlab_ci"),
+        F.when(F.col("json").isNotNull(), fact([turn, 0], flow_id, "workflow", F.col("flow"), F.col("path"))),
+    )
+    jobs = loaded.select("path", "flow", of_file.alias("_file"), F.posexplode_outer(members(F.col("json"))).alias("_j", "_e")).select(
+        "path", "flow", "_file", "_j", F.col("_e.key").alias("_key"), F.col("_e.value").alias("spec")
+    )
+    is_job = is_object(F.col("spec")) & ~F.col("_key").isin(*GITLAB_RESERVED)
+    jobs = jobs.withColumn("job", F.when(is_job, F.col("_key")))
 
     def job_id(name):
         return node_id("workflow_job", F.lit("gitlab"), F.col("flow"), name)
@@ -158,20 +185,22 @@ def gitlab(files: DataFrame, turn: int) -> DataFrame:
         ),
     )
     own = fact([turn, 1, F.col("_j"), 0, 0], job_id(F.col("job")), "workflow_job", F.col("job"), F.col("path"), None, flow_id, "defines")
-    parts.append(emit(jobs, F.concat(F.array(own), needs)))
-    steps = jobs.select("path", "flow", "job", "_j", F.posexplode_outer(text_list(field(F.col("spec"), "script"))).alias("_s", "_cmd")).filter("_s IS NOT NULL")
-    steps = steps.filter(is_text(F.col("_cmd"))).withColumn("cmd", as_text(F.col("_cmd"))).filter(strip(F.col("cmd")) != "")
+    script = F.when(F.col("job").isNotNull(), text_list(field(F.col("spec"), "script")))
+    steps = jobs.withColumn("_job", F.concat(F.array(own), needs)).select(
+        "path", "flow", "job", "_j", F.when(_first("_j"), F.col("_file")).alias("_file"), F.when(F.col("job").isNotNull(), F.col("_job")).alias("_job"),
+        F.posexplode_outer(script).alias("_s", "_cmd"),
+    )
+    steps = steps.withColumn("cmd", F.when(is_text(F.col("_cmd")) & (strip(as_text(F.col("_cmd"))) != ""), as_text(F.col("_cmd"))))
     number = F.col("_s").cast("string")
     step_id = node_id("workflow_step", F.lit("gitlab"), F.col("flow"), F.col("job"), number)
     label = F.concat("job", F.lit("-step-"), number)
-    parts.append(
-        one(steps, fact([turn, 1, F.col("_j"), 2, F.col("_s"), 0], step_id, "workflow_step", label, F.col("path"), None, job_id(F.col("job")), "defines"))
-    )
-    runs = steps.select(
-        "path", step_id.alias("source"), F.array(F.lit(turn), F.lit(1), "_j", F.lit(2), "_s", F.lit(1)).alias("at"), "cmd"
+    declared = fact([turn, 1, F.col("_j"), 2, F.col("_s"), 0], step_id, "workflow_step", label, F.col("path"), None, job_id(F.col("job")), "defines")
+    first = _first("_s")
+    rows = steps.select(
+        "path", step_id.alias("source"), F.array(F.lit(turn), F.lit(1), "_j", F.lit(2), "_s", F.lit(1)).alias("at"), "cmd",
+        _all_of(F.when(first, F.col("_file")), F.when(first, F.col("_job")), F.when(F.col("cmd").isNotNull(), F.array(declared))).alias("own"),
     )
-    parts.append(command_facts(runs))
-    return union(*parts)
+    return command_facts(rows)
 
 
 STAGE = "\ufdd6"

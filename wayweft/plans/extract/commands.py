@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayweft.functions.helpers import shell_commands
 from wayweft.functions.strings import basename, join_path, parent
 from wayweft.model import node_id
-from wayweft.plans.extract.facts import FIELDS, fact, one, union
+from wayweft.plans.extract.facts import emit, fact, one, union
 
 # File endings of artifacts, and the texts that make a command a producer.
 ARTIFACT = r"(?U)(?<![\w./-])([\w./-]+\.(?:pt|pth|ckpt|bin|jsonl?|csv|parquet|tar(?:\.gz)?|zip))"
@@ -52,46 +52,43 @@ def invocation(head: Column, args: Column) -> Column:
 def command_facts(df: DataFrame) -> DataFrame:
     """Facts of rows ``path, source, at, cmd``: every command in ``cmd``, charged to the node ``source``.
 
-    ``at`` is the order prefix (an array). Bare assignments come after all commands of a text.
+    ``at`` is the order prefix (an array). Bare assignments come after all commands of a text. With a
+    column ``own``, an array of facts made before, these come once a row, also from rows without ``cmd``.
     """
-    cmds = df.filter(F.col("cmd").rlike(r"\S")).select("path", "source", "at", shell_commands("cmd").alias("_cmds"))
-    rows = cmds.select("path", "source", "at", F.posexplode_outer("_cmds").alias("_n", "_c")).filter("_n IS NOT NULL")
+    with_own = "own" in df.columns
+    kept = ["path", "source", "at", *(["own"] if with_own else [])]
+    texts = df if with_own else df.filter(F.col("cmd").rlike(r"\S"))
+    cmds = texts.select(*kept, shell_commands("cmd").alias("_cmds"))
+    rows = cmds.select(*kept, F.posexplode_outer("_cmds").alias("_n", "_c"))
     text = F.col("_c.text")
-    envs = F.transform(
-        F.filter(F.col("_c.env"), lambda e: e.rlike(ENV_NAME)),
-        lambda e, i: _fact(0, i, node_id("env_var", e), "env_var", e, None, "sets_env"),
-    )
-    run = invocation(F.col("_c.head"), F.col("_c.args"))
+
+    def at(stage: int, i: Column) -> Column:
+        return F.concat("at", F.array(F.col("_n"), F.lit(stage), i))
+
+    def of_source(stage: int, i: Column, kind: str, label: Column, ekind: str | Column) -> Column:
+        return fact(at(stage, i), node_id(kind, label), kind, label, None, None, F.col("source"), ekind)
+
+    envs = F.transform(F.filter(F.col("_c.env"), lambda e: e.rlike(ENV_NAME)), lambda e, i: of_source(0, i, "env_var", e, "sets_env"))
     raw = F.col("_run.target")
     target = F.when(F.contains(raw, F.lit("/")), join_path(parent(F.col("path")), raw)).otherwise(raw)
     runs = F.when(
         F.coalesce(raw, F.lit("")) != "",
         F.array(
             fact(
-                [1, 0], node_id(F.col("_run.kind"), F.col("_target")), F.col("_run.kind"), raw,
+                at(1, F.lit(0)), node_id(F.col("_run.kind"), F.col("_target")), F.col("_run.kind"), raw,
                 F.when(F.contains("_target", F.lit("/")), F.col("_target")), None, F.col("source"), "invokes", text,
             )
         ),
     )
     role = F.when(produces(text), "produces").otherwise("consumes")
-    arts = F.transform(
-        artifacts(text), lambda a, i: _fact(2, i, node_id("artifact", a), "artifact", a, None, role)
-    )
-    with_run = rows.withColumn("_run", run).withColumn("_target", target)
-    return emit_at(with_run, envs, runs, arts)
-
-
-def _fact(stage: int, i: Column, id: Column, kind: str, label: Column, npath, ekind) -> Column:
-    return fact([stage, i], id, kind, label, npath, None, F.col("source"), ekind)
-
-
-def emit_at(rows: DataFrame, *lists: Column) -> DataFrame:
-    """Facts with the command's place put in front of their own order numbers."""
-    facts = F.flatten(F.array_compact(F.array(*lists)))
-    spread = rows.select("path", "at", "_n", F.explode_outer(facts).alias("_f")).filter("_f IS NOT NULL")
-    return spread.select(
-        "path", F.concat("at", F.array("_n"), "_f.at").alias("at"), *[F.col(f"_f.{c}").alias(c) for c in FIELDS[1:]]
-    )
+    # The long pattern is asked only where a file ending can be.
+    arts = F.when(F.contains(text, F.lit(".")), F.transform(artifacts(text), lambda a, i: of_source(2, i, "artifact", a, role)))
+    made = F.flatten(F.array_compact(F.array(envs, runs, arts)))
+    if with_own:
+        first = F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("own"))
+        made = F.flatten(F.array_compact(F.array(first, F.when(F.col("_n").isNotNull(), made))))
+    run = invocation(F.col("_c.head"), F.col("_c.args"))
+    return emit(rows.withColumn("_run", run).withColumn("_target", target), made)
 
 
 def shell_script(files: DataFrame, turn: int) -> DataFrame:

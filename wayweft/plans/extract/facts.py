@@ -14,7 +14,7 @@ WARNING = "warning"
 
 
 def fact(
-    at: list, id: Column, kind: str | Column, label: Column, npath: Column | None = None, line: Column | None = None,
+    at: list | Column, id: Column, kind: str | Column, label: Column, npath: Column | None = None, line: Column | None = None,
     source: Column | None = None, ekind: str | Column | None = None, command: Column | None = None,
 ) -> Column:
     def text(value):
@@ -22,9 +22,10 @@ def fact(
             return F.lit(None).cast("string")
         return F.lit(value) if isinstance(value, str) else value.cast("string")
 
-    cells = [F.lit(a) if isinstance(a, int) else a.cast("int") for a in at]
+    if isinstance(at, list):
+        at = F.array(*[F.lit(a) if isinstance(a, int) else a.cast("int") for a in at])
     return F.struct(
-        F.array(*cells).alias("at"), text(id).alias("id"), text(kind).alias("kind"), text(label).alias("label"),
+        at.alias("at"), text(id).alias("id"), text(kind).alias("kind"), text(label).alias("label"),
         text(npath).alias("npath"), text(line).alias("line"), text(source).alias("source"), text(ekind).alias("ekind"),
         text(command).alias("command"),
     )
