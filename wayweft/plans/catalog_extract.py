@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayweft.operators.prefix import nearest_before
 from wayweft.plans.extract import budget, build, ci, code, commands, containers, markdown
 from wayweft.plans.extract.facts import WARNING
+from wayweft.session import spread
 from wayweft.sources import tables as t
 
 LF = "chr(10)"
@@ -69,7 +70,7 @@ def shell_scripts(spark, folder):
         "cat <<'END'\nmake hidden\nEND\nfor f in a b; do make t", (F.col("user_id") % 7).cast("string"), "; done\n",
         "OUT_", number, "=$(sh inner.sh) # rest\n",
     )
-    files = t.table(spark, folder, "events").select(F.concat(F.lit("s/e"), number, F.lit(".sh")).alias("path"), text.alias("text"))
+    files = spread(t.table(spark, folder, "events")).select(F.concat(F.lit("s/e"), number, F.lit(".sh")).alias("path"), text.alias("text"))
     return _edges(commands.shell_script(files, 1))
 
 
@@ -161,7 +162,7 @@ def makefile_facts(spark, folder):
     text = _text(
         "V := a b\nall", key, " x: n", nation, " $(V) \\\n  tail # c\n\t@bash go.sh \\\n\t  --out a.csv\nifdef Q\n\tmake sub", nation, "\nendif\n\nn", nation, ":\n\techo hi\n",
     )
-    files = t.table(spark, folder, "customer").select(_text("c", key, "/Makefile").alias("path"), text.alias("text"))
+    files = spread(t.table(spark, folder, "customer")).select(_text("c", key, "/Makefile").alias("path"), text.alias("text"))
     return _edges(build.makefile(files, 3))
 
 
@@ -198,7 +199,7 @@ UNION ALL SELECT c, 'service:q', 'runs_in', 'container_image:r' FROM s"""
 def workflow_facts(spark, folder):
     """A hosted workflow and a GitLab pipeline per customer."""
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
-    customer = t.table(spark, folder, "customer")
+    customer = spread(t.table(spark, folder, "customer"))
     hosted = customer.select(
         _text(".github/workflows/w", key, ".yml").alias("path"),
         _text(
@@ -229,7 +230,7 @@ UNION ALL SELECT g, s, 'invokes', 'target:g' FROM c"""
 def code_facts(spark, folder):
     """A TypeScript and a Python file per customer."""
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
-    customer = t.table(spark, folder, "customer")
+    customer = spread(t.table(spark, folder, "customer"))
     ts = customer.select(
         _text("c", key, "/a.ts").alias("path"),
         _text(
