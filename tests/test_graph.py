@@ -123,3 +123,23 @@ def test_packing(spark, ranges):
         want[(g, i)] = batch
     assert got == want
     assert packing.pack_batches(df.limit(0), "s", "i", "g", 10, ranges).count() == 0
+
+
+def test_crowded_keys_are_dealt_and_pairs_come_once(spark, monkeypatch):
+    """Names that all scripts end in meet cell by cell; a pair that both tests find comes once."""
+    files = [(f"d{i}/.py",) for i in range(30)] + [("a/x.py",), ("x.py",), ("a/",), ("a/x.py",)]
+    scripts = [(i, f"x{i}.py" if i % 3 else "x.py", f"jobs/x{i}.py" if i % 2 else None) for i in range(40)] + [(99, "x.py", "b/x.py")] * 2
+    want = {
+        (f, *s) for (f,) in files for s in scripts
+        if (n := f.split("/")[-1]) and (s[2] or "").split("/")[-1].endswith(n) or f.endswith(s[1])
+    }
+    monkeypatch.setattr(trace, "CELL", 4)
+    left = spark.createDataFrame(files, "file string")
+    right = spark.createDataFrame(scripts, "script_id int, label string, path string")
+    pairs = trace.match_files_to_scripts(left, right)
+    got = [(r.file, r.script_id, r.label, r.path) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    crowded = {(r.side, r.key): (r._l, r._r) for r in trace._crowded(trace.file_keys(left.distinct()), trace.script_keys(right.distinct())).collect()}
+    assert crowded["path", ".py"] == (8, 6)  # a key's pairs are dealt over 48 cells
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join", 1)[0].count("Aggregate") == 0  # pairs are not compared again

@@ -16,7 +16,7 @@ from wayweft.functions.tokens import query_words
 from wayweft.model import INDEXED_KINDS
 from wayweft.operators.search import CorpusStats, search_index
 from wayweft.operators.traverse import capped_neighbours
-from wayweft.session import materialise
+from wayweft.session import broadcast_if_small, materialise
 
 
 def suffixes(text: Column) -> Column:
@@ -44,11 +44,41 @@ def script_keys(scripts: DataFrame) -> DataFrame:
     return scripts.select("*", F.explode_outer(keys).alias("_k")).filter("_k IS NOT NULL").select(*scripts.columns, "_k.side", "_k.key")
 
 
+#: Rows of one side of a join key that meet in one place.
+CELL = 2000
+
+
+def _crowded(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``side, key, _l, _r``: into how many parts the rows of a key are dealt on either side, where it is more than one."""
+    parts = lambda name: F.ceil(F.count("*") / CELL).cast("int").alias(name)
+    both = left.groupBy("side", "key").agg(parts("_l")).join(right.groupBy("side", "key").agg(parts("_r")), ["side", "key"])
+    return both.filter((F.col("_l") > 1) | (F.col("_r") > 1))
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows with ``_own`` part by a hash, once for each part of the other side."""
+    number = lambda name: F.coalesce(name, F.lit(1))
+    mine = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("side", "key")]), number(own)).cast("int")
+    met = rows.join(crowded, ["side", "key"], "left")
+    cells = F.sequence(F.lit(0), number(other) - 1)
+    return met.select(*rows.columns, mine.alias(own + "n"), F.explode_outer(cells).alias(other + "n"))
+
+
 def match_files_to_scripts(files: DataFrame, scripts: DataFrame) -> DataFrame:
-    """All matching pairs of ``files`` (column ``file``) and ``scripts`` (``script_id, label, path``)."""
-    left = file_keys(files)
-    right = script_keys(scripts)
-    return left.join(right, ["side", "key"]).drop("side", "key").distinct()
+    """All matching pairs of ``files`` (column ``file``) and ``scripts`` (``script_id, label, path``), each once.
+
+    Either side of the test finds a pair at most once, and what the path side finds the label side leaves
+    out, so pairs are not compared again. A key of many rows is dealt into cells of ``CELL`` by ``CELL``
+    rows; no task has to make all its pairs. There are at most as many such keys as rows by ``CELL``.
+    """
+    left = file_keys(files.distinct())
+    right = script_keys(scripts.distinct())
+    crowded = broadcast_if_small(materialise(_crowded(left, right)))
+    place = ["side", "key", "_ln", "_rn"]
+    pairs = _dealt(left, crowded, "_l", "_r").join(_dealt(right, crowded, "_r", "_l"), place)
+    name, tail = basename(F.col("file")), basename(F.coalesce("path", F.lit("")))
+    again = (F.col("side") == "label") & (name != "") & tail.endswith(name)
+    return pairs.filter(~again).drop(*place)
 
 
 def symbol_files(edges: DataFrame) -> DataFrame:
