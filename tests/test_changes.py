@@ -105,3 +105,31 @@ def test_a_batch_of_an_older_version_conflicts(spark, tmp_path):
     assert table.read().count() == 0
     table.add(row, 4)
     assert [r.root for r in table.read().where(changes.is_dirty()).collect()] == ["a"]
+
+
+def test_a_feed_in_any_order_loses_no_event(spark, tmp_path, monkeypatch):
+    """Old events that come in the last batch count; with a short ``late`` they would be left out."""
+    import datetime
+    import random
+
+    from wayweft.plans import catalog_diff
+
+    rnd, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    rows = [
+        (i, start + datetime.timedelta(minutes=rnd.randrange(40_000)), i % 40, rnd.choice(["view", "purchase", "error", "click"]))
+        for i in range(160)
+    ]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for _, ts, user, kind in rows:
+        if kind != "error":
+            changed, built = want.get(str(user), (None, None))
+            newer = lambda old: ts if old is None else max(old, ts)
+            want[str(user)] = (changed, newer(built)) if kind == "purchase" else (newer(changed), built)
+
+    def got():
+        return {r.root: (r.changed_at, r.built_at) for r in catalog_diff.dirty_consume_stream(spark, str(tmp_path)).collect()}
+
+    assert got() == want
+    monkeypatch.setattr(catalog_diff, "ANY_ORDER", "10 minutes")
+    assert got() != want

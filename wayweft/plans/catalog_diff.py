@@ -360,15 +360,21 @@ def _event_feed(rows):
     )
 
 
+#: Longer than any feed.
+ANY_ORDER = "36500 days"
+
+
 def _flagged(spark, folder, feed_of):
     """The flag table after all events came in, in several batches."""
     ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
     events = t.table(spark, folder, "events").select("user_id", "ts", "event_type")
-    events.repartition(max(4, events.rdd.getNumPartitions())).write.parquet(f"{place}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/events")
-    # Files come in any order, so no root may be given up before the end.
-    query = changes.watch(feed_of(stream), f"{place}/flags", f"{place}/state", idle_ms=10**13, once=True)
+    files = max(6, events.rdd.getNumPartitions())
+    events.repartition(files).write.parquet(f"{place}/events")
+    # A batch is a third of the files, so batches grow with the table instead of their number.
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{place}/events")
+    # Files come in any order, so no event is late and no root may be given up before the end.
+    query = changes.watch(feed_of(stream), f"{place}/flags", f"{place}/state", late=ANY_ORDER, idle_ms=10**13, once=True)
     query.awaitTermination()
     return changes.FlagTable(spark, f"{place}/flags").read()
 
