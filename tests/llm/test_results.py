@@ -405,3 +405,14 @@ def test_pipeline(spark, con, docs):
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
         assert r.text == texts[r.doc_id]
     assert copies == taken
+
+
+def test_leaks_of_a_slot_dense_item_beside_another_one(spark):
+    """A document that holds a template window of one item is still searched for the longer windows of another."""
+    dense = "12 apples 13 Paris 14 cost 15 London 16 when 17 Rome 18 sold 19 Oslo 20 today"
+    plain = "the quick brown fox jumps over the lazy dog while many small birds sing above"
+    items = spark.createDataFrame([(1, dense), (2, plain)], "item_id long, text string")
+    other = "32 apples 33 Berlin 34 cost 35 Madrid 36 when 37 Lima 38 sold 39 Cairo 40 today"
+    docs = spark.createDataFrame([(1, f"we saw {other}"), (2, f"we saw {other} and {plain}")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2)}

@@ -122,7 +122,8 @@ def _windows_of(batch: pa.RecordBatch, forms: list[tuple[int, int]] | None, mask
     for kind, length in forms:
         if kind == LONGER:
             at, end, hashes = _longer(tokens, slot, row_of)
-            good = ~templated[row_of[at]]
+            # Only an item's own templates spare it the longer windows: a document may hold another item as well.
+            good = ~templated[row_of[at]] if items else np.ones(len(at), bool)
         else:
             hashes = mix(windows(prints if kind == VERBATIM else tokens, length) + np.uint64(length)) ^ _SALTS[kind]
             n = len(hashes)
@@ -139,7 +140,7 @@ def _windows_of(batch: pa.RecordBatch, forms: list[tuple[int, int]] | None, mask
         if mask is not None and len(hashes):
             good &= in_mask(mask, hashes)
         at, end, hashes = at[good], end[good], hashes[good]
-        if kind == TEMPLATE:
+        if items and kind == TEMPLATE:
             templated[row_of[at]] = True
         if kind == VERBATIM:
             values = [[]] * len(at)
