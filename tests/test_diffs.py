@@ -187,3 +187,21 @@ def test_lone_object_is_no_comment(spark):
     text = "Fine.\n```json\n{\"path\": \"a.py\", \"line\": 3, \"body\": \"x\"}\n```"
     rows = spark.createDataFrame([(1, text), (2, text.replace("{", "[{").replace("}", "}]"))], "id int, text string")
     assert {r.id: len(r.inline) for r in diffs.split_inline_block(rows).collect()} == {1: 0, 2: 1}
+
+
+def test_comments_without_a_path_are_spread(spark):
+    """They meet no file, so no task has to take them all."""
+    files = spark.createDataFrame([("a.py", "@@ -1,1 +1,2 @@\n+x\n y")], "filename string, patch string")
+    rows = [(f"c{i}", None if i % 3 else "", 1, "RIGHT", "text", None, None) for i in range(200)] + [("k", "a.py", 1, "RIGHT", "text", None, None)]
+    comments = spark.createDataFrame(rows, "comment_id string, path string, line int, side string, body string, start_line int, start_side string")
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in kept}
+    try:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+        out = diffs.validate_inline(comments, diffs.hunk_spans(files)).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r.comment_id for r in out if r.kept} == {"k"} and len(out) == 201
+    assert len({r.p for r in out if r.path is None}) > 1 and len({r.p for r in out if r.path == ""}) > 1

@@ -288,7 +288,10 @@ def validate_inline(comments: DataFrame, spans: DataFrame) -> DataFrame:
     def shown(side: Column, line: Column) -> Column:
         return F.coalesce(F.exists("spans", lambda s: (s["side"] == side) & line.between(s["first"], s["last"])), F.lit(False))
 
-    joined = clean.join(spans.withColumnRenamed("filename", "path"), [*own, "path"], "left")
+    # Comments without a path meet no file; a second key keeps them from meeting in one task.
+    spread = F.when(F.coalesce("path", F.lit("")) == "", F.xxhash64("comment_id", "line")).otherwise(F.xxhash64("path"))
+    shown_in = spans.withColumnRenamed("filename", "path").withColumn("_spread", F.xxhash64("path"))
+    joined = clean.withColumn("_spread", spread).join(shown_in, [*own, "path", "_spread"], "left")
     kept = shown(F.col("side"), F.col("line")) & (F.coalesce("path", F.lit("")) != "") & (F.col("body") != "")
     judged = joined.withColumns({"kept": kept, "_started": shown(F.coalesce("start_side", "side"), F.col("start_line"))})
     started = F.col("kept") & F.col("_started")
