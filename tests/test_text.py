@@ -119,3 +119,14 @@ def test_marks_are_folded_as_in_the_index(spark):
 
     row = spark.createDataFrame([("\u1e3f\u1e03\u1ea1 \u01d6 caf\u00e9",)], "t string").select(words(F.col("t")).alias("w")).first()
     assert row.w == ["mba", "\u01d6", "cafe"]
+
+
+def test_stems_are_made_of_distinct_words_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "the things tied, the Things untied"), (2, "other words")], "id long, text string")
+    plans, store = [], search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    got = search.stem_scan_scores(search.tokenised(rows, "text"), "id", "thing tie", False)
+    assert [r.id for r in got.collect()] == [1]
+    # Below the grouping of the words no step of the stemmer is left.
+    above, _, below = plans[0].partition("Aggregate [word")
+    assert "octet_length(word" in above and below and "octet_length(word" not in below

@@ -106,8 +106,9 @@ def bm25(hits: DataFrame, key: str, stats: CorpusStats, queries: list[list[str]]
     """Score ``qid, <key>, score``; lower is better. A query word given twice counts twice.
 
     The number of matching rows per query word is one row per word of the request, so the join back
-    broadcasts a few rows whatever the size of the index.
+    broadcasts a few rows whatever the size of the index. Matches are stored, as they are read twice.
     """
+    hits = materialise(hits)
     spread = hits.groupBy("qid", "slot").agg(F.count("*").alias("_n"))
     rarity = spread.select("qid", "slot", idf(F.lit(float(stats.rows)), F.col("_n")).alias("_idf"))
     mean = F.lit(stats.tokens / max(stats.rows, 1))
@@ -152,17 +153,19 @@ def scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> Data
 def stem_scan_scores(tok: DataFrame, key: str, query: str, require_all: bool) -> DataFrame:
     """Scores of an ad-hoc stemmed search over a tokenised table, without an index.
 
-    The distinct words are stemmed once and cut down to those whose stem starts with a query word;
-    only these meet the rows' words, before anything is shuffled by row. The rows' number and length
-    come from the scan that finds the words.
+    The distinct words that begin like a query word are stemmed once and cut down to those whose stem
+    starts with one; only these meet the rows' words, before anything is shuffled by row.
     """
     prefixes = stem_words(tok.sparkSession, query_words(query))
     if not prefixes:
         return tok.select(key, F.lit(0.0).alias("score")).limit(0)
-    terms = tok.select(F.explode_outer("tokens").alias("word")).filter("word IS NOT NULL").distinct()
-    terms = terms.repartition(shuffle_width(tok.sparkSession)).withColumn("term", stem_of("word"))
+    # A stem keeps its word's first letter.
+    near_word = F.substring("word", 1, 1).isin(sorted({p[0] for p in prefixes}))
+    words = tok.select(key, "dl", F.explode_outer("tokens").alias("word")).filter(near_word)
+    terms = words.select("word").distinct().repartition(shuffle_width(tok.sparkSession))
+    # Unnested from a list of one: a test on a plain column would move below the distinct words and stem every token.
+    terms = terms.select("word", F.explode_outer(F.array(stem_of("word"))).alias("term"))
     wanted = broadcast_if_small(materialise(terms.filter(any_prefix(F.col("term"), sorted(set(prefixes))))))
-    words = tok.select(key, "dl", F.explode_outer("tokens").alias("word"))
     near = words.join(wanted, "word").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     return bm25(index_hits(near, key, [prefixes]), key, CorpusStats.of(tok), [prefixes], require_all).drop("qid")
 
