@@ -416,3 +416,32 @@ def test_leaks_of_a_slot_dense_item_beside_another_one(spark):
     docs = spark.createDataFrame([(1, f"we saw {other}"), (2, f"we saw {other} and {plain}")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     assert got == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_all_paragraphs_teach_the_unknown_class(spark):
+    """What only a few of many documents say is counted as well."""
+    filler = [(i, "\n".join(["plain words that name no terms"] * 40)) for i in range(500)]
+    odd = [(i, "the pub has licensed waiters under general conditions") for i in range(1000, 1400)]
+    docs = spark.createDataFrame(filler + odd, "doc_id long, text string")
+    counts = {}
+    store = licenses.materialise
+
+    def stored(df):
+        out = store(df)
+        if "kept_out" in out.columns:
+            counts["all"] = sum(r.n for r in out.collect()) if "n" in out.columns else out.count()
+        return out
+
+    licenses.materialise = stored
+    try:
+        licenses.fit(docs)
+    finally:
+        licenses.materialise = store
+    assert counts["all"] == 500 * 40 + 400
+
+
+def test_signs_leave_no_statement_out(docs):
+    model = licenses.fit(docs)
+    signs = licenses._signs(model)
+    said = [t for per in model.trigrams.values() for trigrams in per for t in trigrams] + [t for per in model.short.values() for t in per]
+    assert [t for t in said if not any(set(words) <= set(t.split(" ")) for words in signs)] == []

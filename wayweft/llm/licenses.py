@@ -1,19 +1,20 @@
 """Licence statements in documents: a trained paragraph classifier, confirmed by template comparison.
 
 A multinomial logistic regression over hashed word n-grams of the templates tells a paragraph's
-licence family or the unknown class. It learns from stretches of the templates and from a bounded
-sample of paragraphs without template phrases. A threshold, set on paragraphs kept out of training,
-calibrates the unknown class, and a prediction counts only if the paragraph shares enough word
-trigrams with a template of its family; one without trigrams has to be a template word by word. Scoring is one expression over each paragraph; nothing is
-shuffled.
+licence family or the unknown class. It learns from stretches of the templates and from all paragraphs
+without template phrases, counted by the features they hit. A threshold, set on the half of them kept
+out of training, calibrates the unknown class, and a prediction counts only if the paragraph shares enough word
+trigrams with a template of its family; one without trigrams has to be a template word by word. Scoring is one
+expression over each paragraph that can be confirmed at all; it shuffles nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,11 @@ from wayweft.llm.shared import LOWER, UPPER, WORD, text_words
 from wayweft.session import materialise
 
 SLOTS = 1 << 16
-#: At most so many paragraphs teach and calibrate the unknown class.
-UNKNOWN_SAMPLE, SAMPLE_DOCS = 2000, 400
+#: All paragraphs without template phrases weigh at most as much as so many paragraphs with one.
+UNKNOWN_WEIGHT = 1000
+#: The threshold is found to one part of this many.
+STEPS = 10_000
+ROWS_A_TASK = 50_000
 #: Share of unknown paragraphs that may pass the threshold.
 PASS = 0.005
 COVERED = 0.5
@@ -106,7 +110,7 @@ FAMILIES = sorted(TEMPLATES)
 def paragraph_words(text: Column) -> Column:
     """A-Z lower-cased words without punctuation at their ends."""
     bare = F.transform(text_words(F.translate(text, UPPER, LOWER)), lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]{}<>*#")))
-    return F.filter(bare, lambda w: w != "")
+    return F.array_remove(bare, "")
 
 
 def _bind(value: Column, use) -> Column:
@@ -114,10 +118,14 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _slot(*words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(SLOTS)).cast("int")
+
+
 def _slots(w: Column) -> Column:
     """The distinct slots of the words and word pairs of an array."""
-    pairs = F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-    return F.array_distinct(F.transform(F.concat(w, pairs), lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int")))
+    pairs = F.transform(w, lambda x, i: _slot(x, F.get(w, i + 1)))
+    return F.array_distinct(F.concat(F.transform(w, lambda x: _slot(x)), pairs))
 
 
 def _trigrams(w: Column) -> Column:
@@ -147,16 +155,34 @@ class Model:
     short: dict[str, list[str]]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text, w) for every non-blank line of every text."""
+def paragraphs(docs: DataFrame, signs: list[list[str]] | None = None) -> DataFrame:
+    """(doc_id, paragraph, line, w) for every non-blank line of every text; with ``signs``, for those that have all words of one of these in any case."""
     lines = docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line").rlike(WORD)).withColumn("w", paragraph_words(F.col("line")))
+    if signs is None:
+        lines = lines.where(F.col("line").rlike(WORD))
+    else:
+        signed = lambda low: reduce(Column.__or__, [reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in words]) for words in signs])
+        lines = lines.where(_bind(F.lower("line"), signed))
+    return lines.withColumn("w", paragraph_words(F.col("line")))
+
+
+def _signs(model: Model) -> list[list[str]]:
+    """Lists of words; every trigram and every short statement of the model has all words of one, so no other paragraph is ever confirmed."""
+    words = [t.split(" ") for per in model.trigrams.values() for trigrams in per for t in trigrams] + [t.split(" ") for per in model.short.values() for t in per]
+    chosen: dict[str, list[str]] = {}
+    for text in sorted(words, key=lambda ws: -max(map(len, ws))):
+        longest = max(text, key=lambda w: (len(w), w))
+        # Short words occur in most paragraphs; these have to meet.
+        if not any(w in chosen for w in text):
+            chosen.update({longest: [longest]} if len(longest) > 4 else {" ".join(text): sorted(set(text), key=lambda w: (-len(w), w))})
+    return list(chosen.values())
 
 
 def fit(docs: DataFrame) -> Model:
-    """The classifier from the templates and a bounded sample of the paragraphs of ``docs``.
+    """The classifier from the templates and all paragraphs of ``docs``.
 
-    The sample is the first ``UNKNOWN_SAMPLE`` paragraphs of at most ``SAMPLE_DOCS`` documents chosen by a hash.
+    One pass counts the paragraphs without template phrases by the features they hit, which is all the
+    regression sees of them. Half of them teach the unknown class, by their counts; the others calibrate it.
     """
     spark = docs.sparkSession
     templates = _template_rows(spark).withColumn("t", _trigrams(F.col("w")))
@@ -165,43 +191,73 @@ def fit(docs: DataFrame) -> Model:
     parts = "transform(sequence(1, greatest(size(w) - 7, 1), 4), i -> slice(w, i, 8))"
     known = templates.select("family", F.explode(F.expr(f"concat(array(w), {parts})")).alias("w"))
     phrases = sorted({t for r in rows for t in r.t})
-    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).limit(SAMPLE_DOCS)
-    other = paragraphs(chosen).limit(UNKNOWN_SAMPLE).where(~F.arrays_overlap(_trigrams(F.col("w")), F.lit(phrases)))
-    other = materialise(other.select(F.lit(UNKNOWN).alias("family"), "w", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("kept_out")))
     active = sorted(r[0] for r in known.select(F.explode(_slots(F.col("w")))).distinct().collect())
     place = {slot: i for i, slot in enumerate(active)}
     classes = [UNKNOWN, *FAMILIES]
     model = Model([], [], classes, [place.get(slot, -1) for slot in range(SLOTS)], 0.0, {}, {})
     model.trigrams = {f: [list(r.t) for r in rows if r.family == f and r.t] for f in FAMILIES}
     model.short = {f: [" ".join(r.w) for r in rows if r.family == f and not r.t] for f in FAMILIES}
-    training = materialise(known.union(other.where("not kept_out").select("family", "w")).withColumn("hits", _hits(F.col("w"), model)))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(active) - 1)), lambda k: F.array_contains("hits", k).cast("double"))
+    counted = materialise(_counted(docs, phrases, model))
+    taught = counted.where("not kept_out").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    weight = min(1.0, UNKNOWN_WEIGHT / max(taught.n or 0, 1))
+    training = known.select("family", _hits(F.col("w"), model).alias("hits"), F.lit(1.0).alias("weight"))
+    training = training.union(counted.where("not kept_out").select(F.lit(UNKNOWN), "hits", F.col("n") * weight))
     label = F.array_position(F.lit(classes), F.col("family")) - 1
-    vectors = training.select(label.cast("double").alias("label"), array_to_vector(dense).alias("features")).coalesce(2)
+    training = training.select(label.cast("double").alias("label"), "weight", F.col("hits").cast("array<string>").alias("places"))
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(active))], "places", "features").setBinary(True).transform(training)
+    # Every iteration is a job; few rows make few tasks.
+    vectors = vectors.drop("places").coalesce(2 + taught.rows // ROWS_A_TASK)
     # Labels are numbered from unknown on; a corpus without other paragraphs teaches the families alone.
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40).fit(materialise(vectors))
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, weightCol="weight").fit(materialise(vectors))
     model.weights = [float(x) for row in fitted.coefficientMatrix.toArray() for x in row]
     model.intercepts = [float(x) for x in fitted.interceptVector]
-    kept_out = other.where("kept_out").select(_verdict(F.col("w"), model).alias("v")).select("v.*")
     # Paragraphs rightly called unknown pass no threshold.
-    passing = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("probability"))
-    high = materialise(kept_out.select(passing.alias("passing"))).agg(F.percentile_approx("passing", 1 - PASS, 1000)).first()[0] or 0.0
-    model.threshold = max(0.5, float(high))
+    verdicts = counted.where("kept_out").select("n", _verdict(F.col("hits"), model).alias("v"))
+    passing = F.when(F.col("v.family") == UNKNOWN, 0.0).otherwise(F.col("v.probability"))
+    steps = sorted(verdicts.groupBy(F.ceil(passing * STEPS).cast("int").alias("step")).agg(F.sum("n").alias("n")).collect())
+    high, left = 0, sum(r.n for r in steps) * (1 - PASS)
+    for r in steps:
+        if left <= 0:
+            break
+        high, left = r.step, left - r.n
+    model.threshold = max(0.5, high / STEPS)
     return model
 
 
+def _counted(docs: DataFrame, phrases: list[str], model: Model) -> DataFrame:
+    """(hits, kept_out, n): the paragraphs without template phrases by what they hit, half of them kept out."""
+    pairs = {" ".join(t.split(" ")[:2]) for t in phrases}
+    spark = docs.sparkSession
+    ends = spark.createDataFrame([(p.split(" "),) for p in sorted(pairs)], "w array<string>")
+    ends = {model.active[r[0]] for r in ends.select(_slot(F.col("w")[0], F.col("w")[1])).collect()}
+    starts = _literal([i in ends for i in range(max(model.active) + 1)], "boolean")
+    # A paragraph with a phrase hits the pair that begins it.
+    phrased = F.when(F.exists("hits", lambda x: F.get(starts, x)), F.arrays_overlap(_trigrams(F.col("w")), F.lit(phrases))).otherwise(False)
+    rows = paragraphs(docs).select("w", _hits(F.col("w"), model).alias("hits"))
+    # Unnested from a list of one or none, so that the hits are not made again for the test.
+    row = F.struct("hits", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("kept_out"))
+    rows = rows.select(F.explode_outer(F.when(~phrased, F.array(row))).alias("p")).where("p is not null")
+    return rows.groupBy("p.hits", "p.kept_out").agg(F.count("*").alias("n"))
+
+
 def _literal(values: list, kind: str) -> Column:
     """A list as one constant, which is parsed once when the query is planned."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def _hits(w: Column, model: Model) -> Column:
+    """Places of the features of the words, in order; pairs count where both words are features."""
     look = _literal(model.active, "int")
-    return F.filter(F.transform(_slots(w), lambda slot: F.get(look, slot)), lambda x: x >= 0)
+
+    def of_words(places: Column) -> Column:
+        both = lambda x, i: F.when((x >= 0) & (F.get(places, i + 1) >= 0), F.get(look, _slot(F.get(w, i), F.get(w, i + 1))))
+        return F.array_sort(F.array_distinct(F.filter(F.concat(places, F.transform(places, both)), lambda x: x >= 0)))
+
+    return _bind(F.transform(w, lambda x: F.get(look, _slot(x))), of_words)
 
 
-def _verdict(w: Column, model: Model) -> Column:
-    """(family, probability): the likeliest class of a paragraph's words."""
+def _verdict(hits: Column, model: Model) -> Column:
+    """(family, probability): the likeliest class of a paragraph's features."""
     width = len(model.weights) // len(model.classes)
 
     def score(hits: Column, f: int) -> Column:
@@ -216,7 +272,7 @@ def _verdict(w: Column, model: Model) -> Column:
     def of_hits(hits: Column) -> Column:
         return _bind(F.array(*[score(hits, f) for f in range(len(model.classes))]), lambda scores: _bind(F.array_max(scores), lambda top: best(scores, top)))
 
-    return _bind(_hits(w, model), of_hits)
+    return _bind(hits, of_hits)
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -231,10 +287,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     results. Other columns do not matter; an empty table gives an empty result.
     """
     model = fit(docs) if model is None else model
-    rows = paragraphs(docs).withColumn("v", _verdict(F.col("w"), model))
+    rows = paragraphs(docs, _signs(model)).withColumn("v", _verdict(_hits(F.col("w"), model), model))
     # Unnested from a list of one or none, so that the test isn't made below again with all it needs.
     sure = F.filter(F.array("v"), lambda v: (v["family"] != UNKNOWN) & (v["probability"] >= model.threshold))
-    found = rows.select("doc_id", "paragraph", "line", _trigrams(_said(F.col("w"))).alias("_t"), F.concat_ws(" ", _said(F.col("w"))).alias("_w"), F.explode_outer(sure).alias("v")).where("v is not null")
+    found = rows.select("doc_id", "paragraph", "line", "w", F.explode_outer(sure).alias("v")).where("v is not null")
+    found = found.select("doc_id", "paragraph", "line", "v", _trigrams(_said(F.col("w"))).alias("_t"), F.concat_ws(" ", _said(F.col("w"))).alias("_w"))
 
     def share(template: list[str]) -> Column:
         t = F.lit(template)
