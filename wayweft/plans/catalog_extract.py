@@ -231,18 +231,21 @@ def code_facts(spark, folder):
     """A TypeScript and a Python file per customer."""
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     customer = spread(t.table(spark, folder, "customer"))
-    ts = customer.select(
-        _text("c", key, "/a.ts").alias("path"),
+    ts = (
+        _text("c", key, "/a.ts"),
         _text(
             "import { x } from 'mod", nation, "'; // import y from 'no'\n/* gone() */\nexport class K", key, " {\n  run(a) {\n    work", nation,
             "('call()');\n  }\n}\nconst f = () => { g(); };\nlast();\n",
-        ).alias("text"),
+        ),
     )
-    py = customer.select(
-        _text("c", key, "/a.py").alias("path"),
-        _text("import os.path as p\nfrom .m", nation, " import z\n\ndef f", key, "(a=d()):\n    def g():\n        p.join('x()')\n    return g()\n\nf", key, "()\n").alias("text"),
+    py = (
+        _text("c", key, "/a.py"),
+        _text("import os.path as p\nfrom .m", nation, " import z\n\ndef f", key, "(a=d()):\n    def g():\n        p.join('x()')\n    return g()\n\nf", key, "()\n"),
     )
-    return _edges(code.code(ts.unionByName(py), 0, [".ts", ".py"]))
+    # Unnested pairs: a test on the path stays above the shuffle and runs in all tasks.
+    pair = F.array(*[F.struct(path.alias("path"), text.alias("text")) for path, text in (ts, py)])
+    files = customer.select(F.explode_outer(pair).alias("file")).select("file.path", "file.text")
+    return _edges(code.code(files, 0, [".ts", ".py"]))
 
 
 CODE_SQL = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, concat('c', c_custkey, '/a.ts') AS t, concat('c', c_custkey, '/a.py') AS p FROM customer)
