@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wayweft.operators.prefix import nearest_before
 from wayweft.plans.extract import budget, build, ci, code, commands, containers, markdown
-from wayweft.plans.extract.facts import WARNING
 from wayweft.session import spread
 from wayweft.sources import tables as t
 
@@ -276,7 +275,7 @@ def parse_warnings(spark, folder):
     files = docs.select(
         _text("d", number.cast("string"), ending).alias("path"), F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text")
     )
-    return code.code(files, 0, list(ENDINGS)).filter(F.col("kind") == WARNING).select("path", F.col("label").alias("message"))
+    return code.refusals(files, 0, list(ENDINGS)).select("path", F.col("label").alias("message"))
 
 
 WARNINGS_SQL = rf"""WITH l AS (

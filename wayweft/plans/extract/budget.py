@@ -31,20 +31,35 @@ def _words(keywords: list[str]) -> str:
     return rf"\b(?:{'|'.join(keywords)})\b"
 
 
+def _prose(keywords: list[str]) -> str:
+    """Three names in a row, none a keyword: what ``_PROSE`` finds once keywords are cut out and all letters are ASCII, read at one go."""
+    letter, char = r"[A-Za-z_\x{80}-\x{10ffff}]", r"[\w\x{80}-\x{10ffff}]"
+    free = rf"(?!(?:{'|'.join(keywords)})(?!{char}))"
+    name, gap = rf"{letter}{char}*+", r"[ \t]++"
+    return rf"(?<!{char})(?=\d*+{name}{gap}{name}{gap}{letter}){free}\d*+{name}{gap}{free}{name}{gap}{free}{letter}"
+
+
 _WORDS = _words(KEYWORDS)
 _PROSE = r"[A-Za-z_]\w*[ \t]+[A-Za-z_]\w*[ \t]+[A-Za-z_]"
 _BINARY = "[\\x00-\\x08\\x0e-\\x1f\\ufffd]"
 
 
-def unexplained(lines: Column, words: str = _WORDS) -> Column:
+def _without(line: Column, marks: str) -> Column:
+    for mark in marks:
+        line = F.replace(line, F.lit(mark))
+    return line
+
+
+def unexplained(lines: Column, keywords: list[str] = KEYWORDS) -> Column:
     """Bytes of the lines (without comments and texts) that are no code."""
+    prose = _prose(keywords)
+
     def measured(line: Column) -> Column:
-        opened = F.length(F.regexp_replace(line, r"[^(\[{]+", ""))
-        closed = F.length(F.regexp_replace(line, r"[^)\]}]+", ""))
+        # Opened less closed brackets.
+        step = F.octet_length(_without(line, ")]}")) - F.octet_length(_without(line, "([{"))
         # Letters beyond ASCII count as letters of names.
-        plain = F.regexp_replace(F.regexp_replace(line, r"[^\x00-\x7f]", "x"), words, ";")
-        odd = plain.rlike(_PROSE) | line.rlike(_BINARY)
-        return F.struct((opened - closed).alias("step"), odd.alias("odd"), F.octet_length(line).alias("bytes"))
+        odd = line.rlike(prose) | line.rlike(_BINARY)
+        return F.struct(step.alias("step"), odd.alias("odd"), F.octet_length(line).alias("bytes"))
 
     def fold(acc: Column, m: Column) -> Column:
         bad = (acc["depth"] + m["step"] < 0) | m["odd"]
@@ -61,7 +76,7 @@ def over_budget(lines: Column, text: Column, more_words: list[str] | None = None
     def judged(bad: Column) -> Column:
         return F.when((total >= LEAST_BYTES) & (bad > total * BUDGET), F.floor(bad * 100 / total).cast("int"))
 
-    return F.transform(F.array(unexplained(lines, _words([*KEYWORDS, *(more_words or [])]))), judged)[0]
+    return F.transform(F.array(unexplained(lines, [*KEYWORDS, *(more_words or [])])), judged)[0]
 
 
 def message(path: Column, percent: Column) -> Column:

@@ -17,7 +17,7 @@ from wayweft.functions.helpers import CALL, DEF, FAULT, IMPORT, nest_scopes, pyt
 from wayweft.functions.strings import basename, strip, suffix
 from wayweft.model import node_id
 from wayweft.plans.extract.budget import PYTHON_KEYWORDS, message, over_budget
-from wayweft.plans.extract.facts import emit, fact, one, union, warning
+from wayweft.plans.extract.facts import WARNING, emit, fact, nothing, one, union, warning
 
 # Callees that are no calls.
 NO_CALLS = ("", "if", "for", "while", "switch", "catch", "return", "typeof", "new", "import", "require")
@@ -110,12 +110,16 @@ LANGUAGES = (JS, GO, RUST, JAVA, CPP)
 
 def _numbered(text: Column) -> Column:
     """Every line with its number in front."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
+    lines = F.split(_unix(text), "\n", -1)
     return F.array_join(
         F.transform(lines, lambda l, i: F.concat(F.lit("\ufdd0"), (i + 1).cast("string"), F.lit("\ufdd1"), l)), "\n"
     )
 
 
+def _unix(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
 def _without_comments(text: Column) -> Column:
     pairs = F.regexp_replace(text, r"\\[^\n]", "__")
     strings = r"(\"[^\"\n]*+\"|'[^'\n]*+'|`[^`]*+`)"
@@ -206,7 +210,9 @@ def _braces(files: DataFrame, turn: int, lang: Language) -> DataFrame:
     pattern = "(?m)" + "|".join(p for _, p in lang.marks)
     tokens = F.regexp_extract_all("_bare", F.lit(pattern), F.lit(0))
     lines = F.split(F.regexp_replace("_bare", MARK, ""), "\n", -1)
-    marked = bare.select("path", "_code", _marks(tokens, lang).alias("_m"), over_budget(lines, F.col("text")).alias("_over"))
+    judged = bare.select("path", "_code", "_bare", over_budget(lines, F.col("text")).alias("_over"))
+    # A refused file is not read further.
+    marked = judged.select("path", "_code", F.when(F.col("_over").isNull(), _marks(tokens, lang)).alias("_m"), "_over")
     nested = marked.select(
         "path", "_code", "_over", nest_scopes(F.transform("_m", lambda m: m["kind"]), F.transform("_m", lambda m: m["name"])).alias("_all")
     )
@@ -240,11 +246,29 @@ def _inside(pattern: str):
     return lambda block: F.regexp_extract_all(block, F.lit(pattern), F.lit(1))
 
 
+def _occurs(suffixes: tuple[str, ...], endings: list[str] | None) -> bool:
+    return endings is None or any(e in endings for e in suffixes)
+
+
+def refusals(files: DataFrame, turn: int, endings: list[str] | None = None) -> DataFrame:
+    """The warnings among the facts of ``code``: files beyond the error budget, judged in one pass for all brace languages."""
+    known = [s for lang in LANGUAGES if _occurs(lang.suffixes, endings) for s in lang.suffixes]
+    parts = [_python(files, turn).filter(F.col("kind") == WARNING)] if _occurs((".py",), endings) else []
+    if known:
+        mine = files.select("path", "text", suffix(F.col("path")).alias("_ending")).filter(F.col("_ending").isin(known))
+        mine = mine.filter(F.col("text").rlike(r"\S"))
+        plain = mine.select("path", "text", "_ending", _without_comments(_unix(F.col("text"))).alias("_code"))
+        code = F.col("_code")
+        bare = F.when(F.col("_ending").isin(*RUST.suffixes), _without_strings(code, True)).otherwise(_without_strings(code, False))
+        lines = F.split(F.regexp_replace(bare, MARK, ""), "\n", -1)
+        judged = plain.select("path", over_budget(lines, F.col("text")).alias("_over"))
+        refused = F.array(warning([turn, 1], message(F.col("path"), F.col("_over"))))
+        parts.append(emit(judged, F.when(F.col("_over").isNotNull(), refused)))
+    return union(*parts) if parts else nothing(files)
+
+
 def code(files: DataFrame, turn: int, endings: list[str] | None = None) -> DataFrame:
     """Facts of source files; ``endings`` names the file endings that occur, to leave idle languages out."""
-    def occurs(suffixes):
-        return endings is None or any(e in endings for e in suffixes)
-
     own = one(files, fact([turn, 0], node_id("file", "path"), "file", basename(F.col("path")), F.col("path")))
-    parts = [_python(files, turn)] if occurs((".py",)) else []
-    return union(own, *parts, *[_braces(files, turn, lang) for lang in LANGUAGES if occurs(lang.suffixes)])
+    parts = [_python(files, turn)] if _occurs((".py",), endings) else []
+    return union(own, *parts, *[_braces(files, turn, lang) for lang in LANGUAGES if _occurs(lang.suffixes, endings)])
