@@ -55,19 +55,19 @@ def artifact_edges(edges: DataFrame) -> DataFrame:
 
 
 def lineage(nodes: DataFrame, edges: DataFrame, label: str | None = None) -> DataFrame:
-    """Producers and consumers, one row per (artifact, role, source).
+    """Producers and consumers, one row per (artifact, role, source), of a graph's edges (unique by source, target and kind).
 
-    With a label, only its first artifact node counts. Rows instead of lists keep an artifact with
-    very many consumers spread over the tasks.
+    With a label, only its first artifact node counts; its id is looked up first and cuts the edges at
+    their scan. Rows instead of lists keep an artifact with very many consumers spread over the tasks.
     """
     artifacts = nodes.filter(F.col("kind") == "artifact")
     if label is not None:
-        artifacts = artifacts.filter(F.col("label") == label).orderBy("ord").limit(1)
+        named = artifacts.filter(F.col("label") == label).orderBy("ord").select("id").first()
+        only = F.lit(named.id if named else None)
+        artifacts, edges = artifacts.filter((F.col("label") == label) & (F.col("id") == only)), edges.filter(F.col("target") == only)
     artifacts = artifacts.select(F.col("id").alias("artifact_id"), F.col("label").alias("artifact"))
     role = F.when(F.col("kind") == "produces", "producer").otherwise("consumer")
-    links = artifact_edges(edges).select(
-        F.col("target").alias("artifact_id"), role.alias("role"), "source"
-    ).distinct()
+    links = artifact_edges(edges).select(F.col("target").alias("artifact_id"), role.alias("role"), "source")
     return artifacts.join(links, "artifact_id").select("artifact", "artifact_id", "role", "source")
 
 
