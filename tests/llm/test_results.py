@@ -445,3 +445,18 @@ def test_signs_leave_no_statement_out(docs):
     signs = licenses._signs(model)
     said = [t for per in model.trigrams.values() for trigrams in per for t in trigrams] + [t for per in model.short.values() for t in per]
     assert [t for t in said if not any(set(words) <= set(t.split(" ")) for words in signs)] == []
+
+
+def test_licences_are_found_in_the_pass_that_learns(spark, docs, monkeypatch):
+    """One pass over all paragraphs gives what a second one with the model would."""
+    said = [f"{mark}{text}" for texts in licenses.SHORT.values() for text in texts for mark in ("", "// ")]
+    said += ["Licensed // under -- the Apache License, Version 2.0.", "LICENSED UNDER CC BY-NC 4.0.", "the License", "a pub under the Apache License"]
+    rows = [(i, f"first\n\n{t}") for i, t in enumerate(said)] + [(None, "Released under the MIT License.")] * 3 + [(7, None), (8, "")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    # The regression adds up in any order, so probabilities differ in late digits.
+    found = lambda out: sorted(map(repr, out.withColumn("probability", F.round("probability", 2)).collect()))
+    want = found(licenses.scan(rows, licenses.fit(rows)))
+    calls, whole = [], licenses.paragraphs
+    monkeypatch.setattr(licenses, "paragraphs", lambda *a: calls.append(a) or whole(*a))
+    assert found(licenses.scan(rows)) == want
+    assert len(calls) == 1 and want

@@ -5,7 +5,7 @@ licence family or the unknown class. It learns from stretches of the templates a
 without template phrases, counted by the features they hit. A threshold, set on the half of them kept
 out of training, calibrates the unknown class, and a prediction counts only if the paragraph shares enough word
 trigrams with a template of its family; one without trigrams has to be a template word by word. Scoring is one
-expression over each paragraph that can be confirmed at all; it shuffles nothing.
+expression over each paragraph that can be confirmed at all; the pass that counts sets these aside.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayweft.llm.shared import LOWER, UPPER, WORD, text_words
@@ -179,10 +179,16 @@ def _signs(model: Model) -> list[list[str]]:
 
 
 def fit(docs: DataFrame) -> Model:
-    """The classifier from the templates and all paragraphs of ``docs``.
+    """The classifier from the templates and all paragraphs of ``docs``."""
+    return _learnt(docs, False)[0]
+
+
+def _learnt(docs: DataFrame, keep: bool) -> tuple[Model, DataFrame]:
+    """The classifier, and with ``keep`` all paragraphs (doc_id, paragraph, line, hits) that a scan could confirm.
 
     One pass counts the paragraphs without template phrases by the features they hit, which is all the
     regression sees of them. Half of them teach the unknown class, by their counts; the others calibrate it.
+    What shares a trigram with a template or is a short statement is kept on the way, so no scan reads the texts again.
     """
     spark = docs.sparkSession
     templates = _template_rows(spark).withColumn("t", _trigrams(F.col("w")))
@@ -197,7 +203,8 @@ def fit(docs: DataFrame) -> Model:
     model = Model([], [], classes, [place.get(slot, -1) for slot in range(SLOTS)], 0.0, {}, {})
     model.trigrams = {f: [list(r.t) for r in rows if r.family == f and r.t] for f in FAMILIES}
     model.short = {f: [" ".join(r.w) for r in rows if r.family == f and not r.t] for f in FAMILIES}
-    counted = materialise(_counted(docs, phrases, model))
+    stored = materialise(_counted(docs, phrases, model, keep))
+    counted = stored.where("not phrased")
     taught = counted.where("not kept_out").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     weight = min(1.0, UNKNOWN_WEIGHT / max(taught.n or 0, 1))
     training = known.select("family", _hits(F.col("w"), model).alias("hits"), F.lit(1.0).alias("weight"))
@@ -221,11 +228,15 @@ def fit(docs: DataFrame) -> Model:
             break
         high, left = r.step, left - r.n
     model.threshold = max(0.5, high / STEPS)
-    return model
+    near = stored.where("found is not null").select("found", "hits", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return model, near.select("found.doc_id", "found.paragraph", "found.line", "hits")
+
 
+def _counted(docs: DataFrame, phrases: list[str], model: Model, keep: bool) -> DataFrame:
+    """(hits, kept_out, phrased, found, n): the paragraphs without template phrases by what they hit, half of them kept out.
 
-def _counted(docs: DataFrame, phrases: list[str], model: Model) -> DataFrame:
-    """(hits, kept_out, n): the paragraphs without template phrases by what they hit, half of them kept out."""
+    With ``keep``, those that can be confirmed stay single, named by ``found``.
+    """
     pairs = {" ".join(t.split(" ")[:2]) for t in phrases}
     spark = docs.sparkSession
     ends = spark.createDataFrame([(p.split(" "),) for p in sorted(pairs)], "w array<string>")
@@ -233,11 +244,29 @@ def _counted(docs: DataFrame, phrases: list[str], model: Model) -> DataFrame:
     starts = _literal([i in ends for i in range(max(model.active) + 1)], "boolean")
     # A paragraph with a phrase hits the pair that begins it.
     phrased = F.when(F.exists("hits", lambda x: F.get(starts, x)), F.arrays_overlap(_trigrams(F.col("w")), F.lit(phrases))).otherwise(False)
-    rows = paragraphs(docs).select("w", _hits(F.col("w"), model).alias("hits"))
+    found = F.struct("doc_id", "paragraph", "line")
+    found = F.when(_near(phrases, starts, model), found) if keep else F.when(F.lit(False), found)
+    rows = paragraphs(docs).select("doc_id", "paragraph", "line", "w", _hits(F.col("w"), model).alias("hits"))
+    row = F.struct("hits", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("kept_out"), phrased.alias("phrased"), found.alias("found"))
     # Unnested from a list of one or none, so that the hits are not made again for the test.
-    row = F.struct("hits", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("kept_out"))
-    rows = rows.select(F.explode_outer(F.when(~phrased, F.array(row))).alias("p")).where("p is not null")
-    return rows.groupBy("p.hits", "p.kept_out").agg(F.count("*").alias("n"))
+    rows = rows.select(F.explode_outer(F.filter(F.array(row), lambda p: ~p["phrased"] | p["found"].isNotNull())).alias("p")).where("p is not null")
+    return rows.groupBy("p.hits", "p.kept_out", "p.phrased", "p.found").agg(F.count("*").alias("n"))
+
+
+def _near(phrases: list[str], starts: Column, model: Model) -> Column:
+    """Whether a paragraph shares a trigram with a template, marks left out, or is a short statement; cheap tests on its hits come first."""
+    spark = SparkSession.active()
+    words = spark.createDataFrame([(words[0],) for words in _signs(model)], "w string")
+    marks = {model.active[r[0]] for r in words.select(_slot(F.col("w"))).collect()}
+    marks = _literal([i in marks for i in range(max(model.active) + 1)], "boolean")
+    short = sorted({t for per in model.short.values() for t in per})
+    # Where no mark stands between words, a trigram has the pair that begins it.
+    loose = (F.size("w") < 3) | F.exists("hits", lambda x: F.get(starts, x)) | (F.size(_said(F.col("w"))) < F.size("w"))
+
+    def said(w: Column) -> Column:
+        return _bind(_trigrams(w), lambda t: F.when(F.size(t) > 0, F.arrays_overlap(t, F.lit(phrases))).otherwise(F.concat_ws(" ", w).isin(short)))
+
+    return F.when(F.exists("hits", lambda x: F.get(marks, x)), F.when(loose, _bind(_said(F.col("w")), said)))
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -286,8 +315,12 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null and empty texts have no paragraphs; null doc_ids are carried and repeated rows give repeated
     results. Other columns do not matter; an empty table gives an empty result.
     """
-    model = fit(docs) if model is None else model
-    rows = paragraphs(docs, _signs(model)).withColumn("v", _verdict(_hits(F.col("w"), model), model))
+    if model is None:
+        model, rows = _learnt(docs, True)
+        rows = rows.withColumn("w", paragraph_words(F.col("line")))
+    else:
+        rows = paragraphs(docs, _signs(model)).withColumn("hits", _hits(F.col("w"), model))
+    rows = rows.withColumn("v", _verdict(F.col("hits"), model))
     # Unnested from a list of one or none, so that the test isn't made below again with all it needs.
     sure = F.filter(F.array("v"), lambda v: (v["family"] != UNKNOWN) & (v["probability"] >= model.threshold))
     found = rows.select("doc_id", "paragraph", "line", "w", F.explode_outer(sure).alias("v")).where("v is not null")
