@@ -8,6 +8,8 @@ suffix tests, so they run as equi-joins on suffixes instead of as a comparison o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from wayweft.functions.tokens import query_words
 from wayweft.model import INDEXED_KINDS
 from wayweft.operators.search import CorpusStats, search_index
 from wayweft.operators.traverse import capped_neighbours
-from wayweft.session import broadcast_if_small, materialise
+from wayweft.session import broadcast_if_small, materialise, shuffle_width
 
 
 def suffixes(text: Column) -> Column:
@@ -46,22 +48,65 @@ def script_keys(scripts: DataFrame) -> DataFrame:
 
 #: Rows of one side of a join key that meet in one place.
 CELL = 2000
+#: Files that come with each script of a cell in turn; a multiple of eight, the values that Parquet packs together.
+RUN = 512
+#: Most parts of either side that a task pairs.
+SHARE = 16
 
 
 def _crowded(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``side, key, _l, _r``: into how many parts the rows of a key are dealt on either side, where it is more than one."""
-    parts = lambda name: F.ceil(F.count("*") / CELL).cast("int").alias(name)
-    both = left.groupBy("side", "key").agg(parts("_l")).join(right.groupBy("side", "key").agg(parts("_r")), ["side", "key"])
-    return both.filter((F.col("_l") > 1) | (F.col("_r") > 1))
+    """``side, key, _l, _r, _many``: into how many parts the rows of a key are dealt on either side, where it is more
+    than one, and whether its pairs are more than a cell of full parts holds."""
+    rows = lambda name: F.count("*").alias(name)
+    parts = lambda name: F.ceil(F.col(name) / CELL).cast("int").alias(name)
+    both = left.groupBy("side", "key").agg(rows("_l")).join(right.groupBy("side", "key").agg(rows("_r")), ["side", "key"])
+    many = F.col("_l").cast("double") * F.col("_r") > CELL**2
+    return both.filter((F.col("_l") > CELL) | (F.col("_r") > CELL)).select("side", "key", parts("_l"), parts("_r"), many.alias("_many"))
+
+
+def _part(rows: DataFrame, parts) -> Column:
+    """The part of a row by a hash, out of ``parts``."""
+    return F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("side", "key")]), parts).cast("int")
 
 
 def _dealt(rows: DataFrame, crowded: DataFrame, own: str, other: str) -> DataFrame:
-    """Rows with ``_own`` part by a hash, once for each part of the other side."""
+    """Rows with ``_own`` part by a hash, once for each part of the other side; keys of many pairs are left out."""
     number = lambda name: F.coalesce(name, F.lit(1))
-    mine = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("side", "key")]), number(own)).cast("int")
-    met = rows.join(crowded, ["side", "key"], "left")
+    met = rows.join(crowded, ["side", "key"], "left").filter(~F.coalesce("_many", F.lit(False)))
     cells = F.sequence(F.lit(0), number(other) - 1)
-    return met.select(*rows.columns, mine.alias(own + "n"), F.explode_outer(cells).alias(other + "n"))
+    return met.select(*rows.columns, _part(rows, number(own)).alias(own + "n"), F.explode_outer(cells).alias(other + "n"))
+
+
+def _runs(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``side, key, _run``: rows of the given keys in arrays of ``RUN``, of fewer in whole eights, and of what is left of a part."""
+    inside = F.struct(*[c for c in rows.columns if c not in ("side", "key")])
+    part = _part(rows, F.col("_l")).alias("_n")
+    packs = rows.join(many, ["side", "key"]).groupBy("side", "key", part).agg(F.collect_list(inside).alias("_rows"))
+    whole = F.size("_rows") - F.size("_rows") % 8
+    starts = F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0)), F.lit(RUN))
+    runs = F.transform(starts, lambda i: F.slice("_rows", i + 1, F.least(F.lit(RUN), whole - i)))
+    cut = F.filter(F.concat(runs, F.array(F.slice("_rows", whole + 1, F.lit(7)))), lambda run: F.size(run) > 0)
+    return packs.select("side", "key", F.explode_outer(cut).alias("_run"))
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, crowded: DataFrame) -> DataFrame | None:
+    """The pairs of the keys of many pairs, if there are any.
+
+    Both sides are stored once, and every task reads a share of either and pairs what has one key, so no row is
+    copied for the tasks. For each script in turn come the files of a run: the columns of scripts repeat one
+    value and the files repeat in step, which columnar files hold in a small part of the room that shuffled
+    pairs take. Keys are compared once for a run and a script: with n keys of one size that is n / ``RUN`` for a pair.
+    """
+    many = crowded.filter("_many")
+    l_parts, r_parts = many.agg(F.sum("_l"), F.sum("_r")).first()
+    if l_parts is None:
+        return None
+    share = min(SHARE, max(1, int((l_parts * r_parts / (4 * shuffle_width(left.sparkSession))) ** 0.5)))
+    many = broadcast_if_small(many.select("side", "key", "_l"))
+    files = materialise(_runs(left, many).repartition(math.ceil(l_parts / share)))
+    scripts = materialise(right.join(many.drop("_l"), ["side", "key"]).repartition(math.ceil(r_parts / share)))
+    met = files.hint("shuffle_replicate_nl").join(scripts.hint("shuffle_replicate_nl"), ["side", "key"])
+    return met.withColumn("_run", F.explode_outer("_run")).select("_run.*", *right.columns)
 
 
 def match_files_to_scripts(files: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -69,16 +114,20 @@ def match_files_to_scripts(files: DataFrame, scripts: DataFrame) -> DataFrame:
 
     Either side of the test finds a pair at most once, and what the path side finds the label side leaves
     out, so pairs are not compared again. A key of many rows is dealt into cells of ``CELL`` by ``CELL``
-    rows; no task has to make all its pairs. There are at most as many such keys as rows by ``CELL``.
+    rows; no task has to make all its pairs. There are at most as many such keys as rows by ``CELL``. A row is
+    copied for at most one part of the other side as full as its own; beyond that, runs of rows are paired.
     """
     left = file_keys(files.distinct())
     right = script_keys(scripts.distinct())
-    crowded = broadcast_if_small(materialise(_crowded(left, right)))
+    crowded = materialise(_crowded(left, right))
+    known = broadcast_if_small(crowded)
     place = ["side", "key", "_ln", "_rn"]
-    pairs = _dealt(left, crowded, "_l", "_r").join(_dealt(right, crowded, "_r", "_l"), place)
+    pairs = _dealt(left, known, "_l", "_r").join(_dealt(right, known, "_r", "_l"), place).drop("_ln", "_rn")
+    rest = _all_pairs(left, right, crowded)
+    pairs = pairs if rest is None else pairs.unionByName(rest)
     name, tail = basename(F.col("file")), basename(F.coalesce("path", F.lit("")))
     again = (F.col("side") == "label") & (name != "") & tail.endswith(name)
-    return pairs.filter(~again).drop(*place)
+    return pairs.filter(~again).drop("side", "key")
 
 
 def symbol_files(edges: DataFrame) -> DataFrame:
